@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 import sluicewatch as sw
 from sluicewatch.functions.timewin import within
 from sluicewatch.plans.shared import shared_folder
+from sluicewatch.sources.telemetry import EVENTS_SCHEMA
 from sluicewatch.streaming import live
 
 AS_OF = "2024-01-31 00:00:00"
@@ -27,8 +28,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def load_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    return sw.signals(sw.telemetry_from_events(events))
+    events = sw.read_events(spark, f"{sf_dir}/events.parquet")
+    return sw.signals(sw.telemetry_from_events(events), error_fields_only=True)
 
 
 def entry(spark: SparkSession) -> DataFrame:
@@ -41,7 +42,6 @@ def queries() -> dict[str, Query]:
         return lambda spark, sf_dir: report(load_signals(spark, sf_dir))
 
     reports = {
-        "signals": lambda s: s,
         "recent_runtimes": lambda s: sw.recent_runtimes(s, AS_OF, include_internal=True),
         "recent_runtimes_user": lambda s: sw.recent_runtimes(s, AS_OF),
         "high_error_runtimes": lambda s: sw.high_error_runtimes(s, AS_OF, WEEK * 60),
@@ -105,6 +105,7 @@ def queries() -> dict[str, Query]:
         ),
     }
     return {name: over_signals(report) for name, report in reports.items()} | {
+        "signals": all_signals,
         "stream_error_alerts": over_stream(lambda s: live.error_alerts(s, min_errors=1)),
         "stream_kpi_rollup": over_stream(live.kpi_rollup),
         "stream_processor_status": over_stream(
@@ -113,6 +114,13 @@ def queries() -> dict[str, Query]:
     }
 
 
+def all_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of the table in the form that is stored."""
+    return sw.signals(
+        sw.telemetry_from_events(sw.read_events(spark, f"{sf_dir}/events.parquet"))
+    )
+
+
 def over_stream(
     live_report: Callable[[DataFrame], DataFrame],
     read: Callable[[DataFrame], DataFrame] = lambda stored: stored,
@@ -121,8 +129,7 @@ def over_stream(
 
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
-        schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-        events = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*")
+        events = spark.readStream.schema(EVENTS_SCHEMA).parquet(f"{sf_dir}/events.parquet*")
         result = live_report(sw.signals(sw.telemetry_from_events(events)))
         folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
         table = f"{folder}/table"

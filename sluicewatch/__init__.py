@@ -27,6 +27,7 @@ from sluicewatch.plans.board import HealthBoard
 from sluicewatch.sources.signals import SIGNALS_SCHEMA, read_signals, signals, write_signals
 from sluicewatch.sources.telemetry import (
     TELEMETRY_SCHEMA,
+    read_events,
     read_telemetry,
     telemetry_from_events,
     telemetry_table,
@@ -52,6 +53,7 @@ __all__ = [
     "processor_errors",
     "processor_status",
     "queue_times",
+    "read_events",
     "read_signals",
     "read_telemetry",
     "recent_runtimes",

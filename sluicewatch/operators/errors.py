@@ -135,10 +135,10 @@ def search_error_logs(
     Ties are ordered by processor, then message.
     """
     found = sig.where(
-        is_error()
+        (between(*time_range) if time_range else F.lit(True))
         & in_runtimes([runtime])
+        & is_error()
         & _of_processor(processor, null_processor)
-        & (between(*time_range) if time_range else F.lit(True))
         & message_matches(term)
     ).select("timestamp", F.col("logger").alias("processor"), "message")
     order = (
@@ -152,7 +152,8 @@ def search_error_logs(
 def _errors_within(
     sig: DataFrame, as_of: AsOf, span: timedelta, runtimes: Runtimes, until: AsOf = None
 ) -> DataFrame:
-    return sig.where(is_error() & within(as_of, span, until) & in_runtimes(runtimes))
+    # Cheap conditions first: over raw telemetry the level comes out of JSON.
+    return sig.where(within(as_of, span, until) & in_runtimes(runtimes) & is_error())
 
 
 def _of_processor(processor: str | None, null_processor: bool) -> Column:

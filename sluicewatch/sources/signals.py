@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sluicewatch.functions.vocabulary import COMPONENT_KEY, RUNTIME_KEY
+from sluicewatch.functions.vocabulary import COMPONENT_KEY, ERROR, RUNTIME_KEY
 
 SIGNALS_SCHEMA = T.StructType(
     [
@@ -30,19 +30,25 @@ SIGNALS_SCHEMA = T.StructType(
 )
 
 
-def signals(telemetry: DataFrame) -> DataFrame:
+def signals(telemetry: DataFrame, *, error_fields_only: bool = False) -> DataFrame:
     """Flatten telemetry; works on batch and streaming frames alike.
 
     Attributes may be maps, structs, VARIANT or JSON text. A value is either a
     JSON object (log records) or a number (metric samples), and no number holds
     a brace: looking for one decides which of the two parsers a row needs, and
     spares numbers the JSON parser and log text a failing numeric cast.
+
+    ``error_fields_only`` leaves ``level``, ``logger`` and ``message`` NULL where
+    the level cannot be ERROR, and so parses next to no JSON where errors are
+    rare. No report tells the difference, since none tests another level. It is
+    meant for reports straight from telemetry; store signals without it.
     """
     schema = telemetry.schema
     timestamp = _utc_wall_clock(F.col("timestamp"), schema["timestamp"].dataType)
     text = _text_at(F.col("value"), schema["value"].dataType)
     is_object = F.contains(text, F.lit("{"))
-    record = F.when(is_object, F.try_parse_json(text))
+    has_fields = _may_say(text, ERROR) if error_fields_only else is_object
+    record = F.when(has_fields, F.try_parse_json(text))
     number = F.when(is_object, F.lit(None)).otherwise(text.try_cast("double"))
 
     def attribute(column: str, *path: str) -> Column:
@@ -93,6 +99,15 @@ def read_signals(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(SIGNALS_SCHEMA).parquet(path).select(*names)
 
 
+def _may_say(json_text: Column, word: str) -> Column:
+    """False only if no string of the JSON text can be ``word``.
+
+    JSON spells a letter as itself or as a ``\\u`` escape, so text without
+    either the word or such an escape does not contain it.
+    """
+    return F.contains(json_text, F.lit(word)) | F.contains(json_text, F.lit("\\u"))
+
+
 def _text_at(value: Column, kind: T.DataType, *path: str) -> Column:
     """The string under ``path``, whichever semi-structured type holds it."""
     for depth, key in enumerate(path):

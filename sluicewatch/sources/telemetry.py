@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from sluicewatch.functions.vocabulary import (
@@ -36,6 +35,17 @@ TELEMETRY_SCHEMA = T.StructType(
     ]
 )
 
+EVENTS_SCHEMA = T.StructType(
+    [
+        T.StructField("event_id", T.LongType()),
+        T.StructField("ts", T.TimestampNTZType()),
+        T.StructField("user_id", T.LongType()),
+        T.StructField("event_type", T.StringType()),
+        T.StructField("value", T.DoubleType()),
+        T.StructField("props", T.StringType()),
+    ]
+)
+
 
 def telemetry_table(spark: SparkSession, name: str) -> DataFrame:
     """Telemetry registered in the catalog; the name is the caller's to configure."""
@@ -47,43 +57,39 @@ def read_telemetry(spark: SparkSession, *paths: str) -> DataFrame:
     return spark.read.parquet(*paths)
 
 
+def read_events(spark: SparkSession, path: str) -> DataFrame:
+    """The ``events`` test table; its schema is given, so nothing is inferred."""
+    return spark.read.schema(EVENTS_SCHEMA).parquet(path)
+
+
 def telemetry_from_events(events: DataFrame) -> DataFrame:
     """Telemetry derived row by row from the ``events`` test table."""
-    event_id, user_id, kind = F.col("event_id"), F.col("user_id"), F.col("event_type")
-    runtime = (
-        F.when(user_id % 20 == 0, F.lit(None))
-        .when(user_id % 10 == 1, _numbered("system-", user_id % 3))
-        .otherwise(_numbered("runtime-", user_id % 6))
-    )
-    component = F.when(event_id % 50 != 0, _numbered("conn-", event_id % 7))
-    is_log = kind.isin("error", "click")
-    log_text = F.concat(
-        F.lit('{"level":"'),
-        F.when(kind == "error", "ERROR").otherwise("INFO"),
-        _numbered('","loggerName":"proc-', event_id % 9),
-        _numbered('","formattedMessage":"Failure code ', user_id),
-        _numbered(" step ", event_id % 13),
-        F.when(event_id % 97 == 0, "").otherwise('"}'),
-    )
-    sample = (
-        F.when(kind == "view", F.floor(F.col("value") * 1000000))
-        .when(kind == "purchase", F.floor(F.col("value") * 60000))
-        .when(kind == "signup", event_id % 2)
-    )
-    metric = (
-        F.when(kind == "view", QUEUED_BYTES)
-        .when(kind == "purchase", QUEUED_DURATION)
-        .when(kind == "signup", RUN_STATUS)
-    )
-    return events.select(
-        F.col("ts").alias("timestamp"),
-        F.when(is_log, LOG).otherwise(METRIC).alias("record_type"),
-        F.create_map(F.lit(RUNTIME_KEY), runtime).alias("resource_attributes"),
-        F.create_map(F.lit(COMPONENT_KEY), component).alias("record_attributes"),
-        F.struct(F.struct(metric.alias("name")).alias("metric")).alias("record"),
-        F.when(is_log, log_text).otherwise(sample.cast("string")).alias("value"),
+    return events.selectExpr(
+        "ts AS timestamp",
+        f"CASE WHEN {_IS_LOG} THEN '{LOG}' ELSE '{METRIC}' END AS record_type",
+        f"map('{RUNTIME_KEY}', {_RUNTIME}) AS resource_attributes",
+        f"map('{COMPONENT_KEY}', {_COMPONENT}) AS record_attributes",
+        f"named_struct('metric', named_struct('name', {_METRIC_NAME})) AS record",
+        f"CASE WHEN {_IS_LOG} THEN {_LOG_TEXT} ELSE string({_SAMPLE}) END AS value",
     )
 
 
-def _numbered(prefix: str, number: Column) -> Column:
-    return F.concat(F.lit(prefix), number.cast("string"))
+_IS_LOG = "event_type IN ('error', 'click')"
+_RUNTIME = """CASE
+    WHEN user_id % 20 = 0 THEN NULL
+    WHEN user_id % 10 = 1 THEN concat('system-', user_id % 3)
+    ELSE concat('runtime-', user_id % 6) END"""
+_COMPONENT = "CASE WHEN event_id % 50 <> 0 THEN concat('conn-', event_id % 7) END"
+_METRIC_NAME = f"""CASE event_type
+    WHEN 'view' THEN '{QUEUED_BYTES}'
+    WHEN 'purchase' THEN '{QUEUED_DURATION}'
+    WHEN 'signup' THEN '{RUN_STATUS}' END"""
+_SAMPLE = """CASE event_type
+    WHEN 'view' THEN floor(value * 1000000)
+    WHEN 'purchase' THEN floor(value * 60000)
+    WHEN 'signup' THEN event_id % 2 END"""
+_LOG_TEXT = """concat(
+    '{"level":"', if(event_type = 'error', 'ERROR', 'INFO'),
+    '","loggerName":"proc-', event_id % 9,
+    '","formattedMessage":"Failure code ', user_id, ' step ', event_id % 13,
+    if(event_id % 97 = 0, '', '"}'))"""

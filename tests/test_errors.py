@@ -1,0 +1,171 @@
+from __future__ import annotations
+
+from datetime import datetime, timedelta
+
+import pytest
+
+from sluicewatch import (
+    error_logs,
+    error_runtimes,
+    error_time_range,
+    high_error_runtimes,
+    processor_errors,
+    search_error_logs,
+    top_error_runtimes,
+)
+from tests.conftest import AS_OF, ago, bag, log, row, values
+
+
+def test_threshold_and_window_edges(sig):
+    """Exactly five errors are too few; the lower bound is strict; the future counts."""
+    rows = [log(ago(minutes=1), "runtime-five")] * 5
+    rows += [log(ago(minutes=1), "runtime-six")] * 6
+    rows += [log(ago(minutes=1), "runtime-edge")] * 5 + [log(ago(minutes=30), "runtime-edge")]
+    rows += [log(ago(minutes=1), "runtime-just")] * 5
+    rows += [log(ago(minutes=30) + timedelta(microseconds=1), "runtime-just")]
+    rows += [log(AS_OF + timedelta(hours=3), "runtime-future")] * 6
+    rows += [log(ago(minutes=1), "runtime-info", level="INFO")] * 9
+    rows += [log(ago(minutes=1), "runtime-lower", level="error")] * 9
+    assert bag(high_error_runtimes(sig(rows), AS_OF)) == [
+        ("runtime-future", 6),
+        ("runtime-just", 6),
+        ("runtime-six", 6),
+    ]
+
+
+def test_errors_without_runtime_are_a_group(sig):
+    rows = [log(runtime=None)] * 7 + [log(runtime="internal")] * 6
+    assert bag(high_error_runtimes(sig(rows), AS_OF)) == [("internal", 6), (None, 7)]
+    assert bag(error_runtimes(sig(rows), AS_OF)) == [("internal",), (None,)]
+    assert values(top_error_runtimes(sig(rows), AS_OF)) == [(None, 7), ("internal", 6)]
+
+
+@pytest.mark.parametrize("everything", [None, [], ()])
+def test_no_selection_keeps_all(sig, everything):
+    rows = [log(runtime=None), log(runtime="runtime-b")]
+    assert len(bag(error_runtimes(sig(rows), AS_OF, runtimes=everything))) == 2
+
+
+def test_selection_drops_null_runtimes(sig):
+    rows = [log(runtime=None), log(runtime="runtime-b"), log(runtime="runtime-it's")]
+    flat = sig(rows)
+    assert bag(error_runtimes(flat, AS_OF, runtimes=["runtime-it's", "x"])) == [("runtime-it's",)]
+    assert bag(error_runtimes(flat, AS_OF, runtimes="runtime-b")) == [("runtime-b",)]
+
+
+def test_only_log_records_are_errors(sig):
+    json_metric = row(kind="METRIC", value='{"level":"ERROR"}')
+    assert bag(error_runtimes(sig([json_metric]), AS_OF)) == []
+
+
+def test_until_is_optional_and_inclusive(sig):
+    rows = [log(AS_OF), log(AS_OF + timedelta(microseconds=1))]
+    assert error_logs(sig(rows), AS_OF).count() == 2
+    assert error_logs(sig(rows), AS_OF, until=AS_OF).count() == 1
+
+
+def test_top_runtimes_ties_by_name(sig):
+    rows = [log(runtime=f"runtime-{i:02}") for i in range(11)] + [log(runtime=None)]
+    assert values(top_error_runtimes(sig(rows), AS_OF)) == [
+        (f"runtime-{i:02}", 1) for i in range(10)
+    ]
+
+
+def test_share_is_of_the_listed_processors(sig):
+    rows = [log(logger=f"p{i:02}") for i in range(12)] + [log(logger=None)] * 2
+    found = values(processor_errors(sig(rows), AS_OF, runtime="runtime-a"))
+    assert found[0] == (None, 2, 2 / 11 * 100)
+    assert found[1:] == [(f"p{i:02}", 1, 1 / 11 * 100) for i in range(9)]
+
+
+def test_processor_errors_of_one_runtime_only(sig):
+    rows = [log(logger="x"), log(runtime="runtime-b", logger="y"), log(ago(hours=25), logger="z")]
+    assert values(processor_errors(sig(rows), AS_OF, runtime="runtime-a")) == [("x", 1, 100.0)]
+    assert values(processor_errors(sig(rows), AS_OF, runtime="nobody")) == []
+
+
+def test_time_range(sig):
+    rows = [log(ago(hours=h), logger=f"p{h}") for h in (1, 2, 3)] + [log(ago(hours=30))]
+    flat = sig(rows)
+    assert values(error_time_range(flat, AS_OF, runtime="runtime-a")) == [
+        (ago(hours=3), ago(hours=1))
+    ]
+    one = error_time_range(flat, AS_OF, runtime="runtime-a", processor="p2")
+    assert values(one) == [(ago(hours=2), ago(hours=2) + timedelta(seconds=1))]
+    assert values(error_time_range(flat, AS_OF, runtime="nobody")) == [(None, None)]
+
+
+def test_null_processor(sig):
+    rows = [log(logger=None, message="a"), log(logger="None", message="b"), log(logger="p")]
+    flat = sig(rows)
+    found = search_error_logs(flat, runtime="runtime-a", null_processor=True)
+    assert [r.message for r in found.collect()] == ["a"]
+    found = search_error_logs(flat, runtime="runtime-a", processor="None")
+    assert [r.message for r in found.collect()] == ["b"]
+    assert len(values(search_error_logs(flat, runtime="runtime-a"))) == 3
+    first = error_time_range(flat, AS_OF, runtime="runtime-a", null_processor=True).first()
+    assert first.min_ts == AS_OF
+
+
+MESSAGES = ["Disk FULL at 50%", "50\\% off", "snake_case", "it's", "C:\\temp\\", "fullness", None]
+
+
+@pytest.mark.parametrize(
+    "term, expected",
+    [
+        ("", [m for m in MESSAGES if m is not None]),
+        ("full", ["Disk FULL at 50%", "fullness"]),
+        ("FULL", ["Disk FULL at 50%", "fullness"]),
+        ("disk%50", ["Disk FULL at 50%"]),
+        ("e_c", ["snake_case"]),
+        ("it's", ["it's"]),
+        ("50\\% off", ["50\\% off"]),
+        ("temp\\", ["C:\\temp\\"]),
+        ("\\", ["50\\% off", "C:\\temp\\"]),
+        ("absent", []),
+    ],
+)
+def test_search_terms(sig, term, expected):
+    rows = [log(message=m) for m in MESSAGES]
+    found = search_error_logs(sig(rows), runtime="runtime-a", term=term)
+    assert sorted(r.message for r in found.collect()) == sorted(expected)
+
+
+def test_search_range_is_inclusive_and_history_unbounded(sig):
+    rows = [log(ago(hours=h), message=str(h)) for h in (1, 2, 3, 4)] + [log(ago(days=900))]
+    flat = sig(rows)
+    found = search_error_logs(flat, runtime="runtime-a", time_range=(ago(hours=3), ago(hours=2)))
+    assert [r.message for r in found.collect()] == ["2", "3"]
+    assert search_error_logs(flat, runtime="runtime-a").count() == 5
+
+
+def test_search_keeps_the_newest_200(sig):
+    start = datetime(2024, 1, 1)
+    rows = [log(start + timedelta(minutes=i), message=str(i)) for i in range(201)]
+    found = values(search_error_logs(sig(rows).repartition(7), runtime="runtime-a"))
+    assert [m for _, _, m in found] == [str(i) for i in range(200, 0, -1)]
+
+
+def test_search_ties(sig):
+    rows = [log(logger=p, message=m) for p in ("b", None, "a") for m in ("2", "1")]
+    found = values(search_error_logs(sig(rows), runtime="runtime-a", limit=5))
+    assert [(p, m) for _, p, m in found] == [
+        ("a", "1"),
+        ("a", "2"),
+        ("b", "1"),
+        ("b", "2"),
+        (None, "1"),
+    ]
+
+
+def test_persisted_base_gives_the_same(sig):
+    rows = [log(ago(hours=h), f"runtime-{h % 3}", logger=f"p{h % 4}") for h in range(1, 20)]
+    flat = sig(rows)
+    base = error_logs(flat, AS_OF, 12).persist()
+    for report in (
+        lambda s: top_error_runtimes(s, AS_OF, 12),
+        lambda s: processor_errors(s, AS_OF, runtime="runtime-1", window_hours=12),
+        lambda s: error_runtimes(s, AS_OF, 12),
+    ):
+        assert bag(report(base)) == bag(report(flat))
+    base.unpersist()

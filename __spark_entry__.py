@@ -29,7 +29,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 def load_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = sw.read_events(spark, f"{sf_dir}/events.parquet")
-    return sw.signals(sw.telemetry_from_events(events), error_fields_only=True)
+    return sw.signals(sw.telemetry_from_events(events), error_level_only=True)
 
 
 def entry(spark: SparkSession) -> DataFrame:

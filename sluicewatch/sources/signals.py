@@ -30,7 +30,7 @@ SIGNALS_SCHEMA = T.StructType(
 )
 
 
-def signals(telemetry: DataFrame, *, error_fields_only: bool = False) -> DataFrame:
+def signals(telemetry: DataFrame, *, error_level_only: bool = False) -> DataFrame:
     """Flatten telemetry; works on batch and streaming frames alike.
 
     Attributes may be maps, structs, VARIANT or JSON text. A value is either a
@@ -38,18 +38,22 @@ def signals(telemetry: DataFrame, *, error_fields_only: bool = False) -> DataFra
     a brace: looking for one decides which of the two parsers a row needs, and
     spares numbers the JSON parser and log text a failing numeric cast.
 
-    ``error_fields_only`` leaves ``level``, ``logger`` and ``message`` NULL where
-    the level cannot be ERROR, and so parses next to no JSON where errors are
-    rare. No report tells the difference, since none tests another level. It is
-    meant for reports straight from telemetry; store signals without it.
+    ``error_level_only`` leaves ``level`` NULL where it cannot be ERROR, found out
+    by looking for the word in the text, so that error reports straight from
+    telemetry parse next to no JSON where errors are rare. No report tells the
+    difference, since none tests another level; store signals without it.
     """
     schema = telemetry.schema
     timestamp = _utc_wall_clock(F.col("timestamp"), schema["timestamp"].dataType)
     text = _text_at(F.col("value"), schema["value"].dataType)
     is_object = F.contains(text, F.lit("{"))
-    has_fields = _may_say(text, ERROR) if error_fields_only else is_object
-    record = F.when(has_fields, F.try_parse_json(text))
     number = F.when(is_object, F.lit(None)).otherwise(text.try_cast("double"))
+    if error_level_only:
+        record = F.try_parse_json(text)
+        level = F.when(_may_say(text, ERROR), F.try_variant_get(record, "$.level", "string"))
+    else:
+        record = F.when(is_object, F.try_parse_json(text))
+        level = F.try_variant_get(record, "$.level", "string")
 
     def attribute(column: str, *path: str) -> Column:
         return _text_at(F.col(column), schema[column].dataType, *path)
@@ -62,7 +66,7 @@ def signals(telemetry: DataFrame, *, error_fields_only: bool = False) -> DataFra
         F.col("record_type"),
         attribute("record", "metric", "name").alias("metric_name"),
         number.alias("value_num"),
-        F.try_variant_get(record, "$.level", "string").alias("level"),
+        level.alias("level"),
         F.try_variant_get(record, "$.loggerName", "string").alias("logger"),
         F.try_variant_get(record, "$.formattedMessage", "string").alias("message"),
     )

@@ -60,7 +60,7 @@ def plan(df, mode="formatted") -> str:
 @pytest.mark.parametrize("name", sorted(REPORTS))
 def test_same_result_over_telemetry_and_stored_signals(tables, name):
     raw, stored = tables
-    direct = REPORTS[name](sw.signals(raw, error_fields_only=True))
+    direct = REPORTS[name](sw.signals(raw, error_level_only=True))
     assert bag(REPORTS[name](stored)) == bag(direct)
 
 
@@ -88,7 +88,7 @@ def test_error_predicates_reach_the_scan(tables):
 
 @pytest.mark.parametrize("name", sorted(REPORTS))
 def test_no_python_no_cross_join(tables, name):
-    for source in (sw.signals(tables[0], error_fields_only=True), tables[1]):
+    for source in (sw.signals(tables[0], error_level_only=True), tables[1]):
         text = plan(REPORTS[name](source))
         for operator in ("Python", "CartesianProduct", "BroadcastNestedLoopJoin", "SortMergeJoin"):
             assert operator not in text
@@ -114,7 +114,7 @@ def test_aggregates_hash_and_combine_before_the_shuffle(tables, name):
 @pytest.mark.parametrize("name", sorted(REPORTS))
 def test_generated_methods_stay_small_enough_to_be_compiled(tables, name):
     """HotSpot leaves methods over 8000 bytes of bytecode interpreted."""
-    for source in (sw.signals(tables[0], error_fields_only=True), tables[1]):
+    for source in (sw.signals(tables[0], error_level_only=True), tables[1]):
         report = REPORTS[name](source)
         report.collect()
         sizes = re.findall(r"maxMethodCodeSize:(\d+)", plan(report, "codegen"))

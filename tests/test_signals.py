@@ -34,16 +34,16 @@ JSON_EDGES = [
 ]
 
 
-@pytest.mark.parametrize("error_fields_only", [False, True])
-def test_json_edges(telemetry, error_fields_only):
+@pytest.mark.parametrize("error_level_only", [False, True])
+def test_json_edges(telemetry, error_level_only):
     rows = [row(component=str(i), kind="LOG", value=v) for i, (v, _) in enumerate(JSON_EDGES)]
-    flat = signals(telemetry(rows), error_fields_only=error_fields_only)
+    flat = signals(telemetry(rows), error_level_only=error_level_only)
     found = {
         int(r.component): (r.level, r.logger, r.message)
         for r in flat.select("component", "level", "logger", "message").collect()
     }
     for i, (text, expected) in enumerate(JSON_EDGES):
-        if error_fields_only and expected[0] != "ERROR":
+        if error_level_only and expected[0] != "ERROR":
             assert found[i][0] != "ERROR", text
         else:
             assert found[i] == expected, text

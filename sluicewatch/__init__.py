@@ -24,7 +24,13 @@ from sluicewatch.operators.status import (
     stopped_processors,
 )
 from sluicewatch.plans.board import HealthBoard
-from sluicewatch.sources.signals import SIGNALS_SCHEMA, read_signals, signals, write_signals
+from sluicewatch.sources.signals import (
+    SIGNALS_SCHEMA,
+    read_signals,
+    seen_by,
+    signals,
+    write_signals,
+)
 from sluicewatch.sources.telemetry import (
     TELEMETRY_SCHEMA,
     read_events,
@@ -61,6 +67,7 @@ __all__ = [
     "runtime_status",
     "runtime_status_totals",
     "search_error_logs",
+    "seen_by",
     "signals",
     "stopped_processors",
     "telemetry_from_events",

@@ -32,20 +32,21 @@ def ntz(moment: datetime) -> Column:
     return F.lit(moment.isoformat(sep=" ")).cast("timestamp_ntz")
 
 
-def within(as_of: AsOf, span: timedelta, until: AsOf = None) -> Column:
-    """Rows later than ``as_of - span`` (strictly).
+def within(as_of: AsOf, span: timedelta) -> Column:
+    """Rows later than ``as_of - span`` (strictly); rows dated after ``as_of`` count.
 
-    There is no upper bound unless ``until`` is given (inclusive), so rows dated
-    after ``as_of`` count. The ``event_date`` bound is implied by the timestamp
-    bound; it is spelled out because Spark does not derive it, and it is what
-    prunes the date partitions of a stored signals table.
+    The ``event_date`` bound is implied by the timestamp bound; it is spelled out
+    because Spark does not derive it, and it is what prunes the date partitions
+    of a stored signals table.
     """
     start = resolve_as_of(as_of) - span
-    kept = (F.col("event_date") >= F.lit(start.date())) & (F.col("timestamp") > ntz(start))
-    if until is not None:
-        end = resolve_as_of(until)
-        kept &= (F.col("event_date") <= F.lit(end.date())) & (F.col("timestamp") <= ntz(end))
-    return kept
+    return (F.col("event_date") >= F.lit(start.date())) & (F.col("timestamp") > ntz(start))
+
+
+def not_after(moment: AsOf) -> Column:
+    """Rows up to and including ``moment``, with the implied date bound."""
+    end = resolve_as_of(moment)
+    return (F.col("event_date") <= F.lit(end.date())) & (F.col("timestamp") <= ntz(end))
 
 
 def between(start: AsOf, end: AsOf) -> Column:

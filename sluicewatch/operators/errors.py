@@ -20,14 +20,13 @@ def error_logs(
     as_of: AsOf = None,
     window_hours: float = 24,
     runtimes: Runtimes = None,
-    until: AsOf = None,
 ) -> DataFrame:
     """Signals of level ERROR in the window.
 
     The result has the signals columns, so it can be persisted and handed to the
     other functions of this module in place of ``sig``.
     """
-    return _errors_within(sig, as_of, timedelta(hours=window_hours), runtimes, until)
+    return _errors_within(sig, as_of, timedelta(hours=window_hours), runtimes)
 
 
 def high_error_runtimes(
@@ -150,10 +149,10 @@ def search_error_logs(
 
 
 def _errors_within(
-    sig: DataFrame, as_of: AsOf, span: timedelta, runtimes: Runtimes, until: AsOf = None
+    sig: DataFrame, as_of: AsOf, span: timedelta, runtimes: Runtimes
 ) -> DataFrame:
     # Cheap conditions first: over raw telemetry the level comes out of JSON.
-    return sig.where(within(as_of, span, until) & in_runtimes(runtimes) & is_error())
+    return sig.where(within(as_of, span) & in_runtimes(runtimes) & is_error())
 
 
 def _of_processor(processor: str | None, null_processor: bool) -> Column:

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sluicewatch.functions.timewin import AsOf, not_after
 from sluicewatch.functions.vocabulary import COMPONENT_KEY, ERROR, RUNTIME_KEY
 
 SIGNALS_SCHEMA = T.StructType(
@@ -72,6 +73,15 @@ def signals(telemetry: DataFrame, *, error_level_only: bool = False) -> DataFram
     )
 
 
+def seen_by(sig: DataFrame, moment: AsOf) -> DataFrame:
+    """Signals up to ``moment``, to report on a past time as it looked then.
+
+    Reports bound their windows below only, so without this, events later than
+    ``as_of`` count.
+    """
+    return sig.where(not_after(moment))
+
+
 def write_signals(
     sig: DataFrame, path: str, *, mode: str = "append", compact: bool = False
 ) -> None:

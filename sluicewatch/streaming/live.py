@@ -80,16 +80,21 @@ def latest_processor_status(marks: DataFrame) -> DataFrame:
     )
 
 
-def append_to_table(result: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Store closed windows as Parquet, processing what is available, then stop.
+def append_to_table(
+    result: DataFrame, path: str, checkpoint: str, partition_by: str | None = None
+) -> StreamingQuery:
+    """Store rows or closed windows as Parquet: all that is available, then stop.
 
     Both folders have to be shared by all executors. A restart with the same
-    checkpoint goes on where the last run stopped.
+    checkpoint goes on where the last run stopped. Streamed signals partitioned
+    by ``event_date`` keep a signals table up to date; one table should be
+    written either by streams or by batches, since readers trust the stream's log.
     """
+    writer = result.writeStream.outputMode("append").format("parquet")
+    if partition_by is not None:
+        writer = writer.partitionBy(partition_by)
     return (
-        result.writeStream.outputMode("append")
-        .format("parquet")
-        .option("path", path)
+        writer.option("path", path)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()

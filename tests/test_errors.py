@@ -3,6 +3,7 @@ from __future__ import annotations
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.errors import AnalysisException
 
 from sluicewatch import (
     error_logs,
@@ -11,6 +12,7 @@ from sluicewatch import (
     high_error_runtimes,
     processor_errors,
     search_error_logs,
+    seen_by,
     top_error_runtimes,
 )
 from tests.conftest import AS_OF, ago, bag, log, row, values
@@ -58,10 +60,15 @@ def test_only_log_records_are_errors(sig):
     assert bag(error_runtimes(sig([json_metric]), AS_OF)) == []
 
 
-def test_until_is_optional_and_inclusive(sig):
-    rows = [log(AS_OF), log(AS_OF + timedelta(microseconds=1))]
-    assert error_logs(sig(rows), AS_OF).count() == 2
-    assert error_logs(sig(rows), AS_OF, until=AS_OF).count() == 1
+def test_replay_leaves_out_what_came_later(sig):
+    flat = sig([log(AS_OF), log(AS_OF + timedelta(microseconds=1)), log(ago(days=-1))])
+    assert error_logs(flat, AS_OF).count() == 3
+    assert error_logs(seen_by(flat, AS_OF), AS_OF).count() == 1
+
+
+def test_failures_are_not_taken_for_missing_data(spark):
+    with pytest.raises(AnalysisException):
+        top_error_runtimes(spark.range(1), AS_OF)
 
 
 def test_top_runtimes_ties_by_name(sig):

@@ -89,6 +89,19 @@ def test_restart_goes_on_where_it_stopped(stream, spark):
     assert found.count() == found.distinct().count() == 6
 
 
+def test_streamed_signals_table(spark, telemetry, sig, tmp_path):
+    source, table, checkpoint = (f"{tmp_path}/{n}" for n in ("source", "table", "checkpoint"))
+    rows = [log(ago(days=d), f"runtime-{d}") for d in range(4)]
+    for batch in (rows[:3], rows[3:]):
+        telemetry(batch).write.mode("append").parquet(source)
+        stream = sw.signals(spark.readStream.schema(telemetry([]).schema).parquet(source))
+        live.append_to_table(stream, table, checkpoint, "event_date").awaitTermination()
+    stored = sw.read_signals(spark, table)
+    assert bag(stored) == bag(sig(rows))
+    recent = sw.error_runtimes(stored, ago(minutes=-1), 24)
+    assert bag(recent) == [("runtime-0",)]
+
+
 def test_streams_need_utc(spark, sig):
     spark.conf.set("spark.sql.session.timeZone", "Europe/Paris")
     try:

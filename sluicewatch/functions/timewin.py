@@ -35,26 +35,36 @@ def ntz(moment: datetime) -> Column:
 def within(as_of: AsOf, span: timedelta) -> Column:
     """Rows later than ``as_of - span`` (strictly); rows dated after ``as_of`` count.
 
-    The ``event_date`` bound is implied by the timestamp bound; it is spelled out
-    because Spark does not derive it, and it is what prunes the date partitions
-    of a stored signals table.
+    The bound on date and hour follows from the one on the timestamp. It is
+    spelled out because it is what prunes the partitions of a stored signals
+    table: Spark neither derives it, nor skips Parquet row groups by
+    ``TIMESTAMP_NTZ`` bounds.
     """
     start = resolve_as_of(as_of) - span
-    return (F.col("event_date") >= F.lit(start.date())) & (F.col("timestamp") > ntz(start))
+    return _from_hour_of(start) & (F.col("timestamp") > ntz(start))
 
 
 def not_after(moment: AsOf) -> Column:
-    """Rows up to and including ``moment``, with the implied date bound."""
+    """Rows up to and including ``moment``."""
     end = resolve_as_of(moment)
-    return (F.col("event_date") <= F.lit(end.date())) & (F.col("timestamp") <= ntz(end))
+    return _to_hour_of(end) & (F.col("timestamp") <= ntz(end))
 
 
 def between(start: AsOf, end: AsOf) -> Column:
-    """Rows from ``start`` to ``end``, both included, with the implied date bounds."""
+    """Rows from ``start`` to ``end``, both included."""
     first, last = resolve_as_of(start), resolve_as_of(end)
-    return F.col("event_date").between(F.lit(first.date()), F.lit(last.date())) & F.col(
-        "timestamp"
-    ).between(ntz(first), ntz(last))
+    in_hours = _from_hour_of(first) & _to_hour_of(last)
+    return in_hours & F.col("timestamp").between(ntz(first), ntz(last))
+
+
+def _from_hour_of(moment: datetime) -> Column:
+    day, hour, date = F.col("event_date"), F.col("event_hour"), F.lit(moment.date())
+    return (day > date) | ((day == date) & (hour >= moment.hour))
+
+
+def _to_hour_of(moment: datetime) -> Column:
+    day, hour, date = F.col("event_date"), F.col("event_hour"), F.lit(moment.date())
+    return (day < date) | ((day == date) & (hour <= moment.hour))
 
 
 def bucket_for(window_hours: float) -> str:
@@ -62,12 +72,10 @@ def bucket_for(window_hours: float) -> str:
     return "hour" if window_hours <= 48 else "day"
 
 
-def bucket_start(event_date: Column, hour: Column | None = None) -> Column:
-    """First instant of a day, or of one hour of it."""
-    midnight = event_date.cast("timestamp_ntz")
-    if hour is None:
-        return midnight
-    return midnight + F.make_dt_interval(hours=hour)
+def bucket_start(date: str, hour: str | None = None) -> Column:
+    """First instant of a day, or of one hour of it, from the columns named."""
+    midnight = F.col(date).cast("timestamp_ntz")
+    return midnight if hour is None else midnight + F.make_dt_interval(hours=F.col(hour))
 
 
 def iso_weekday(event_date: Column) -> Column:

@@ -31,7 +31,7 @@ def error_heatmap(
         error_logs(sig, as_of, window_hours, chosen)
         .groupBy(
             iso_weekday(F.col("event_date")).alias("day_index"),
-            F.hour("timestamp").alias("hour_of_day"),
+            F.col("event_hour").alias("hour_of_day"),
         )
         .agg(F.count("*").alias("counted"))
     )

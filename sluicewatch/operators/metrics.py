@@ -43,11 +43,7 @@ def kpi_trend(
     Buckets without rows are absent. The bucket's parts are the grouping keys;
     its timestamp is put together once per group.
     """
-    hourly = bucket_for(window_hours) == "hour"
-    parts = [F.col("event_date")]
-    if hourly:
-        parts.append(F.hour("timestamp").alias("hour"))
-    start = bucket_start(F.col("event_date"), F.col("hour") if hourly else None)
+    parts = ["event_date"] + ["event_hour"] * (bucket_for(window_hours) == "hour")
     return (
         sig.where(
             F.col("record_type").isin(LOG, METRIC)
@@ -60,7 +56,12 @@ def kpi_trend(
             total_errors().alias("total_errors"),
             max_queue_minutes().alias("max_queue_minutes"),
         )
-        .select(start.alias("time_bucket"), "runtime", "total_errors", "max_queue_minutes")
+        .select(
+            bucket_start(*parts).alias("time_bucket"),
+            "runtime",
+            "total_errors",
+            "max_queue_minutes",
+        )
         .orderBy("time_bucket", "runtime")
     )
 

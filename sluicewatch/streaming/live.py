@@ -8,6 +8,8 @@ end; in update mode it is emitted as it changes.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -81,20 +83,21 @@ def latest_processor_status(marks: DataFrame) -> DataFrame:
 
 
 def append_to_table(
-    result: DataFrame, path: str, checkpoint: str, partition_by: str | None = None
+    result: DataFrame, path: str, checkpoint: str, partition_by: Sequence[str] = ()
 ) -> StreamingQuery:
     """Store rows or closed windows as Parquet: all that is available, then stop.
 
     Both folders have to be shared by all executors. A restart with the same
-    checkpoint goes on where the last run stopped. Streamed signals partitioned
-    by ``event_date`` keep a signals table up to date; one table should be
-    written either by streams or by batches, since readers trust the stream's log.
+    checkpoint goes on where the last run stopped. Signals themselves can be
+    stored like this, partitioned by ``PARTITIONS``, to keep their table up to
+    date. A table should be written either by streams or by batches, not both,
+    since readers trust the stream's log of files.
     """
-    writer = result.writeStream.outputMode("append").format("parquet")
-    if partition_by is not None:
-        writer = writer.partitionBy(partition_by)
     return (
-        writer.option("path", path)
+        result.writeStream.outputMode("append")
+        .format("parquet")
+        .partitionBy(*partition_by)
+        .option("path", path)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()

@@ -76,7 +76,21 @@ def test_stored_signals_prune(tables, name):
         "search_error_logs",
     )
     if name not in ALL_HISTORY:
-        assert re.search(r"PartitionFilters: \[.*event_date.*>=", text)
+        assert re.search(r"PartitionFilters: \[.*event_date.*event_hour.*>=", text)
+
+
+def test_short_windows_read_few_hours(spark, tables):
+    """Of the five days stored, half an hour lies in two hours at most."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # keeps the scan's metrics at hand
+    try:
+        report = sw.high_error_runtimes(tables[1], AS_OF, 30, 0)
+        assert report.count() == 1
+        read = report._jdf.queryExecution().executedPlan()
+        report.collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    scan = read.collectLeaves().apply(0)
+    assert 1 <= scan.metrics().apply("numPartitions").value() <= 2
 
 
 def test_error_predicates_reach_the_scan(tables):

@@ -73,7 +73,7 @@ def test_schema_and_missing_attributes(sig):
     ]
     got = flat.first()
     assert (got.runtime, got.component, got.metric_name) == (None, None, None)
-    assert got.event_date == date(2024, 3, 13)
+    assert (got.event_date, got.event_hour) == (date(2024, 3, 13), 12)
 
 
 @pytest.mark.parametrize("shape", ["struct", "json", "variant"])
@@ -133,17 +133,20 @@ def test_error_guard_never_hides_an_error(spark, spellings):
     assert all(json.loads(r.t)["level"] != "ERROR" for r in guarded.collect())
 
 
-def test_stored_signals_round_trip(spark, sig, tmp_path):
+@pytest.mark.parametrize("partition_by", [["event_date", "event_hour"], ["event_date"]])
+@pytest.mark.parametrize("compact", [False, True])
+def test_stored_signals_round_trip(spark, sig, tmp_path, partition_by, compact):
     rows = [log(ago(days=i), f"runtime-{i}") for i in range(4)] + [
         row(ago(days=1), metric="m", value="4")
     ]
+    rows.append(row(None, metric="m", value="5"))
     flat, path = sig(rows), str(tmp_path / "signals")
-    write_signals(flat, path)
+    write_signals(flat, path, partition_by=partition_by, compact=compact)
     assert bag(read_signals(spark, path)) == bag(flat)
     assert read_signals(spark, path).columns == SIGNALS_SCHEMA.fieldNames()
 
 
-def test_overwrite_replaces_only_its_dates(spark, sig, tmp_path):
+def test_overwrite_replaces_only_its_partitions(spark, sig, tmp_path):
     path = str(tmp_path / "signals")
     write_signals(sig([log(ago(days=1)), log(ago(days=2))]), path)
     again = sig([log(ago(days=1), message="new")])
@@ -152,8 +155,8 @@ def test_overwrite_replaces_only_its_dates(spark, sig, tmp_path):
     assert stored == {(date(2024, 3, 13), "new"), (date(2024, 3, 12), "m")}
 
 
-def test_compact_splits_a_hot_date(spark, sig, tmp_path):
-    """A date with nearly all rows is written by several tasks, and nothing is lost."""
+def test_compact_splits_a_hot_hour(spark, sig, tmp_path):
+    """An hour with nearly all rows is written by several tasks, and nothing is lost."""
     path = str(tmp_path / "signals")
     flat = sig([row(ago(days=1))]).select(
         *[c for c in SIGNALS_SCHEMA.fieldNames() if c not in ("message", "runtime")]

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 import sluicewatch as sw
 from sluicewatch.functions.vocabulary import QUEUED_DURATION, RUN_STATUS
+from sluicewatch.sources.signals import PARTITIONS
 from sluicewatch.streaming import live
 from tests.conftest import ago, bag, log, row
 
@@ -95,7 +96,7 @@ def test_streamed_signals_table(spark, telemetry, sig, tmp_path):
     for batch in (rows[:3], rows[3:]):
         telemetry(batch).write.mode("append").parquet(source)
         stream = sw.signals(spark.readStream.schema(telemetry([]).schema).parquet(source))
-        live.append_to_table(stream, table, checkpoint, "event_date").awaitTermination()
+        live.append_to_table(stream, table, checkpoint, PARTITIONS).awaitTermination()
     stored = sw.read_signals(spark, table)
     assert bag(stored) == bag(sig(rows))
     recent = sw.error_runtimes(stored, ago(minutes=-1), 24)

@@ -21,6 +21,7 @@ from sluicewatch.streaming import live
 
 AS_OF = "2024-01-31 00:00:00"
 WEEK = 168
+ZONE = "spark.sql.session.timeZone"
 SELECTED = ["runtime-2", "runtime-3", "system-1"]
 SEARCH_FROM, SEARCH_TO = "2024-01-24 12:00:00", "2024-01-30 06:30:00"
 
@@ -128,7 +129,14 @@ def over_stream(
     """Stream ``events`` through a report into a table of the shared folder; read that."""
 
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        spark.conf.set("spark.sql.session.timeZone", "UTC")
+        zone = spark.conf.get(ZONE)
+        spark.conf.set(ZONE, "UTC")
+        try:
+            return utc_query(spark, sf_dir)
+        finally:
+            spark.conf.set(ZONE, zone)
+
+    def utc_query(spark: SparkSession, sf_dir: str) -> DataFrame:
         events = spark.readStream.schema(EVENTS_SCHEMA).parquet(f"{sf_dir}/events.parquet*")
         result = live_report(sw.signals(sw.telemetry_from_events(events)))
         folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"

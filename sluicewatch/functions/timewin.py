@@ -41,20 +41,20 @@ def within(as_of: AsOf, span: timedelta) -> Column:
     ``TIMESTAMP_NTZ`` bounds.
     """
     start = resolve_as_of(as_of) - span
-    return _from_hour_of(start) & (F.col("timestamp") > ntz(start))
+    return (F.col("timestamp") > ntz(start)) & _from_hour_of(start)
 
 
 def not_after(moment: AsOf) -> Column:
     """Rows up to and including ``moment``."""
     end = resolve_as_of(moment)
-    return _to_hour_of(end) & (F.col("timestamp") <= ntz(end))
+    return (F.col("timestamp") <= ntz(end)) & _to_hour_of(end)
 
 
 def between(start: AsOf, end: AsOf) -> Column:
     """Rows from ``start`` to ``end``, both included."""
     first, last = resolve_as_of(start), resolve_as_of(end)
-    in_hours = _from_hour_of(first) & _to_hour_of(last)
-    return in_hours & F.col("timestamp").between(ntz(first), ntz(last))
+    in_range = F.col("timestamp").between(ntz(first), ntz(last))
+    return in_range & _from_hour_of(first) & _to_hour_of(last)
 
 
 def _from_hour_of(moment: datetime) -> Column:

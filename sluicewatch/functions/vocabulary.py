@@ -21,8 +21,6 @@ INACTIVE = "🔴 Inactive"
 
 WEEKDAYS = ("Mon", "Tue", "Wed", "Thu", "Fri", "Sat", "Sun")
 
-WINDOW_HOURS = (1, 6, 24, 168)
-
 HIGH_ERROR_FINDING = {
     "type": "error",
     "icon": "🔥",

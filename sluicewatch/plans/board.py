@@ -26,7 +26,7 @@ class HealthBoard:
     as_of: AsOf = None
     window_hours: float = 24
     runtimes: Sequence[str] | None = None
-    errors: DataFrame | None = field(default=None, repr=False)
+    cached_errors: DataFrame | None = field(default=None, repr=False)
 
     def __post_init__(self) -> None:
         moment: datetime = resolve_as_of(self.as_of)
@@ -37,10 +37,10 @@ class HealthBoard:
 
         Five reports start from them. They are kept for all runtimes, because
         some reports leave the runtime selection out. Call
-        ``board.errors.unpersist()`` when done.
+        ``board.cached_errors.unpersist()`` when done.
         """
         logs = errors.error_logs(self.signals, self.as_of, self.window_hours)
-        return replace(self, errors=logs.persist(level))
+        return replace(self, cached_errors=logs.persist(level))
 
     def recent_runtimes(self, include_internal: bool = False) -> DataFrame:
         return runtimes.recent_runtimes(
@@ -117,4 +117,4 @@ class HealthBoard:
         return status.runtime_status_totals(self.runtime_status(inactivity_hours, user_only))
 
     def _error_source(self) -> DataFrame:
-        return self.signals if self.errors is None else self.errors
+        return self.signals if self.cached_errors is None else self.cached_errors

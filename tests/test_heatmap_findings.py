@@ -110,7 +110,7 @@ def test_board_reports_share_filters(sig):
         lambda b: b.error_heatmap("runtime-a"),
     ):
         assert bag(report(cached)) == bag(report(board))
-    cached.errors.unpersist()
+    cached.cached_errors.unpersist()
     assert values(board.top_error_runtimes()) == [("runtime-a", 9)]
     assert [r.runtime for r in board.findings().collect()] == ["runtime-a"]
     assert len(board.kpi_trend().collect()) == 2

@@ -174,7 +174,8 @@ telemetry AS (
 
 SIGNALS = f"""{TELEMETRY},
 sig AS (
-  SELECT ts, CAST(ts AS DATE) AS event_date, CAST(hour(ts) AS INTEGER) AS event_hour, runtime, component, record_type, metric_name,
+  SELECT ts, CAST(ts AS DATE) AS event_date, CAST(hour(ts) AS INTEGER) AS event_hour,
+    runtime, component, record_type, metric_name,
     TRY_CAST(value AS DOUBLE) AS value_num,
     json_extract_string(TRY_CAST(value AS JSON), '$.level') AS level,
     json_extract_string(TRY_CAST(value AS JSON), '$.loggerName') AS logger,

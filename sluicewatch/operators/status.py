@@ -19,8 +19,8 @@ from sluicewatch.functions.vocabulary import (
 )
 
 
-def run_status_marks(samples: DataFrame, *within_keys: Column) -> DataFrame:
-    """Three marks per processor (and further keys) that tell its latest run status.
+def run_status_marks(samples: DataFrame, *keys: Column) -> DataFrame:
+    """Three marks per processor (and per further ``keys``) that tell its latest run status.
 
     The latest sample decides; among samples of the same instant the largest
     value does, NULL being the smallest. So a processor is stopped exactly when
@@ -29,7 +29,7 @@ def run_status_marks(samples: DataFrame, *within_keys: Column) -> DataFrame:
     shuffles one row per task, and nothing is sorted.
     """
     value, seen = F.col("value_num"), F.col("timestamp")
-    return samples.groupBy(*within_keys, "runtime", "component").agg(
+    return samples.groupBy(*keys, "runtime", "component").agg(
         F.max(seen).alias("last_seen"),
         F.max(F.when(value == 0, seen)).alias("last_zero"),
         F.max(F.when(value > 0, seen)).alias("last_positive"),

@@ -13,6 +13,16 @@ from sluicewatch.functions.timewin import AsOf, resolve_as_of
 from sluicewatch.operators import errors, heatmap, metrics, runtimes, status
 from sluicewatch.operators import findings as finding_reports
 
+ERROR_COLUMNS = (
+    "timestamp",
+    "event_date",
+    "event_hour",
+    "runtime",
+    "record_type",
+    "level",
+    "logger",
+)
+
 
 @dataclass(frozen=True)
 class HealthBoard:
@@ -35,12 +45,12 @@ class HealthBoard:
     def with_cached_errors(self, level: StorageLevel = StorageLevel.MEMORY_AND_DISK) -> HealthBoard:
         """The same board with the window's error logs persisted.
 
-        Five reports start from them. They are kept for all runtimes, because
-        some reports leave the runtime selection out. Call
-        ``board.cached_errors.unpersist()`` when done.
+        Five reports start from them, and none needs the messages, which are most
+        of a log. They are kept for all runtimes, because some reports leave the
+        runtime selection out. Call ``board.cached_errors.unpersist()`` when done.
         """
         logs = errors.error_logs(self.signals, self.as_of, self.window_hours)
-        return replace(self, cached_errors=logs.persist(level))
+        return replace(self, cached_errors=logs.select(*ERROR_COLUMNS).persist(level))
 
     def recent_runtimes(self, include_internal: bool = False) -> DataFrame:
         return runtimes.recent_runtimes(
@@ -72,12 +82,15 @@ class HealthBoard:
             k=k,
         )
 
-    def error_time_range(self, runtime: str, processor: str | None = None) -> DataFrame:
+    def error_time_range(
+        self, runtime: str, processor: str | None = None, null_processor: bool = False
+    ) -> DataFrame:
         return errors.error_time_range(
             self._error_source(),
             self.as_of,
             runtime=runtime,
             processor=processor,
+            null_processor=null_processor,
             window_hours=self.window_hours,
         )
 
@@ -85,12 +98,20 @@ class HealthBoard:
         self,
         runtime: str,
         processor: str | None = None,
+        null_processor: bool = False,
         time_range: tuple[AsOf, AsOf] | None = None,
         term: str = "",
+        limit: int = 200,
     ) -> DataFrame:
         """Searches all history, not only the board's window."""
         return errors.search_error_logs(
-            self.signals, runtime=runtime, processor=processor, time_range=time_range, term=term
+            self.signals,
+            runtime=runtime,
+            processor=processor,
+            null_processor=null_processor,
+            time_range=time_range,
+            term=term,
+            limit=limit,
         )
 
     def backpressure(self, min_mib: float = 0) -> DataFrame:

@@ -23,7 +23,9 @@ def top_k_of_scan(
     tasks are 160 million. Here each scan task keeps its own first ``k`` and
     sends them to one of ``merge_groups`` tasks, which do the same, so that the
     last step meets at most ``k * merge_groups`` rows. A scan task sends to a
-    single group, whatever its rows are, so no key can make a group hot.
+    single group, whatever its rows are, so no key can make a group hot. Beyond
+    ``spark.sql.optimizer.windowGroupLimitThreshold`` (1000) Spark no longer limits
+    before the shuffle; the result stays exact.
     """
     group, place = "__merge_group", "__place"
     ranked = df.withColumn(

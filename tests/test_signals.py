@@ -80,10 +80,10 @@ def test_schema_and_missing_attributes(sig):
 def test_other_attribute_types(spark, telemetry, shape):
     plain = telemetry([row(runtime="runtime-x", metric="m", value="3"), log(message='say "hi"')])
     if shape == "struct":
-        other = plain.withColumn(
-            "resource_attributes",
-            F.struct(F.col("resource_attributes")["k8s.namespace.name"].alias("k8s.namespace.name")),
-        ).withColumn("record_attributes", F.struct(F.col("record_attributes")["name"].alias("name")))
+        other = plain
+        keys = {"resource_attributes": "k8s.namespace.name", "record_attributes": "name"}
+        for column, key in keys.items():
+            other = other.withColumn(column, F.struct(F.col(column)[key].alias(key)))
     else:
         other = plain
         for column in ("resource_attributes", "record_attributes", "record"):

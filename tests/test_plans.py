@@ -79,6 +79,54 @@ def test_stored_signals_prune(tables, name):
         assert re.search(r"PartitionFilters: \[.*event_date.*event_hour.*>=", text)
 
 
+@pytest.fixture(scope="module")
+def skewed(spark):
+    """40,000 rows on 8 tasks, more than a third of them of one runtime and processor."""
+    n = F.col("id")
+    hot = F.pmod(F.xxhash64("id"), F.lit(5)) < 2
+    return (
+        spark.range(0, 40000, 1, 8)
+        .select(
+            (F.expr("timestamp_ntz'2024-03-14 12:00:00'") - F.make_dt_interval(secs=n % 1700)).alias(
+                "timestamp"
+            ),
+            F.when(hot, "runtime-a").otherwise(F.concat(F.lit("runtime-"), n % 20)).alias("runtime"),
+            F.when(hot, "c-hot").otherwise(F.concat(F.lit("c-"), n % 3)).alias("component"),
+            F.when(n % 2 == 0, "LOG").otherwise("METRIC").alias("record_type"),
+            F.when(n % 6 == 1, RUN_STATUS)
+            .when(n % 6 == 3, QUEUED_BYTES)
+            .when(n % 6 == 5, QUEUED_DURATION)
+            .alias("metric_name"),
+            F.when(n % 6 == 1, 0.0).otherwise(n % 7).cast("double").alias("value_num"),
+            F.when(n % 2 == 0, "ERROR").alias("level"),
+            F.when(hot, "p").otherwise(F.concat(F.lit("p-"), n % 6)).alias("logger"),
+            F.concat(F.lit("message "), n).alias("message"),
+        )
+        .withColumn("event_date", F.col("timestamp").cast("date"))
+        .withColumn("event_hour", F.hour("timestamp"))
+        .select(*sw.SIGNALS_SCHEMA.fieldNames())
+    )
+
+
+@pytest.mark.parametrize("name", sorted(REPORTS))
+def test_a_hot_key_shuffles_no_more_rows_than_any_other(spark, skewed, name):
+    """What crosses a shuffle depends on tasks and keys, not on the rows of a key."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # keeps the metrics at hand
+    try:
+        report = REPORTS[name](skewed)
+        assert report.collect()
+        nodes, written = [report._jdf.queryExecution().executedPlan()], []
+        while nodes:
+            node = nodes.pop()
+            metric = node.metrics().get("shuffleRecordsWritten")
+            written += [metric.get().value()] if metric.isDefined() else []
+            nodes += [node.children().apply(i) for i in range(node.children().size())]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    keys = 200 if name == "search_error_logs" else 21 * 4 * 2
+    assert written and max(written) <= 8 * keys
+
+
 def test_short_windows_read_few_hours(spark, tables):
     """Of the five days stored, half an hour lies in two hours at most."""
     spark.conf.set("spark.sql.adaptive.enabled", "false")  # keeps the scan's metrics at hand

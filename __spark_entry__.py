@@ -138,7 +138,8 @@ def over_stream(
 
     def utc_query(spark: SparkSession, sf_dir: str) -> DataFrame:
         events = spark.readStream.schema(EVENTS_SCHEMA).parquet(f"{sf_dir}/events.parquet*")
-        result = live_report(sw.signals(sw.telemetry_from_events(events)))
+        telemetry = sw.telemetry_from_events(events)
+        result = live_report(sw.signals(telemetry, error_level_only=True))
         folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
         table = f"{folder}/table"
         live.append_to_table(result, table, f"{folder}/checkpoint").awaitTermination()

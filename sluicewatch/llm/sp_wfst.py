@@ -390,7 +390,7 @@ def decode(encoded: DataFrame, model_path: str, ids: str = "piece_ids") -> DataF
     """
     kept = [c for c in encoded.columns if c != "decoded"]
     rows = encoded.select(*(f"`{c}`" for c in kept)).toDF(*(f"c{i}" for i in range(len(kept))))
-    at = kept.index(ids)
+    at, names = kept.index(ids), [*rows.columns, "decoded"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoder = Decoder(model_path)
@@ -399,7 +399,7 @@ def decode(encoded: DataFrame, model_path: str, ids: str = "piece_ids") -> DataF
                 part = batch.slice(start, 500)
                 texts = [None if x is None else decoder(x) for x in part.column(at).to_pylist()]
                 made = pa.array(texts, pa.binary()).cast(pa.string())
-                yield pa.RecordBatch.from_arrays([*part.columns, made], names=[*rows.columns, "decoded"])
+                yield pa.RecordBatch.from_arrays([*part.columns, made], names=names)
 
     out = rows.mapInArrow(run, StructType([*rows.schema, StructField("decoded", StringType())]))
     return out.toDF(*kept, "decoded")

@@ -349,8 +349,8 @@ def wrapper(template: Slot) -> list:
 
     The region is an article or main element where most pages have one, and otherwise
     the lowest node with most of the varying text. Inside it all text is content but
-    that of chrome and constant texts; if most of the region is constant (copies of
-    one page), nothing in it counts as constant.
+    that of chrome and constant texts; if more texts of the region are constant than
+    vary (copies of one page), nothing in it counts as constant.
     """
     tagged = _has_region(template, template.pages)
     region = None if tagged else _main_region(template)
@@ -359,12 +359,13 @@ def wrapper(template: Slot) -> list:
         inside = inside or slot is region or (tagged and _is_region(slot.label))
         if _is_chrome(slot.label, inside):
             return 0, 0
-        constant, slots = (len(_constants(slot)), bool(slot.texts)) if inside else (0, 0)
+        constant = len(_constants(slot)) if inside else 0
+        others = len(slot.texts) - constant if inside else 0
         parts = [shares(k, inside) for k in slot.kids]
-        return bool(constant) + sum(x for x, _ in parts), slots + sum(y for _, y in parts)
+        return constant + sum(x for x, _ in parts), others + sum(y for _, y in parts)
 
-    constant, slots = shares(template, False)
-    trust = 2 * constant <= slots
+    constant, others = shares(template, False)
+    trust = constant <= others
 
     def rules(slot: Slot, inside: bool) -> list:
         inside = inside or slot is region or (tagged and _is_region(slot.label))

@@ -38,7 +38,37 @@ def entry(spark: SparkSession) -> DataFrame:
     return sw.kpi_trend(load_signals(spark, "/root/testdata/sf0.001"), AS_OF, WEEK)
 
 
+def corpus_modules():
+    """The modules of the corpus operators' queries and pipeline, or None without them."""
+    try:
+        import corpus_pipeline
+        from sluicewatch.llm import queries as corpus_queries
+    except ModuleNotFoundError as e:
+        if e.name not in ("corpus_pipeline", "sluicewatch.llm", "sluicewatch.llm.queries"):
+            raise
+        return None
+    return corpus_queries, corpus_pipeline
+
+
 def queries() -> dict[str, Query]:
+    found = report_queries()
+    if modules := corpus_modules():
+        corpus_queries, corpus_pipeline = modules
+        found |= corpus_queries.queries() | {"pipeline": corpus_pipeline.run}
+    return found
+
+
+def oracle_sql() -> dict[str, str]:
+    found = report_oracles()
+    if modules := corpus_modules():
+        corpus_queries, corpus_pipeline = modules
+        found |= corpus_queries.oracle_sql()
+        if corpus_pipeline.ORACLE_SQL:
+            found["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return found
+
+
+def report_queries() -> dict[str, Query]:
     def over_signals(report: Callable[[DataFrame], DataFrame]) -> Query:
         return lambda spark, sf_dir: report(load_signals(spark, sf_dir))
 
@@ -196,7 +226,7 @@ def since(hours: float) -> str:
     return f"ts > TIMESTAMP '{AS_OF}' - INTERVAL {int(hours * 60)} MINUTE"
 
 
-def oracle_sql() -> dict[str, str]:
+def report_oracles() -> dict[str, str]:
     week = since(WEEK)
 
     def high_error(hours: float, where: str = "TRUE") -> str:

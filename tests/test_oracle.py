@@ -19,7 +19,7 @@ TYPES = {
     "date": "DATE",
     "boolean": "BOOLEAN",
 }
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
+QUERIES, ORACLES = entry.report_queries(), entry.report_oracles()
 
 
 def comparable(value):

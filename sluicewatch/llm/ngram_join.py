@@ -306,8 +306,8 @@ def _reachable(a, pos_a, b, pos_b, percent: int) -> F.Column:
     return (short * 100 >= long_ * percent) & (bound * (100 + percent) >= (size_a + size_b) * percent)
 
 
-def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, ngram: int, percent: int) -> DataFrame:
-    """The pairs (``a``, ``b``) of class keys whose sets are similar.
+def _verified(pairs: DataFrame, texts: DataFrame, ngram: int, percent: int) -> DataFrame:
+    """The pairs (``a``, ``b``) of class keys whose sets are similar, given (``key``, ``text``).
 
     Texts of both sides go to the task of ``a``, which streams them: first a's,
     then every b's. The pairs of one ``a`` are dealt over many tasks in portions.
@@ -317,13 +317,9 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, ngram: int,
         "a", "b", F.pmod(F.xxhash64("b"), F.col("portions")).cast("int").alias("portion")
     )
     firsts = portioned.select("a", F.col("a").alias("b"), "portion").distinct()
-    roles = (
-        portioned.unionByName(firsts)
-        .join(classes.select(F.col("key").alias("b"), "uid"), "b")
-        .select("uid", "a", "b", "portion")
-    )
-    texts = docs.select("uid", "text").join(roles, "uid")
-    dealt = texts.select("a", "portion", (F.col("a") != F.col("b")).alias("second"), "b", "text")
+    roles = portioned.unionByName(firsts).withColumnRenamed("b", "key")
+    found = texts.join(roles, "key").withColumnRenamed("key", "b")
+    dealt = found.select("a", "portion", (F.col("a") != F.col("b")).alias("second"), "b", "text")
     dealt = dealt.repartition("a", "portion").sortWithinPartitions("a", "portion", "second", "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -368,7 +364,9 @@ def _classified(
         "classes",
     )
     met = stored(_shared(_prefixes(rows, sketch, ngram, percent)), "met")
-    roots = _linked(met, classes, rows, ngram, percent)
+    wanted = met.select("key").distinct().join(classes.select("key", "uid"), "key")
+    texts = stored(rows.select("uid", "text").join(wanted, "uid").select("key", "text"), "texts")
+    roots = _linked(met, texts, ngram, percent)
     root_of = classes.join(roots.select(F.col("a").alias("key"), F.col("b").alias("root")), "key", "left")
     return owners, root_of.select("key", "uid", "least", F.coalesce("root", "key").alias("root"))
 
@@ -419,7 +417,7 @@ def deduplicated(
     return kept.dropDuplicates(["__uid"]).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
-def _linked(met: DataFrame, classes: DataFrame, rows: DataFrame, ngram: int, percent: int) -> DataFrame:
+def _linked(met: DataFrame, texts: DataFrame, ngram: int, percent: int) -> DataFrame:
     """Roots of the components that the similar pairs among ``met`` make.
 
     First every member of a group meets the group's leader. What is then still in
@@ -428,14 +426,14 @@ def _linked(met: DataFrame, classes: DataFrame, rows: DataFrame, ngram: int, per
     """
     met_leader = met.where(F.col("key") != F.col("lead"))
     led = stored(_ordered(met_leader, "lead", "lead_pos", "key", "pos", percent), "pairs")
-    roots = components(_verified(led, classes, rows, ngram, percent))
+    roots = components(_verified(led, texts, ngram, percent))
     apart = stored(_apart(met, roots), "apart")
     small = stored(
         _all_pairs(apart.where(F.col("n") <= SMALL_GROUP), percent).join(led, ["a", "b"], "left_anti"),
         "pairs",
     )
-    links = _verified(small, classes, rows, ngram, percent).unionByName(
-        _verified_families(apart.where(F.col("n") > SMALL_GROUP), classes, rows, ngram, percent)
+    links = _verified(small, texts, ngram, percent).unionByName(
+        _verified_families(apart.where(F.col("n") > SMALL_GROUP), texts, ngram, percent)
     )
     return components(roots.unionByName(links))
 
@@ -461,9 +459,7 @@ def _all_pairs(apart: DataFrame, percent: int) -> DataFrame:
     return _ordered(both, "x.key", "x.pos", "y.key", "y.pos", percent)
 
 
-def _verified_families(
-    apart: DataFrame, classes: DataFrame, rows: DataFrame, ngram: int, percent: int
-) -> DataFrame:
+def _verified_families(apart: DataFrame, texts: DataFrame, ngram: int, percent: int) -> DataFrame:
     """Links that join components within large groups.
 
     Groups of much the same members have much the same least member by a hash, and
@@ -483,8 +479,7 @@ def _verified_families(
     placed = placed.select(
         "family", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "key", "root"
     )
-    texts = rows.select("uid", "text").join(placed.join(classes.select("key", "uid"), "key"), "uid")
-    dealt = texts.select("family", "x", "y", "key", "root", (F.col("own") == F.col("y")).alias("second"), "text")
+    dealt = texts.join(placed, "key").select("family", "x", "y", "key", "root", (F.col("own") == F.col("y")).alias("second"), "text")
     dealt = dealt.repartition("family", "x", "y").sortWithinPartitions("family", "x", "y", "key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

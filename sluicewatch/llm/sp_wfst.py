@@ -32,8 +32,11 @@ from sluicewatch.llm.arrow_rows import Compute, with_results
 MARK = "▁"
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-#: Words, parts and pairs of pieces that a worker remembers.
-REMEMBERED = 3 << 18
+#: Words that a worker remembers; parts of words, and pairs of pieces.
+REMEMBERED = 1 << 18
+REMEMBERED_PARTS = 3 << 17
+#: Text encoded at a time.
+CHUNK_BYTES = 2 << 20
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, object]]:
@@ -114,7 +117,7 @@ class Transducer:
         self.least = min((model.scores[i] for i in self.id_of.values()), default=0.0)
         self._agree: dict[int, bool] = {}
         self._edges: dict[int, tuple] = {}
-        self._paths: dict[str, list[int]] = {}
+        self._paths: dict[str, tuple[int, ...]] = {}
 
     def normalised(self, text: str) -> str:
         if not text:
@@ -193,7 +196,7 @@ class Transducer:
         key = before << 32 | piece
         known = self._agree.get(key)
         if known is None:
-            if len(self._agree) > REMEMBERED:
+            if len(self._agree) > REMEMBERED_PARTS:
                 self._agree.clear()
             known = self._agree[key] = self._agreeing(before, piece)
         return known
@@ -289,9 +292,9 @@ class Transducer:
                 part = word[start:end]
                 ids = self._paths.get(part)
                 if ids is None:
-                    if len(self._paths) > REMEMBERED:
+                    if len(self._paths) > REMEMBERED_PARTS:
                         self._paths.clear()
-                    ids = self._paths[part] = self.shortest(part)
+                    ids = self._paths[part] = tuple(self.shortest(part))
                 out += ids
                 start = end
         return out
@@ -380,7 +383,7 @@ def encode(docs: DataFrame, model_path: str, text: str = "text") -> DataFrame:
 
         return compute
 
-    return with_results(docs, text, ENCODED, make)
+    return with_results(docs, text, ENCODED, make, CHUNK_BYTES)
 
 
 def decode(encoded: DataFrame, model_path: str, ids: str = "piece_ids") -> DataFrame:

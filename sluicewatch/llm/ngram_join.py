@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from sluicewatch.llm.arrow_rows import slices, texts_of
 from sluicewatch.llm.components import components
-from sluicewatch.llm.scratch import stored
+from sluicewatch.llm.scratch import counted, stored
 
 NGRAM = 5
 #: Jaccard similarity from which two texts link, in hundredths.
@@ -42,6 +42,8 @@ REMEMBERED = 1 << 20
 PORTION = 512
 #: Groups of up to so many members are compared pair by pair.
 SMALL_GROUP = 16
+#: Bytes that a row of a few keys takes, for the choice to broadcast it.
+KEYS_BYTES = 64
 #: N-grams of one block of a family.
 BLOCK_GRAMS = 1 << 20
 
@@ -318,7 +320,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, ngram: int, percent: int) -> D
     )
     firsts = portioned.select("a", F.col("a").alias("b"), "portion").distinct()
     roles = portioned.unionByName(firsts).withColumnRenamed("b", "key")
-    found = texts.join(roles, "key").withColumnRenamed("key", "b")
+    found = texts.join(counted(roles, KEYS_BYTES), "key").withColumnRenamed("key", "b")
     dealt = found.select("a", "portion", (F.col("a") != F.col("b")).alias("second"), "b", "text")
     dealt = dealt.repartition("a", "portion").sortWithinPartitions("a", "portion", "second", "b")
 
@@ -365,7 +367,7 @@ def _classified(
     )
     met = stored(_shared(_prefixes(rows, sketch, ngram, percent)), "met")
     wanted = met.select("key").distinct().join(classes.select("key", "uid"), "key")
-    texts = stored(rows.select("uid", "text").join(wanted, "uid").select("key", "text"), "texts")
+    texts = stored(rows.select("uid", "text").join(counted(wanted, KEYS_BYTES), "uid").select("key", "text"), "texts")
     roots = _linked(met, texts, ngram, percent)
     root_of = classes.join(roots.select(F.col("a").alias("key"), F.col("b").alias("root")), "key", "left")
     return owners, root_of.select("key", "uid", "least", F.coalesce("root", "key").alias("root"))
@@ -440,8 +442,9 @@ def _linked(met: DataFrame, texts: DataFrame, ngram: int, percent: int) -> DataF
 
 def _apart(met: DataFrame, roots: DataFrame) -> DataFrame:
     """(``h``, ``key``, ``pos``, ``root``, ``n``) of groups with more than one component."""
-    known = met.join(roots.select(F.col("a").alias("key"), F.col("b").alias("root")), "key", "left")
-    known = known.select("h", "key", "pos", F.coalesce("root", "key").alias("root"))
+    named = roots.select(F.col("a").alias("key"), F.col("b").alias("root"))
+    known = met.select("h", "key", "pos").join(counted(named, KEYS_BYTES), "key", "left")
+    known = known.select("h", "key", "pos", F.coalesce("root", "key").alias("root")).repartition("h")
     groups = known.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n"))
     return known.join(groups.where("low <> high").select("h", "n"), "h")
 
@@ -479,7 +482,7 @@ def _verified_families(apart: DataFrame, texts: DataFrame, ngram: int, percent:
     placed = placed.select(
         "family", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "key", "root"
     )
-    dealt = texts.join(placed, "key").select("family", "x", "y", "key", "root", (F.col("own") == F.col("y")).alias("second"), "text")
+    dealt = texts.join(counted(placed, 2 * KEYS_BYTES), "key").select("family", "x", "y", "key", "root", (F.col("own") == F.col("y")).alias("second"), "text")
     dealt = dealt.repartition("family", "x", "y").sortWithinPartitions("family", "x", "y", "key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

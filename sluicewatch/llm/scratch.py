@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from sluicewatch.plans.shared import shared_folder
 
@@ -23,3 +24,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     folder = new_folder(spark, name)
     df.write.parquet(folder)
     return spark.read.schema(df.schema).parquet(folder)
+
+
+#: Size up to which a counted side of a join is broadcast.
+BROADCAST_BYTES = 16 << 20
+
+
+def counted(side: DataFrame, row_bytes: int) -> DataFrame:
+    """A side of a join, to be broadcast if its rows are few enough, and else shuffled."""
+    return F.broadcast(side) if side.count() * row_bytes <= BROADCAST_BYTES else side

@@ -22,6 +22,7 @@ from sluicewatch.streaming import live
 AS_OF = "2024-01-31 00:00:00"
 WEEK = 168
 ZONE = "spark.sql.session.timeZone"
+PARTS = "spark.sql.shuffle.partitions"
 SELECTED = ["runtime-2", "runtime-3", "system-1"]
 SEARCH_FROM, SEARCH_TO = "2024-01-24 12:00:00", "2024-01-30 06:30:00"
 
@@ -137,10 +138,14 @@ def report_queries() -> dict[str, Query]:
     }
     return {name: over_signals(report) for name, report in reports.items()} | {
         "signals": all_signals,
-        "stream_error_alerts": over_stream(lambda s: live.error_alerts(s, min_errors=1)),
-        "stream_kpi_rollup": over_stream(live.kpi_rollup),
+        "stream_error_alerts": over_stream(
+            lambda s: live.error_alerts(s, min_errors=1), ["window_start", "window_end", "runtime"]
+        ),
+        "stream_kpi_rollup": over_stream(live.kpi_rollup, ["time_bucket", "runtime"]),
         "stream_processor_status": over_stream(
-            live.run_status_rollup, live.latest_processor_status
+            live.run_status_rollup,
+            ["window_start", "window_end", "runtime", "component"],
+            live.latest_processor_status,
         ),
     }
 
@@ -154,26 +159,25 @@ def all_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def over_stream(
     live_report: Callable[[DataFrame], DataFrame],
+    keys: list[str],
     read: Callable[[DataFrame], DataFrame] = lambda stored: stored,
 ) -> Query:
-    """Stream ``events`` through a report into a table of the shared folder; read that."""
+    """Stream ``events`` through a report into a table of the shared folder; read that.
+
+    Open windows are in it too. The stream has a session of its own, in UTC.
+    """
 
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        zone = spark.conf.get(ZONE)
-        spark.conf.set(ZONE, "UTC")
-        try:
-            return utc_query(spark, sf_dir)
-        finally:
-            spark.conf.set(ZONE, zone)
-
-    def utc_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        events = spark.readStream.schema(EVENTS_SCHEMA).parquet(f"{sf_dir}/events.parquet*")
+        session = spark.newSession()
+        session.conf.set(ZONE, "UTC")
+        session.conf.set(PARTS, spark.conf.get(PARTS))
+        events = session.readStream.schema(EVENTS_SCHEMA).parquet(f"{sf_dir}/event[s].parquet")
         telemetry = sw.telemetry_from_events(events)
         result = live_report(sw.signals(telemetry, error_level_only=True))
         folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
         table = f"{folder}/table"
-        live.append_to_table(result, table, f"{folder}/checkpoint").awaitTermination()
-        return read(spark.read.schema(result.schema).parquet(table))
+        live.upsert_to_table(result, table, f"{folder}/checkpoint").awaitTermination()
+        return read(live.latest_rows(spark, table, result.schema, keys))
 
     return query
 
@@ -203,11 +207,13 @@ telemetry AS (
   FROM events
 )"""
 
+NUMBER = r"\s*[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?\s*"
+
 SIGNALS = f"""{TELEMETRY},
 sig AS (
   SELECT ts, CAST(ts AS DATE) AS event_date, CAST(hour(ts) AS INTEGER) AS event_hour,
     runtime, component, record_type, metric_name,
-    TRY_CAST(value AS DOUBLE) AS value_num,
+    CASE WHEN regexp_full_match(value, '{NUMBER}') THEN TRY_CAST(value AS DOUBLE) END AS value_num,
     json_extract_string(TRY_CAST(value AS JSON), '$.level') AS level,
     json_extract_string(TRY_CAST(value AS JSON), '$.loggerName') AS logger,
     json_extract_string(TRY_CAST(value AS JSON), '$.formattedMessage') AS message
@@ -333,26 +339,14 @@ def report_oracles() -> dict[str, str]:
               'Medium (Review Soon)'
             FROM ({stopped(stopped_hours, where)}) AS halted"""
 
-    # Streams in append mode hold back windows that end after the watermark:
-    # the latest event they read, less ten minutes.
     alerts = f"""SELECT start_ts AS window_start, start_ts + INTERVAL 30 MINUTE AS window_end,
           runtime, count(*) AS error_count
         FROM (SELECT runtime, time_bucket(INTERVAL 5 MINUTE, ts)
                 - to_minutes(CAST(5 * steps.back AS INTEGER)) AS start_ts
               FROM sig CROSS JOIN generate_series(0, 5) AS steps(back) WHERE {IS_ERROR}) AS hits
-        WHERE start_ts + INTERVAL 30 MINUTE <=
-          (SELECT max(ts) - INTERVAL 10 MINUTE FROM sig WHERE {IS_ERROR})
         GROUP BY 1, 2, 3 HAVING count(*) > 1"""
-    rollup = f"""SELECT * FROM ({trend("hour", 24 * 400)}) AS hours
-        WHERE time_bucket + INTERVAL 1 HOUR <= (
-          SELECT max(ts) - INTERVAL 10 MINUTE FROM sig
-          WHERE record_type IN ('LOG', 'METRIC') AND runtime LIKE 'runtime-%')"""
-    run_status = "metric_name = 'processor.run.status.running'"
-    live_status = processors(
-        24 * 400,
-        f"""date_trunc('hour', ts) + INTERVAL 1 HOUR <=
-            (SELECT max(ts) - INTERVAL 10 MINUTE FROM sig WHERE {run_status})""",
-    )
+    rollup = trend("hour", 24 * 400)
+    live_status = processors(24 * 400)
 
     bodies = {
         "signals": "SELECT ts AS timestamp, * EXCLUDE (ts) FROM sig",

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from collections.abc import Sequence
 from dataclasses import dataclass, field, replace
 from datetime import datetime
@@ -9,7 +11,7 @@ from datetime import datetime
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 
-from sluicewatch.functions.timewin import AsOf, resolve_as_of
+from sluicewatch.functions.timewin import AsOf, resolve_as_of, within
 from sluicewatch.operators import errors, heatmap, metrics, runtimes, status
 from sluicewatch.operators import findings as finding_reports
 
@@ -102,10 +104,12 @@ class HealthBoard:
         time_range: tuple[AsOf, AsOf] | None = None,
         term: str = "",
         limit: int = 200,
+        all_history: bool = False,
     ) -> DataFrame:
-        """Searches all history, not only the board's window."""
+        """Searches the board's window, or all history if asked to."""
+        window = within(self.as_of, timedelta(hours=self.window_hours))
         return errors.search_error_logs(
-            self.signals,
+            self.signals if all_history else self.signals.where(window),
             runtime=runtime,
             processor=processor,
             null_processor=null_processor,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -18,6 +19,6 @@ def shared_folder(spark: SparkSession) -> str:
     named = spark.conf.get(SETTING, None)
     if named:
         return named
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         raise ValueError(f"{SETTING} must name a folder that all executors share")
     return tempfile.mkdtemp(prefix="sluicewatch-")

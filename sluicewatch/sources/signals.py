@@ -35,6 +35,9 @@ SIGNALS_SCHEMA = T.StructType(
 
 PARTITIONS = ("event_date", "event_hour")
 
+#: A plain decimal. Casts also take suffixes, hexadecimal, NaN and Infinity.
+NUMBER = r"^\s*[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?\s*$"
+
 
 def signals(telemetry: DataFrame, *, error_level_only: bool = False) -> DataFrame:
     """Flatten telemetry; works on batch and streaming frames alike.
@@ -53,7 +56,7 @@ def signals(telemetry: DataFrame, *, error_level_only: bool = False) -> DataFram
     timestamp = _utc_wall_clock(F.col("timestamp"), schema["timestamp"].dataType)
     text = _text_at(F.col("value"), schema["value"].dataType)
     is_object = F.contains(text, F.lit("{"))
-    number = F.when(is_object, F.lit(None)).otherwise(text.try_cast("double"))
+    number = F.when(text.rlike(NUMBER), text.try_cast("double"))
     if error_level_only:
         record = F.try_parse_json(text)
         level = F.when(_may_say(text, ERROR), F.try_variant_get(record, "$.level", "string"))

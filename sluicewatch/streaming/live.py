@@ -10,9 +10,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import LongType, StructField, StructType
 
 from sluicewatch.functions.predicates import is_error, is_user_runtime
 from sluicewatch.functions.vocabulary import LOG, METRIC, RUN_STATUS
@@ -104,6 +105,37 @@ def append_to_table(
     )
 
 
+def upsert_to_table(
+    result: DataFrame, path: str, checkpoint: str, continuous: str | None = None
+) -> StreamingQuery:
+    """Store every change of every window, open ones too, as Parquet.
+
+    Each batch writes its own folder ``batch=n`` anew, so a batch that is repeated
+    after a failure leaves the same rows: read them with :func:`latest_rows`. All that
+    is available, then stop; or every ``continuous``, such as "1 minute".
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    trigger = {"processingTime": continuous} if continuous else {"availableNow": True}
+    return (
+        result.writeStream.outputMode("update")
+        .foreachBatch(write)
+        .option("checkpointLocation", checkpoint)
+        .trigger(**trigger)
+        .start()
+    )
+
+
+def latest_rows(spark: SparkSession, path: str, schema: StructType, keys: Sequence[str]) -> DataFrame:
+    """Of a table of :func:`upsert_to_table` the newest row of each key."""
+    stored = spark.read.schema(StructType([*schema, StructField("batch", LongType())])).parquet(path)
+    others = [f.name for f in schema if f.name not in keys]
+    newest = stored.groupBy(*keys).agg(F.max_by(F.struct(*others), "batch").alias("row"))
+    return newest.select(*(F.col(f"row.{f}").alias(f) if f in others else f for f in schema.names))
+
+
 def _timed(sig: DataFrame, delay: str) -> DataFrame:
     """Signals with a watermark, which needs a ``TIMESTAMP`` column.
 

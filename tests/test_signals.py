@@ -178,3 +178,10 @@ def test_compact_splits_a_hot_hour(spark, sig, tmp_path):
     files = stored.where("event_date = date'2024-03-13'").select(F.input_file_name()).distinct()
     assert stored.count() == 40000
     assert files.count() > 1
+
+
+def test_only_plain_decimals_are_numbers(sig):
+    texts = ["5d", "5f", "0x1p3", "NaN", "Infinity", "-inf", "1e3", " 7 ", "-.5", "+2.", "1.2.3", ""]
+    rows = [row(value=t, component=t) for t in texts]
+    found = {r.component: r.value_num for r in sig(rows).collect()}
+    assert {k: v for k, v in found.items() if v is not None} == {"1e3": 1000, " 7 ": 7, "-.5": -0.5, "+2.": 2}

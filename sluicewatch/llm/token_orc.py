@@ -10,6 +10,7 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -74,6 +75,12 @@ class WordEncoder:
         return self.ids[at], bounds
 
 
+@lru_cache(maxsize=1)
+def _encoder(path: str, end_id: int) -> WordEncoder:
+    """One encoder per worker: what it remembers outlives a task."""
+    return WordEncoder(path, end_id)
+
+
 def write_tokens(
     docs: DataFrame,
     folder: str,
@@ -96,7 +103,7 @@ def write_tokens(
     ordered = rows.repartitionByRange(parts, "doc_id", tie).sortWithinPartitions("doc_id", tie)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = WordEncoder(tokenizer_path, end_id)
+        encode = _encoder(tokenizer_path, end_id)
         number, before = TaskContext.get().partitionId(), 0
         for batch in batches:
             for piece in slices(batch, 1):

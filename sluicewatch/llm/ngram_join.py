@@ -35,8 +35,10 @@ NGRAM = 5
 #: Jaccard similarity from which two texts link, in hundredths.
 PERCENT = 75
 #: The rarity sketch has 2 ** SKETCH_BITS counters, whatever the input.
-SKETCH_BITS = 20
-SKETCH_ROW = 1 << 10
+SKETCH_BITS = 22
+SKETCH_ROW = 1 << 12
+#: Counts of one task stop here and take a byte: the sketch orders, it needn't be exact.
+TASK_COUNT = 255
 REMEMBERED = 1 << 20
 #: Pairs of one leader that one task of a verification gets at most, about.
 PORTION = 512
@@ -150,7 +152,7 @@ def _digests(docs: DataFrame, ngram: int) -> DataFrame:
         rows = counts.reshape(-1, SKETCH_ROW)
         used = np.flatnonzero(rows.any(axis=1))
         none = (pa.nulls(used.size, kind) for kind in (pa.int64(), pa.int64(), pa.binary()))
-        sums = pa.array([rows[r].tobytes() for r in used], pa.binary())
+        sums = pa.array([np.minimum(rows[r], TASK_COUNT).astype(np.uint8).tobytes() for r in used], pa.binary())
         yield pa.RecordBatch.from_arrays(
             [*none, pa.array(used.astype(np.int32)), sums], names=["id", "uid", "key", "row", "counts"]
         )
@@ -167,23 +169,23 @@ def _sketch(parts: DataFrame) -> np.ndarray:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for row, counts in zip(batch.column(0).to_pylist(), batch.column(1)):
-                value = np.frombuffer(counts.as_buffer(), np.int32)
-                sums[row] = sums[row] + value if row in sums else value.astype(np.int64)
+                value = np.frombuffer(counts.as_buffer(), np.uint8)
+                sums[row] = sums[row] + value if row in sums else value.astype(np.uint32)
         yield pa.RecordBatch.from_arrays(
             [pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())],
             names=["row", "counts"],
         )
 
-    sketch = np.zeros((1 << SKETCH_BITS) // SKETCH_ROW * SKETCH_ROW, dtype=np.int64).reshape(-1, SKETCH_ROW)
+    sketch = np.zeros(1 << SKETCH_BITS, dtype=np.uint32).reshape(-1, SKETCH_ROW)
     summed = parts.select("row", "counts").repartition("row").mapInArrow(run, "row int, counts binary")
     for r in summed.collect():
-        sketch[r.row] = np.frombuffer(r.counts, np.int64)
+        sketch[r.row] = np.frombuffer(r.counts, np.uint32)
     return sketch.ravel()
 
 
 def _prefixes(docs: DataFrame, sketch: np.ndarray, ngram: int, percent: int) -> DataFrame:
     """(``h``, ``key``, ``pos``): the prefix n-grams of every set, once per task."""
-    shared = docs.sparkSession.sparkContext.broadcast(sketch.astype(np.uint32))
+    shared = docs.sparkSession.sparkContext.broadcast(sketch)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, rarity = Shingler(ngram), shared.value

@@ -106,6 +106,10 @@ def report_queries() -> dict[str, Query]:
         "search_error_logs_history": lambda s: sw.search_error_logs(
             s, runtime="runtime-2", term="FAILURE%step _"
         ),
+        "search_error_logs_5000": lambda s: sw.search_error_logs(
+            s, runtime="runtime-2", limit=5000
+        ),
+        "board_search": lambda s: sw.HealthBoard(s, AS_OF, WEEK).search_error_logs("runtime-2"),
         "search_error_logs_range": lambda s: sw.search_error_logs(
             s,
             runtime="runtime-3",
@@ -136,7 +140,9 @@ def report_queries() -> dict[str, Query]:
             sw.findings(s, AS_OF, minutes=WEEK * 60, stopped_hours=WEEK)
         ),
     }
+    stored = ["kpi_trend_day", "high_error_runtimes", "findings", "search_error_logs"]
     return {name: over_signals(report) for name, report in reports.items()} | {
+        **{f"stored_{name}": over_stored(reports[name]) for name in stored},
         "signals": all_signals,
         "stream_error_alerts": over_stream(
             lambda s: live.error_alerts(s, min_errors=1), ["window_start", "window_end", "runtime"]
@@ -157,6 +163,17 @@ def all_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def over_stored(report: Callable[[DataFrame], DataFrame]) -> Query:
+    """Store all signals in the shared folder, and report on what is read back."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        path = f"{shared_folder(spark)}/signals-{uuid.uuid4().hex}"
+        sw.write_signals(all_signals(spark, sf_dir), path, compact=True)
+        return report(sw.read_signals(spark, path))
+
+    return query
+
+
 def over_stream(
     live_report: Callable[[DataFrame], DataFrame],
     keys: list[str],
@@ -274,10 +291,10 @@ def report_oracles() -> dict[str, str]:
                 AS max_ts
             FROM sig WHERE {IS_ERROR} AND {week} AND runtime = 'runtime-2' AND {where}"""
 
-    def search(runtime: str, term: str, where: str = "TRUE") -> str:
+    def search(runtime: str, term: str, where: str = "TRUE", limit: int = 200) -> str:
         return f"""SELECT ts AS timestamp, logger AS processor, message FROM sig
             WHERE {IS_ERROR} AND runtime = '{runtime}' AND {where} AND message ILIKE '%{term}%'
-            ORDER BY ts DESC, processor ASC NULLS LAST, message LIMIT 200"""
+            ORDER BY ts DESC, processor ASC NULLS LAST, message LIMIT {limit}"""
 
     def worst(metric: str, peak: str, name: str, hours: float, over: float, where: str) -> str:
         return f"""SELECT runtime || ' | ' || component AS runtime_connection, {peak} AS {name}
@@ -374,6 +391,8 @@ def report_oracles() -> dict[str, str]:
         "error_time_range_processor": time_range("logger = 'proc-4'"),
         "search_error_logs": search("runtime-2", "code 1", week),
         "search_error_logs_history": search("runtime-2", "FAILURE%step _"),
+        "search_error_logs_5000": search("runtime-2", "", limit=5000),
+        "board_search": search("runtime-2", "", week),
         "search_error_logs_range": search(
             "runtime-3",
             "",
@@ -402,4 +421,6 @@ def report_oracles() -> dict[str, str]:
         "stream_kpi_rollup": rollup,
         "stream_processor_status": live_status,
     }
+    for name in ("kpi_trend_day", "high_error_runtimes", "findings", "search_error_logs"):
+        bodies[f"stored_{name}"] = bodies[name]
     return {name: f"WITH {SIGNALS}\n{body}" for name, body in bodies.items()}

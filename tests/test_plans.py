@@ -183,21 +183,31 @@ def test_generated_methods_stay_small_enough_to_be_compiled(tables, name):
         assert all(int(size) < 8000 for size in sizes), sizes
 
 
-def test_search_limits_before_and_after_one_shuffle(tables):
-    text = plan(REPORTS["search_error_logs"](tables[1]), "simple")
-    assert text.count("WindowGroupLimit") == 2
+@pytest.mark.parametrize("limit", [200, 5000])
+def test_search_limits_before_and_after_one_shuffle(tables, limit):
+    found = sw.search_error_logs(tables[1], runtime="runtime-2", limit=limit)
+    text = plan(found, "simple")
+    assert "Window" not in text
     assert text.count("Exchange") == 1
+    before, after = text[text.index("Exchange") :], text[: text.index("Exchange")]
+    assert re.search(r"Filter .*__place.* < ", before) and re.search(r"Filter .*__place.* < ", after)
 
 
+@pytest.mark.parametrize("k", [60, 1500])
 @pytest.mark.parametrize("groups", [1, 3, 128])
-def test_top_k_of_scan_is_exact(spark, groups):
+def test_top_k_of_scan_is_exact(spark, groups, k):
     rows = spark.range(0, 5000, 1, 23).select(
         F.pmod(F.xxhash64("id"), F.lit(700)).alias("a"), F.pmod(F.col("id"), F.lit(3)).alias("b")
     )
     order = (F.desc("a"), F.asc("b"))
-    expected = sorted((tuple(r) for r in rows.collect()), key=lambda r: (-r[0], r[1]))[:60]
-    found = top_k_of_scan(rows, 60, order, groups)
-    assert [tuple(r) for r in found.collect()] == expected
+    expected = sorted((tuple(r) for r in rows.collect()), key=lambda r: (-r[0], r[1]))[:k]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", groups)
+    try:
+        found = [tuple(r) for r in top_k_of_scan(rows, k, order).collect()]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert found == expected
 
 
 def session(master, **settings):

@@ -11,6 +11,7 @@ import os
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +24,19 @@ from sluicewatch.llm.arrow_rows import slices, texts_of
 END_ID = 2
 STRIPE_BYTES = 16 << 20
 ROW_GROUP = 1000
-REMEMBERED = 1 << 19
+REMEMBERED = 1 << 20
+
+
+class _Places(dict):
+    """Numbers of words in order of first use; words without ids yet are in ``new``."""
+
+    def __init__(self):
+        self.new: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> int:
+        self.new.append(word)
+        number = self[word] = len(self) + 1
+        return number
 
 
 class WordEncoder:
@@ -42,31 +55,30 @@ class WordEncoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.place: dict[bytes, int] = {}
+        self.place = _Places()
         self.ids = np.array([self.end_id], dtype=np.int32)
         self.offsets = np.array([0, 1], dtype=np.int64)
 
-    def _learn(self, words: list[bytes]) -> None:
-        new = list({w for w in words if w not in self.place})
+    def _learn(self) -> None:
+        new, self.place.new = self.place.new, []
         if not new:
             return
-        got = self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)
-        base = self.offsets.size - 1
-        self.place.update(zip(new, range(base, base + len(new))))
+        got = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)
         ids = [e.ids for e in got]
-        self.ids = np.concatenate([self.ids, np.fromiter((x for i in ids for x in i), np.int32)])
-        ends = self.offsets[-1] + np.cumsum([len(i) for i in ids])
-        self.offsets = np.concatenate([self.offsets, ends])
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        learned = np.fromiter(chain.from_iterable(ids), np.int32, int(sizes.sum()))
+        self.ids = np.concatenate([self.ids, learned])
+        self.offsets = np.concatenate([self.offsets, self.offsets[-1] + np.cumsum(sizes)])
 
     def __call__(self, texts: list) -> tuple[np.ndarray, np.ndarray]:
         """All ids, each text's followed by the end id, and the texts' offsets."""
         if len(self.place) > REMEMBERED:
             self._forget()
         words = [t.split() if t else [] for t in texts]
-        flat = [w for ws in words for w in ws]
-        self._learn(flat)
-        counts = np.array([len(w) for w in words], dtype=np.int64)
-        places = np.fromiter(map(self.place.__getitem__, flat), np.int64, len(flat))
+        counts = np.fromiter(map(len, words), np.int64, len(words))
+        flat = chain.from_iterable(words)
+        places = np.fromiter(map(self.place.__getitem__, flat), np.int64, int(counts.sum()))
+        self._learn()
         places = np.insert(places, np.cumsum(counts), 0)
         sizes = self.offsets[places + 1] - self.offsets[places]
         ends = np.cumsum(sizes)

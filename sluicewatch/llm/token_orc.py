@@ -25,6 +25,9 @@ END_ID = 2
 STRIPE_BYTES = 16 << 20
 ROW_GROUP = 1000
 REMEMBERED = 1 << 20
+#: Marks that are encoded apart from the word they end, where the tokenizer does so.
+MARKS = b"!#$&*,.:;?"
+_LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 
 
 class _Places(dict):
@@ -43,7 +46,9 @@ class WordEncoder:
     """Ids of texts, each distinct word encoded once while it is remembered.
 
     Holds for tokenizers that never put ids across ASCII white space and drop it, as
-    word tokenizers do.
+    word tokenizers do. Those that lower-case get lower-case ASCII, and those that
+    always cut between a letter and a run of marks get marks after a letter a to z apart:
+    either leaves fewer distinct words.
     """
 
     def __init__(self, path: str, end_id: int):
@@ -52,29 +57,74 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.end_id = end_id
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        self.added = [t.content.encode().translate(_LOWER) for t in added]
+        self.lowers, self.cuts = self._lowers(), self._cuts()
         self._forget()
 
+    def _lowers(self) -> bool:
+        """Whether the tokenizer lower-cases A-Z, but for its added tokens."""
+        normalizer, letters = self.tokenizer.normalizer, bytes(range(0x41, 0x5B)).decode()
+        return normalizer is not None and normalizer.normalize_str(letters) == letters.lower()
+
+    def _lowered(self, text: bytes) -> bytes:
+        """The text in lower case, or as it is if that may make or break an added token."""
+        if not self.lowers:
+            return text
+        low = text.translate(_LOWER)
+        return text if any(a in low for a in self.added) else low
+
+    def _cuts(self) -> bool:
+        """Whether the tokenizer cuts before marks, and only there, in a letter and two marks."""
+        pre, marks = self.tokenizer.pre_tokenizer, MARKS.decode()
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        if pre is None or any(t.content[-1:] in marks or t.lstrip or t.rstrip for t in added):
+            return False
+        return all(
+            [span for _, span in pre.pre_tokenize_str(f"x{m}{n}")] == [(0, 1), (1, 3)] for m in marks for n in marks
+        )
+
     def _forget(self) -> None:
         self.place = _Places()
         self.ids = np.array([self.end_id], dtype=np.int32)
         self.offsets = np.array([0, 1], dtype=np.int64)
 
     def _learn(self) -> None:
-        new, self.place.new = self.place.new, []
+        new, known = self.place.new, self.offsets.size
         if not new:
             return
-        got = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)
-        ids = [e.ids for e in got]
+        whole, ended = [], {}
+        for i, word in enumerate(new):  # grows by the parts of its words
+            stem = word.rstrip(MARKS) if self.cuts else word
+            if 0 < len(stem) < len(word) and 0x61 <= stem[-1] <= 0x7A:
+                ended[i] = self.place[stem], self.place[word[len(stem) :]]
+            else:
+                whole.append(i)
+        got = self.tokenizer.encode_batch_fast(
+            [new[i].decode("utf-8", "replace") for i in whole], add_special_tokens=False
+        )
+        ids: list = [None] * len(new)
+        for i, e in zip(whole, got):
+            ids[i] = e.ids
+
+        def ids_at(number: int) -> list[int]:
+            if number + 1 < known:
+                return self.ids[self.offsets[number] : self.offsets[number + 1]].tolist()
+            return ids[number + 1 - known]
+
+        for i, (stem, marks) in ended.items():
+            ids[i] = ids_at(stem) + ids_at(marks)
         sizes = np.fromiter(map(len, ids), np.int64, len(ids))
         learned = np.fromiter(chain.from_iterable(ids), np.int32, int(sizes.sum()))
         self.ids = np.concatenate([self.ids, learned])
         self.offsets = np.concatenate([self.offsets, self.offsets[-1] + np.cumsum(sizes)])
+        self.place.new = []
 
     def __call__(self, texts: list) -> tuple[np.ndarray, np.ndarray]:
         """All ids, each text's followed by the end id, and the texts' offsets."""
         if len(self.place) > REMEMBERED:
             self._forget()
-        words = [t.split() if t else [] for t in texts]
+        words = [self._lowered(t).split() if t else [] for t in texts]
         counts = np.fromiter(map(len, words), np.int64, len(words))
         flat = chain.from_iterable(words)
         places = np.fromiter(map(self.place.__getitem__, flat), np.int64, int(counts.sum()))

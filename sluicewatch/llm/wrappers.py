@@ -239,19 +239,26 @@ class Slot:
 
 
 def text_key(text: str) -> int:
-    return xxhash.xxh32_intdigest(text.encode("utf-8", "replace"))
+    return xxhash.xxh64_intdigest(text.encode("utf-8", "replace")) - (1 << 63)
 
 
-def page_slots(page: Page) -> Slot:
-    slots = [Slot(n.label, 1) for n in page.nodes]
-    for n, slot in zip(page.nodes, slots):
-        slot.kids = [slots[k.index] for k in n.kids]
-    for node, text, linked in page.runs:
-        slot = slots[node.index]
-        slot.texts[text_key(text)] = 1
-        slot.chars += len(text)
-        slot.linked += linked
-    return slots[0]
+_PARTS = re.compile(r"[(),]|[^(),]+")
+
+
+def grown(shape: str, pages: int = 0) -> tuple[Slot, list[Slot]]:
+    """The tree of a shape, and its nodes in the order of their numbers."""
+    root = last = Slot("", pages)
+    slots, stack = [root], []
+    for part in _PARTS.findall(shape):
+        if part == "(":
+            stack.append(last)
+        elif part == ")":
+            stack.pop()
+        elif part != ",":
+            last = Slot(part, pages)
+            stack[-1].kids.append(last)
+            slots.append(last)
+    return root, slots
 
 
 def _count(slot: Slot) -> int:
@@ -443,37 +450,81 @@ def _merged(templates: DataFrame, by: list[str]) -> DataFrame:
     return dealt.select("host", "template").mapInArrow(run, "host string, template string")
 
 
+_RUN = pa.struct([("node", pa.int32()), ("key", pa.int64()), ("chars", pa.int64()), ("linked", pa.int64())])
+
+
+def different_pages(pages: DataFrame) -> DataFrame:
+    """(``host``, ``digest``, ``shape``, ``runs``) of every different page of a host, once.
+
+    From (``host``, ``html``). ``runs`` are the texts of a page by node and key, without
+    repeats. Equal pages are one row wherever their copies are read.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple] = set()  # spares reading the copies a task meets; the rest go below
+        for batch in batches:
+            for part in slices(batch, 1):
+                rows, cells, ends = [], [], [0]
+                for host, html in zip(*(c.to_pylist() for c in part.columns)):
+                    digest = xxhash.xxh64_intdigest(html.encode("utf-8", "replace")) - (1 << 63)
+                    if (host, digest) in seen:
+                        continue
+                    if len(seen) > 1 << 18:
+                        seen.clear()
+                    seen.add((host, digest))
+                    page = Page(html)
+                    found: dict[tuple[int, int], list[int]] = {}
+                    for node, text, linked in page.runs:
+                        cell = found.setdefault((node.index, text_key(text)), [0, 0])
+                        cell[0] += len(text)
+                        cell[1] += linked
+                    rows.append((host, digest, page.shape))
+                    cells.extend((*place, *size) for place, size in found.items())
+                    ends.append(len(cells))
+                columns = list(zip(*cells)) or [()] * 4
+                items = pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _RUN)], fields=list(_RUN))
+                hosts, digests, shapes = list(zip(*rows)) or [()] * 3
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(hosts, pa.string()), pa.array(digests, pa.int64()), pa.array(shapes, pa.string()),
+                        pa.ListArray.from_arrays(pa.array(ends, pa.int32()), items),
+                    ],
+                    names=["host", "digest", "shape", "runs"],
+                )
+
+    schema = "host string, digest bigint, shape string, runs array<struct<node:int,key:bigint,chars:bigint,linked:bigint>>"
+    return stored(pages.mapInArrow(run, schema).dropDuplicates(["host", "digest"]), "pages")
+
+
 def induce(pages: DataFrame) -> DataFrame:
-    """(``host``, ``template``) from (``host``, ``html``): all pages of each host, aligned.
+    """(``host``, ``template``) from :func:`different_pages`: all pages of each host, aligned.
 
-    Tasks align their own pages; templates merge, a hot host's in portions first. Equal
-    pages count once per task.
+    Tasks align their own pages; templates merge, a hot host's in portions first.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, Slot] = {}
-        seen: set[tuple] = set()
 
         def out() -> pa.RecordBatch:
             packed = [json.dumps(t.packed(), separators=(",", ":")) for t in held.values()]
             return pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(packed, pa.string())], names=["host", "template"])
 
         for batch in batches:
-            for part in slices(batch, 1):
-                for host, html in zip(*(c.to_pylist() for c in part.columns)):
-                    page = host, xxhash.xxh64_intdigest(html.encode("utf-8", "replace"))
-                    if page in seen:
-                        continue
-                    seen.add(page)
-                    held[host] = merge(held.get(host), page_slots(Page(html)))
-                    if len(held) > HELD_HOSTS or len(seen) > 1 << 18:
-                        yield out()
-                        held.clear()
-                        seen.clear()
+            for host, shape, runs in zip(*(c.to_pylist() for c in batch.columns)):
+                page, slots = grown(shape, 1)
+                for x in runs:
+                    slot = slots[x["node"]]
+                    slot.texts[x["key"]] = 1
+                    slot.chars += x["chars"]
+                    slot.linked += x["linked"]
+                held[host] = merge(held.get(host), page)
+                if len(held) > HELD_HOSTS:
+                    yield out()
+                    held.clear()
         if held:
             yield out()
 
-    parts = pages.mapInArrow(run, "host string, template string")
+    parts = pages.select("host", "shape", "runs").mapInArrow(run, "host string, template string")
     portion = F.pmod(F.xxhash64("template"), F.lit(32))
     return _merged(_merged(parts.withColumn("p", portion), ["host", "p"]), ["host"])
 
@@ -500,7 +551,7 @@ def extract(pages: DataFrame, id: str = "page_id", url: str = "url", html: str =
         F.coalesce(F.lower(F.regexp_extract(F.col(url), _HOST, 1)), F.lit("")).alias("host"),
         F.coalesce(F.col(html).cast("string"), F.lit("")).alias("html"),
     )
-    templates = stored(induce(rows.select("host", "html")), "templates")
+    templates = stored(induce(different_pages(rows.select("host", "html"))), "templates")
     overall = _overall(templates)
     common = json.dumps(wrapper(overall), separators=(",", ":")) if overall else "[\"\",0,[],[]]"
 

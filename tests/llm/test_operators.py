@@ -175,6 +175,19 @@ def test_copies_of_one_page_keep_their_text(spark):
     assert {r.text for r in wrappers.extract(pages.repartition(4)).collect()} == {"T Body text."}
 
 
+def test_copies_in_many_tasks_count_once(spark):
+    """The copied page keeps its text beside other pages of its host, however they are dealt."""
+    def page(i):
+        body = "".join(f"<p>Paragraph {k} of page {i}.</p>" for k in range(10))
+        return f"<html><body><article><h1>Title {i}</h1>{body}</article></body></html>"
+    want = {i: " ".join([f"Title {i}", *(f"Paragraph {k} of page {i}." for k in range(10))]) for i in range(6)}
+    rows = [(100 + i, "http://h.example/", page(0)) for i in range(60)] + [(i, "http://h.example/", page(i)) for i in range(1, 6)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    for parts in (1, 64):
+        got = {r.page_id: r.text for r in wrappers.extract(pages.repartition(parts)).collect()}
+        assert got == {i: want[0 if i >= 100 else i] for i, _, _ in rows}
+
+
 def test_links_of_awkward_rows(docs):
     got = sorted((tuple(r) for r in ngram_join.near_duplicates(docs).collect()), key=repr)
     assert got == data.linked([(r.doc_id, r.text) for r in docs.collect()])

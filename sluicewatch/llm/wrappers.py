@@ -12,7 +12,6 @@ from __future__ import annotations
 
 import json
 import re
-from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
@@ -28,11 +27,9 @@ from sluicewatch.llm.scratch import stored
 CONSTANT_SHARE, CONSTANT_PAGES = 0.8, 5
 #: A host with fewer different pages is read with the template of all hosts.
 LEAST_PAGES = 3
-#: Bounds of a template: nodes, and texts remembered in one slot.
-MOST_NODES, MOST_TEXTS = 600, 24
 #: Blocks nested deeper belong to the node at this depth.
 MOST_DEPTH = 120
-#: Templates of so many hosts a task holds before it passes them on.
+#: Wrappers of so many hosts a task holds before it reads them anew.
 HELD_HOSTS = 500
 #: Wrappers of all hosts are broadcast up to this size, and joined by shuffle beyond.
 BROADCAST_BYTES = 16 << 20
@@ -189,7 +186,8 @@ def match(a, b, pairs: list) -> int:
     for i in range(1, rows + 1):
         for j in range(1, columns + 1):
             own: list = []
-            size = match(a.kids[i - 1], b.kids[j - 1], own)
+            same = a.kids[i - 1].label == b.kids[j - 1].label
+            size = match(a.kids[i - 1], b.kids[j - 1], own) if same else 0
             if size:
                 found[i, j] = size, own
             best[i][j] = max(best[i - 1][j], best[i][j - 1], best[i - 1][j - 1] + size)
@@ -208,34 +206,18 @@ def match(a, b, pairs: list) -> int:
 
 
 class Slot:
-    """A node of a template: on how many pages, with which texts, of how many characters."""
+    """A node of a template: on how many pages, with how many texts and characters, which texts constant."""
 
-    __slots__ = ("label", "kids", "pages", "texts", "chars", "linked")
+    __slots__ = ("label", "kids", "pages", "texts", "constant", "chars", "linked")
 
-    def __init__(self, label: str, pages: int = 0, texts=None, chars: int = 0, linked: int = 0, kids=None):
-        self.label, self.pages, self.chars, self.linked = label, pages, chars, linked
-        self.texts: Counter = Counter(texts or {})
-        self.kids: list[Slot] = kids or []
-
-    def trim(self) -> None:
-        """Keeps the most frequent texts; only frequent ones can be template."""
-        if len(self.texts) > 4 * MOST_TEXTS:
-            self.texts = Counter(dict(sorted(self.texts.items(), key=lambda x: (-x[1], x[0]))[:MOST_TEXTS]))
-
-    def take(self, other: Slot) -> None:
-        self.pages += other.pages
-        self.chars += other.chars
-        self.linked += other.linked
-        self.texts.update(other.texts)
-        self.trim()
-
-    def packed(self) -> list:
-        texts = sorted(self.texts.items(), key=lambda x: (-x[1], x[0]))[:MOST_TEXTS]
-        return [self.label, self.pages, texts, self.chars, self.linked, [k.packed() for k in self.kids]]
+    def __init__(self, label: str):
+        self.label = label
+        self.kids: list[Slot] = []
+        self.pages = self.texts = self.chars = self.linked = 0
+        self.constant: list[int] = []
 
-    @staticmethod
-    def unpacked(x: list) -> Slot:
-        return Slot(x[0], x[1], dict(map(tuple, x[2])), x[3], x[4], [Slot.unpacked(k) for k in x[5]])
+    def shape(self) -> str:
+        return f"{self.label}({','.join(k.shape() for k in self.kids)})" if self.kids else self.label
 
 
 def text_key(text: str) -> int:
@@ -245,9 +227,9 @@ def text_key(text: str) -> int:
 _PARTS = re.compile(r"[(),]|[^(),]+")
 
 
-def grown(shape: str, pages: int = 0) -> tuple[Slot, list[Slot]]:
+def grown(shape: str) -> tuple[Slot, list[Slot]]:
     """The tree of a shape, and its nodes in the order of their numbers."""
-    root = last = Slot("", pages)
+    root = last = Slot("")
     slots, stack = [root], []
     for part in _PARTS.findall(shape):
         if part == "(":
@@ -255,43 +237,31 @@ def grown(shape: str, pages: int = 0) -> tuple[Slot, list[Slot]]:
         elif part == ")":
             stack.pop()
         elif part != ",":
-            last = Slot(part, pages)
+            last = Slot(part)
             stack[-1].kids.append(last)
             slots.append(last)
     return root, slots
 
 
-def _count(slot: Slot) -> int:
-    return 1 + sum(map(_count, slot.kids))
-
-
-def _prune(slot: Slot, least: int) -> None:
-    slot.kids = [k for k in slot.kids if k.pages > least]
-    for k in slot.kids:
-        _prune(k, least)
-
-
 def merge(template: Slot | None, other: Slot) -> Slot:
     """The template that covers both; nodes of either that don't match stand side by side."""
     if template is None:
         return other
     pairs: list = []
-    match(template, other, pairs)
-    of = {id(b): a for a, b in pairs}
-    for a, b in pairs:
-        a.take(b)
-    for a, b in pairs:
-        place = 0
+    match(other, template, pairs)
+    of = {id(b): a for b, a in pairs}
+    for b, a in pairs:
+        if len(a.kids) == len(b.kids) and all(id(k) in of for k in b.kids):
+            continue
+        places = {id(k): i + 1 for i, k in enumerate(a.kids)}
+        place, added = 0, []
         for kid in b.kids:
             if id(kid) in of:
-                place = next(i for i, k in enumerate(a.kids) if k is of[id(kid)]) + 1
+                place = places[id(of[id(kid)])]
             else:
-                a.kids.insert(place, kid)
-                place += 1
-    least = 1
-    while _count(template) > MOST_NODES:
-        _prune(template, least)
-        least *= 2
+                added.append((place, kid))
+        for n, (place, kid) in enumerate(added):
+            a.kids.insert(place + n, kid)
     return template
 
 
@@ -320,17 +290,11 @@ def _is_region(label: str) -> bool:
     return tag in ("article", "main") or name == "main"
 
 
-def _constants(slot: Slot) -> list[int]:
-    if slot.pages < CONSTANT_PAGES:
-        return []
-    return [t for t, n in slot.texts.items() if n >= CONSTANT_SHARE * slot.pages]
-
-
 def _varying(slot: Slot) -> float:
     """Characters of varying text outside links below a node."""
     if _is_chrome(slot.label, False):
         return 0.0
-    own = 0 if slot.texts and len(_constants(slot)) == len(slot.texts) else slot.chars - slot.linked
+    own = 0 if slot.texts and len(slot.constant) == slot.texts else slot.chars - slot.linked
     return own + sum(map(_varying, slot.kids))
 
 
@@ -366,8 +330,8 @@ def wrapper(template: Slot) -> list:
         inside = inside or slot is region or (tagged and _is_region(slot.label))
         if _is_chrome(slot.label, inside):
             return 0, 0
-        constant = len(_constants(slot)) if inside else 0
-        others = len(slot.texts) - constant if inside else 0
+        constant = len(slot.constant) if inside else 0
+        others = slot.texts - constant if inside else 0
         parts = [shares(k, inside) for k in slot.kids]
         return constant + sum(x for x, _ in parts), others + sum(y for _, y in parts)
 
@@ -378,7 +342,7 @@ def wrapper(template: Slot) -> list:
         inside = inside or slot is region or (tagged and _is_region(slot.label))
         if _is_chrome(slot.label, inside):
             return [slot.label, 0, [], []]
-        return [slot.label, int(inside), _constants(slot) if inside and trust else [], [rules(k, inside) for k in slot.kids]]
+        return [slot.label, int(inside), slot.constant if inside and trust else [], [rules(k, inside) for k in slot.kids]]
 
     return rules(template, False)
 
@@ -427,27 +391,27 @@ class Reader:
 _HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)"
 
 
-def _merged(templates: DataFrame, by: list[str]) -> DataFrame:
-    """Templates merged per key, streaming: a task holds one template at a time."""
+def _merged(shapes: DataFrame, by: list[str]) -> DataFrame:
+    """Shapes (``host``, ``shape``, ``pages``) merged per key, streaming: a task holds one template at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        host, template = None, None
+        host, template, total = None, None, 0
 
         def done() -> pa.RecordBatch:
-            packed = json.dumps(template.packed(), separators=(",", ":"))
-            return pa.RecordBatch.from_arrays([pa.array([host], pa.string()), pa.array([packed])], names=["host", "template"])
+            columns = [pa.array([host], pa.string()), pa.array([template.shape()]), pa.array([total], pa.int64())]
+            return pa.RecordBatch.from_arrays(columns, names=["host", "shape", "pages"])
 
         for batch in batches:
-            for name, packed in zip(*(c.to_pylist() for c in batch.columns)):
+            for name, shape, pages in zip(*(c.to_pylist() for c in batch.columns)):
                 if template is not None and name != host:
                     yield done()
-                    template = None
-                host, template = name, merge(template, Slot.unpacked(json.loads(packed)))
+                    template, total = None, 0
+                host, template, total = name, merge(template, grown(shape)[0]), total + pages
         if template is not None:
             yield done()
 
-    dealt = templates.repartition(*by).sortWithinPartitions("host", F.xxhash64("template"))
-    return dealt.select("host", "template").mapInArrow(run, "host string, template string")
+    dealt = shapes.repartition(*by).sortWithinPartitions("host", F.desc("pages"), "shape")
+    return dealt.select("host", "shape", "pages").mapInArrow(run, "host string, shape string, pages bigint")
 
 
 _RUN = pa.struct([("node", pa.int32()), ("key", pa.int64()), ("chars", pa.int64()), ("linked", pa.int64())])
@@ -496,46 +460,83 @@ def different_pages(pages: DataFrame) -> DataFrame:
     return stored(pages.mapInArrow(run, schema).dropDuplicates(["host", "digest"]), "pages")
 
 
+def _small(side: DataFrame, *texts: str) -> DataFrame:
+    """A stored side of a join, to be broadcast if it is small enough, and else shuffled."""
+    size = side.agg(F.sum(sum((F.octet_length(c) for c in texts), F.lit(40)))).first()[0] or 0
+    return F.broadcast(side) if size <= BROADCAST_BYTES else side
+
+
 def induce(pages: DataFrame) -> DataFrame:
-    """(``host``, ``template``) from :func:`different_pages`: all pages of each host, aligned.
+    """(``host``, ``pages``, ``rules``) of every host, from :func:`different_pages`.
 
-    Tasks align their own pages; templates merge, a hot host's in portions first.
+    The shapes of a host merge to its template, a hot host's in portions first. Every
+    shape is then aligned with the whole template, and pages and texts of its nodes are
+    counted by Spark: no node and no text of a host is left out.
     """
+    shapes = stored(pages.groupBy("host", "shape").agg(F.count("*").alias("pages")), "shapes")
+    portion = F.pmod(F.xxhash64("shape"), F.lit(32))
+    templates = stored(_merged(_merged(shapes.withColumn("p", portion), ["host", "p"]), ["host"]), "templates")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, Slot] = {}
-
-        def out() -> pa.RecordBatch:
-            packed = [json.dumps(t.packed(), separators=(",", ":")) for t in held.values()]
-            return pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(packed, pa.string())], names=["host", "template"])
+    def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        host, template, number = None, None, {}
+        for batch in batches:
+            found = []
+            for name, shape, whole in zip(*(batch.column(c).to_pylist() for c in ("host", "shape", "template"))):
+                if template is None or name != host:
+                    host, (template, slots) = name, grown(whole)
+                    number = {id(slot): i for i, slot in enumerate(slots)}
+                page, nodes = grown(shape)
+                pairs: list = []
+                match(page, template, pairs)
+                of = {id(node): number[id(slot)] for node, slot in pairs}
+                found.append([of.get(id(node), -1) for node in nodes])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("host"), batch.column("shape"), batch.column("pages"), pa.array(found, pa.list_(pa.int32()))],
+                names=["host", "shape", "pages", "slots"],
+            )
+
+    whole = templates.select("host", F.col("shape").alias("template"))
+    sorted_shapes = shapes.join(_small(whole, "host", "template"), "host").sortWithinPartitions("host")
+    aligned = stored(
+        sorted_shapes.select("host", "shape", "pages", "template")
+        .mapInArrow(align, "host string, shape string, pages bigint, slots array<int>"),
+        "aligned",
+    )
+    slots = aligned.select("host", "pages", F.explode("slots").alias("slot")).where("slot >= 0")
+    slots = stored(slots.groupBy("host", "slot").agg(F.sum("pages").alias("pages")), "slots")
+
+    of_shape = aligned.select("host", "shape", "slots")
+    size = aligned.agg(F.sum(F.octet_length("host") + F.octet_length("shape") + 4 * F.size("slots"))).first()[0] or 0
+    runs = pages.join(F.broadcast(of_shape) if size <= BROADCAST_BYTES else of_shape, ["host", "shape"])
+    runs = runs.select("host", "slots", F.inline("runs")).withColumn("slot", F.get("slots", F.col("node"))).where("slot >= 0")
+    # A page has a text once in a node, and a node once in a slot.
+    texts = runs.groupBy("host", "slot", "key").agg(
+        F.count("*").alias("n"), F.sum("chars").alias("chars"), F.sum("linked").alias("linked")
+    )
+    often = (F.col("pages") >= CONSTANT_PAGES) & (F.col("n") >= CONSTANT_SHARE * F.col("pages"))
+    texts = texts.join(_small(slots, "host"), ["host", "slot"]).groupBy("host", "slot").agg(
+        F.count("*").alias("texts"), F.sum("chars").alias("chars"), F.sum("linked").alias("linked"),
+        F.sort_array(F.collect_list(F.when(often, F.col("key")))).alias("constant"),
+    )
+    measures = F.struct("slot", "pages", "texts", "chars", "linked", "constant")
+    counted = slots.join(texts, ["host", "slot"], "left").groupBy("host").agg(F.collect_list(measures).alias("counts"))
 
+    def rules(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for host, shape, runs in zip(*(c.to_pylist() for c in batch.columns)):
-                page, slots = grown(shape, 1)
-                for x in runs:
-                    slot = slots[x["node"]]
-                    slot.texts[x["key"]] = 1
-                    slot.chars += x["chars"]
-                    slot.linked += x["linked"]
-                held[host] = merge(held.get(host), page)
-                if len(held) > HELD_HOSTS:
-                    yield out()
-                    held.clear()
-        if held:
-            yield out()
-
-    parts = pages.select("host", "shape", "runs").mapInArrow(run, "host string, template string")
-    portion = F.pmod(F.xxhash64("template"), F.lit(32))
-    return _merged(_merged(parts.withColumn("p", portion), ["host", "p"]), ["host"])
-
-
-def _overall(templates: DataFrame) -> Slot | None:
-    """One template of all hosts; tasks merge their own first, and the driver gets theirs."""
-    total = None
-    one = _merged(templates.select(F.lit("").alias("host"), "template", F.pmod(F.xxhash64("host"), F.lit(32)).alias("p")), ["p"])
-    for r in one.orderBy("template").toLocalIterator():
-        total = merge(total, Slot.unpacked(json.loads(r.template)))
-    return total
+            seen, packed = [], []
+            for shape, counts in zip(*(batch.column(c).to_pylist() for c in ("shape", "counts"))):
+                template, nodes = grown(shape)
+                for x in counts:
+                    slot = nodes[x["slot"]]
+                    slot.pages, slot.texts, slot.constant = x["pages"], x["texts"] or 0, x["constant"] or []
+                    slot.chars, slot.linked = x["chars"] or 0, x["linked"] or 0
+                seen.append(template.pages)
+                packed.append(json.dumps(wrapper(template), separators=(",", ":")))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("host"), pa.array(seen, pa.int64()), pa.array(packed, pa.string())], names=["host", "pages", "rules"]
+            )
+
+    return templates.select("host", "shape").join(counted, "host").mapInArrow(rules, "host string, pages bigint, rules string")
 
 
 def extract(pages: DataFrame, id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
@@ -551,23 +552,13 @@ def extract(pages: DataFrame, id: str = "page_id", url: str = "url", html: str =
         F.coalesce(F.lower(F.regexp_extract(F.col(url), _HOST, 1)), F.lit("")).alias("host"),
         F.coalesce(F.col(html).cast("string"), F.lit("")).alias("html"),
     )
-    templates = stored(induce(different_pages(rows.select("host", "html"))), "templates")
-    overall = _overall(templates)
-    common = json.dumps(wrapper(overall), separators=(",", ":")) if overall else "[\"\",0,[],[]]"
-
-    def rules(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            hosts, packed = [], []
-            for host, text in zip(*(c.to_pylist() for c in batch.columns)):
-                template = Slot.unpacked(json.loads(text))
-                if template.pages >= LEAST_PAGES:
-                    hosts.append(host)
-                    packed.append(json.dumps(wrapper(template), separators=(",", ":")))
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(packed, pa.string())], names=["host", "rules"])
-
-    wrappers = stored(templates.mapInArrow(rules, "host string, rules string"), "wrappers")
-    size = wrappers.agg(F.sum(F.octet_length("rules") + F.octet_length("host"))).first()[0] or 0
-    joined = rows.join(F.broadcast(wrappers) if size <= BROADCAST_BYTES else wrappers, "host", "left")
+    pages = different_pages(rows.select("host", "html"))
+    induced = stored(induce(pages), "wrappers")
+    wrappers = induced.where(F.col("pages") >= LEAST_PAGES).select("host", "rules")
+    common = None
+    if induced.where(F.col("pages") < LEAST_PAGES).head(1):
+        common = induce(pages.dropDuplicates(["digest"]).withColumn("host", F.lit(""))).first().rules
+    joined = rows.join(_small(wrappers, "host", "rules"), "host", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         readers: dict[str | None, Reader] = {}

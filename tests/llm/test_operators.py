@@ -188,6 +188,24 @@ def test_copies_in_many_tasks_count_once(spark):
         assert got == {i: want[0 if i >= 100 else i] for i, _, _ in rows}
 
 
+def test_large_templates_lose_nothing(spark):
+    """A template of over 600 nodes, and over 24 constant texts in one slot, are known whole."""
+    tall = "".join(f"<div><ul><li>Entry {k} of ours</li></ul></div><p>Rule {k} of ours</p>" for k in range(200))
+    wide = "".join(f"<p>Notice {k} of ours</p>" for k in range(40))
+    def page(i, constant):
+        own = "".join(f"<p>Page {i} says {k} at some length.</p>" for k in range(60))
+        return f"<html><body>{constant}<article>{wide}{own}</article></body></html>"
+    rows = [(i, "http://h.example/", page(i, tall)) for i in range(8)] + [(i, "http://w.example/", page(i, "")) for i in range(8, 16)]
+    bare = "<html><body><table>" + "".join(f"<tr><td>Cell {k}</td></tr><ul><li>Item {k}</li></ul>" for k in range(200)) + "</table>"
+    rows += [(i, "http://b.example/", f"{bare}<div><p>Page {i} says so at some length.</p></div></body></html>") for i in range(16, 24)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    got = {r.page_id: r.text for r in wrappers.extract(pages.repartition(3)).collect()}
+    for i in range(16):
+        assert got[i] == " ".join(f"Page {i} says {k} at some length." for k in range(60))
+    for i in range(16, 24):
+        assert got[i] == f"Page {i} says so at some length."
+
+
 def test_links_of_awkward_rows(docs):
     got = sorted((tuple(r) for r in ngram_join.near_duplicates(docs).collect()), key=repr)
     assert got == data.linked([(r.doc_id, r.text) for r in docs.collect()])

@@ -4,9 +4,10 @@ Only DataFrame functions. Every text is measured once. The measures of each
 (language, source) go to a quantile sketch: counts per bucket of a logarithmic scale
 with relative error ``ERROR``. Sketches merge by adding counts, so partial aggregates
 build them, and those of a language or of everything are sums of finer ones. A text
-fails where a measure lies beyond its group's fence: upper quartile plus ``REACH``
-times the spread of the quartiles, and at least an absolute slack, so that a group
-without any spread does not fail its ordinary texts.
+fails where a measure lies beyond its group's fence: the quantile ``TAIL`` (for low
+values ``1 - TAIL``) plus ``REACH`` times its distance from the median, and at least a
+small floor, so that a group without any spread does not fail its ordinary texts. A
+group may hold bad texts up to ``1 - TAIL`` of it without moving its fence to them.
 """
 
 from __future__ import annotations
@@ -26,15 +27,16 @@ MOST_REPEATED = 50
 
 #: Relative error of a sketched quantile.
 ERROR = 0.02
-REACH = 3.0
+TAIL = 0.85
+REACH = 2.0
 #: Rows from which a group has thresholds of its own; smaller ones use their language's, then all.
 LEAST_GROUP = 200
-#: (measure, least distance of its fence from the quartile, whether low values fail too)
+#: (measure, least margin of its fence, whether low values fail too)
 MEASURES = [
-    ("symbols_per_word", 0.25, False),
-    ("repeated_share", 0.45, False),
-    ("dup_line_share", 0.3, False),
-    ("chars_per_word", 4.0, True),
+    ("symbols_per_word", 0.05, False),
+    ("repeated_share", 0.05, False),
+    ("dup_line_share", 0.1, False),
+    ("chars_per_word", 0.25, True),
 ]
 _POSITION_BITS = 24
 
@@ -47,12 +49,12 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` without its text, with the counts of the base rules.
 
     ``n_words``, ``word_chars``, ``n_symbols``, ``n_dup_lines``, ``n_repeat_words`` of
-    the whole text; null counts as empty. Words in repeated windows are found by
+    the whole text, and ``n_lines``, its lines that are not blank; null counts as empty. Words in repeated windows are found by
     sorting, per text, one number per window made of a hash and a position; equal
     neighbours are compared word by word, and a text where hashes of different windows
     meet, or one too long for the position, is sorted by the windows themselves.
     """
-    others = [c for c in docs.columns if c not in (text, *COUNTS)]
+    others = [c for c in docs.columns if c not in (text, "n_lines", *COUNTS)]
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     lines = F.filter(F.split(body, "\n"), lambda x: x.rlike(f"[^{BLANKS}]"))
     step = docs.select(
@@ -61,6 +63,7 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
         F.char_length(F.regexp_replace(body, f"[{BLANKS}]+", "")).cast("bigint").alias("word_chars"),
         F.char_length(F.regexp_replace(body, SYMBOLS, "")).cast("bigint").alias("n_symbols"),
         (F.size(lines) - F.size(F.array_distinct(lines))).cast("bigint").alias("n_dup_lines"),
+        F.size(lines).cast("bigint").alias("n_lines"),
     )
     n = F.size("__w")
     low = (1 << _POSITION_BITS) - 1
@@ -111,6 +114,7 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
         "word_chars",
         "n_symbols",
         "n_dup_lines",
+        "n_lines",
         covered.alias("n_repeat_words"),
     )
 
@@ -157,7 +161,7 @@ def _measures() -> dict[str, Column]:
     return {
         "symbols_per_word": F.col("n_symbols") / words,
         "repeated_share": F.col("n_repeat_words") / words,
-        "dup_line_share": F.col("n_dup_lines") / words,
+        "dup_line_share": F.col("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(1)),
         "chars_per_word": F.col("word_chars") / words,
     }
 
@@ -168,9 +172,10 @@ def _bucket(x: Column) -> Column:
     return F.when(x < 1e-4, 0).otherwise(F.ceil(F.log(x / 1e-4) / math.log(ratio)) + 1).cast("int")
 
 
-def _value(bucket: Column) -> Column:
+def _edge(bucket: Column, upper: bool) -> Column:
+    """The greatest or the least value of a bucket."""
     ratio = (1 + ERROR) / (1 - ERROR)
-    return F.when(bucket == 0, 0.0).otherwise(1e-4 * F.pow(F.lit(ratio), bucket - 1.5))
+    return F.when(bucket == 0, 1e-4 if upper else 0.0).otherwise(1e-4 * F.pow(F.lit(ratio), bucket - (1 if upper else 2)))
 
 
 def sketches(measures: DataFrame) -> DataFrame:
@@ -189,8 +194,8 @@ def sketches(measures: DataFrame) -> DataFrame:
     return told.groupBy("lang", "source", "measure", "bucket").agg(F.sum("n").alias("n"))
 
 
-def _quartiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
-    """Count, first and third quartile of each measure of each group of ``keys``."""
+def _tails(sketch: DataFrame, keys: list[str]) -> DataFrame:
+    """Count, low tail, median and high tail of each measure of each group of ``keys``."""
     merged = sketch.groupBy(*keys, "measure", "bucket").agg(F.sum("n").alias("n"))
     lists = merged.groupBy(*keys, "measure").agg(
         F.sum("n").alias("rows"), F.sort_array(F.collect_list(F.struct("bucket", "n"))).alias("counts")
@@ -208,7 +213,11 @@ def _quartiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
             lambda acc: acc["bucket"],
         )
 
-    return lists.select(*keys, "measure", "rows", _value(at(0.25)).alias("q1"), _value(at(0.75)).alias("q3"))
+    return lists.select(
+        *keys, "measure", "rows",
+        _edge(at(1 - TAIL), False).alias("low"), _edge(at(0.5), True).alias("median"),
+        _edge(at(TAIL), True).alias("high"),
+    )
 
 
 def thresholds(sketch: DataFrame) -> DataFrame:
@@ -216,9 +225,9 @@ def thresholds(sketch: DataFrame) -> DataFrame:
 
     From the group's own sketch, its language's where the group is small, or all.
     """
-    own = _quartiles(sketch, ["lang", "source"]).alias("own")
-    by_lang = _quartiles(sketch, ["lang"]).alias("by_lang")
-    overall = _quartiles(sketch, []).alias("overall")
+    own = _tails(sketch, ["lang", "source"]).alias("own")
+    by_lang = _tails(sketch, ["lang"]).alias("by_lang")
+    overall = _tails(sketch, []).alias("overall")
     same_lang = F.col("own.lang").eqNullSafe(F.col("by_lang.lang"))
     joined = own.join(by_lang, same_lang & (F.col("own.measure") == F.col("by_lang.measure"))).join(
         F.broadcast(overall), F.col("own.measure") == F.col("overall.measure")
@@ -231,12 +240,14 @@ def thresholds(sketch: DataFrame) -> DataFrame:
             .otherwise(F.col(f"overall.{name}"))
         )
 
-    q1, q3, measure = chosen("q1"), chosen("q3"), F.col("own.measure")
-    slack, low = F.lit(None), F.lit(None)
+    low_tail, median, high_tail, measure = chosen("low"), chosen("median"), chosen("high"), F.col("own.measure")
+    floor, low = F.lit(None), F.lit(None)
     for i, (_, least, two_sided) in enumerate(MEASURES):
-        slack = F.when(measure == i, F.greatest(F.lit(least), (q3 - q1) * REACH)).otherwise(slack)
-        low = F.when((measure == i) & F.lit(two_sided), q1 - slack).otherwise(low)
-    fence = F.struct(measure.alias("measure"), low.cast("double").alias("low"), (q3 + slack).alias("high"))
+        floor = F.when(measure == i, F.lit(least)).otherwise(floor)
+        below = low_tail - F.greatest(F.lit(least), (median - low_tail) * REACH)
+        low = F.when((measure == i) & F.lit(two_sided), below).otherwise(low)
+    high = high_tail + F.greatest(floor, (high_tail - median) * REACH)
+    fence = F.struct(measure.alias("measure"), low.cast("double").alias("low"), high.alias("high"))
     fences = joined.select(F.col("own.lang").alias("lang"), F.col("own.source").alias("source"), fence.alias("fence"))
     return fences.groupBy("lang", "source").agg(F.sort_array(F.collect_list("fence")).alias("fences"))
 

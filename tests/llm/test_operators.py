@@ -110,6 +110,38 @@ def test_fences_follow_their_group(spark):
     assert not out.pop(900) and all(out.values())
 
 
+def test_each_measure_has_fences_of_its_group(spark):
+    """An outlier of one source is an ordinary text of the other, in each of the four measures."""
+    def words(i, n=80, size=6):
+        return [f"{i:04d}{k:03d}".translate(str.maketrans("0123456789", "abcdefghij")).ljust(size, "x")[:size] for k in range(n)]
+    def lines(words, n):
+        return "\n".join(" ".join(words[k : k + n]) for k in range(0, len(words), n))
+    def symbols(i):
+        return " ".join(words(i, size=7)) + "#" * 8
+    def repeats(i):
+        return " ".join(words(i, size=7) + words(i, 12, 7))
+    def dup_lines(i):  # lines of two words, too short for repeated windows to tell
+        w = words(i, size=7)
+        return "\n".join([lines(w, 10), *(x for k in range(0, 4, 2) for x in (" ".join(w[k : k + 2]),) * 2)])
+    def long_words(i):
+        return " ".join(words(i, size=7)).replace(" ", "yyyy ")
+    def short_words(i):
+        return " ".join(w[-4:] for w in words(i, size=7))
+    odd = {"s": symbols, "r": repeats, "d": dup_lines, "l": long_words, "k": short_words}
+    rows = [(i, lines(words(i, size=7), 10), "en", "plain") for i in range(300)]
+    rows += [(1000 * n + i, f(i), "en", name) for n, (name, f) in enumerate(odd.items(), 1) for i in range(300)]
+    strange = {9000 + n: f(500 + n) for n, f in enumerate(odd.values())}
+    rows += [(i, text, "en", "plain") for i, text in strange.items()]
+    rows += [(i + 100, text, "en", name) for (i, text), name in zip(strange.items(), odd)]
+    docs = spark.createDataFrame(rows, "doc_id int, text string, lang string, source string")
+    out = {r.doc_id: r for r in adaptive_rules.apply_rules(docs).collect()}
+    found = [[*out[i].failed] for i in strange]
+    for i, measure in enumerate(["symbols_per_word", "repeated_share", "dup_line_share", "chars_per_word", "chars_per_word"]):
+        assert measure in found[i], (measure, found)
+        assert not out[9100 + i].failed and not out[9100 + i].base_failed
+    assert all(r.kept for i, r in out.items() if i < 300)
+
+
 def test_token_files(spark, docs):
     from tokenizers import Tokenizer
 

@@ -145,7 +145,9 @@ def report_queries() -> dict[str, Query]:
         **{f"stored_{name}": over_stored(reports[name]) for name in stored},
         "signals": all_signals,
         "stream_error_alerts": over_stream(
-            lambda s: live.error_alerts(s, min_errors=1), ["window_start", "window_end", "runtime"]
+            lambda s: live.error_alerts(s, min_errors=0),
+            ["window_start", "window_end", "runtime"],
+            lambda stored: stored.where("error_count > 1"),
         ),
         "stream_kpi_rollup": over_stream(live.kpi_rollup, ["time_bucket", "runtime"]),
         "stream_processor_status": over_stream(
@@ -190,11 +192,11 @@ def over_stream(
         session.conf.set(PARTS, spark.conf.get(PARTS))
         events = session.readStream.schema(EVENTS_SCHEMA).parquet(f"{sf_dir}/event[s].parquet")
         telemetry = sw.telemetry_from_events(events)
-        result = live_report(sw.signals(telemetry, error_level_only=True))
+        sig = sw.signals(telemetry, error_level_only=True)
         folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
         table = f"{folder}/table"
-        live.upsert_to_table(result, table, f"{folder}/checkpoint").awaitTermination()
-        return read(live.latest_rows(spark, table, result.schema, keys))
+        live.partials_to_table(sig, live_report, table, f"{folder}/checkpoint").awaitTermination()
+        return read(live.merged_rows(spark, table, live_report(sig).schema, keys))
 
     return query
 

@@ -3,12 +3,14 @@
 Each takes a streaming (or batch) signals frame and returns windowed aggregates
 under a watermark: state is one row per key and open window, whatever the number
 of events. In append mode a window is emitted once, when the watermark passes its
-end; in update mode it is emitted as it changes.
+end, and rows behind the watermark are left out, which a row dated in the future moves
+for all; in update mode it is emitted as it changes. :func:`partials_to_table` stores a
+report without a watermark, and leaves out nothing.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -105,35 +107,47 @@ def append_to_table(
     )
 
 
-def upsert_to_table(
-    result: DataFrame, path: str, checkpoint: str, continuous: str | None = None
+def partials_to_table(
+    sig: DataFrame,
+    report: Callable[[DataFrame], DataFrame],
+    path: str,
+    checkpoint: str,
+    continuous: str | None = None,
 ) -> StreamingQuery:
-    """Store every change of every window, open ones too, as Parquet.
+    """Store what each batch adds to each window of a report, as Parquet; no row is too late.
+
+    The report runs over every batch on its own and keeps no state, so it has no
+    watermark: a row dated in the future closes no window, and rows of any age count.
+    It must keep all its groups, as counts are only whole once merged (for
+    :func:`error_alerts` ``min_errors=0``, and the bound on reading).
 
     Each batch writes its own folder ``batch=n`` anew, so a batch that is repeated
-    after a failure leaves the same rows: read them with :func:`latest_rows`. All that
+    after a failure leaves the same rows: read them with :func:`merged_rows`. All that
     is available, then stop; or every ``continuous``, such as "1 minute".
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        report(batch).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     trigger = {"processingTime": continuous} if continuous else {"availableNow": True}
     return (
-        result.writeStream.outputMode("update")
-        .foreachBatch(write)
+        sig.writeStream.foreachBatch(write)
         .option("checkpointLocation", checkpoint)
         .trigger(**trigger)
         .start()
     )
 
 
-def latest_rows(spark: SparkSession, path: str, schema: StructType, keys: Sequence[str]) -> DataFrame:
-    """Of a table of :func:`upsert_to_table` the newest row of each key."""
+#: Columns of the reports that add up over batches; maxima of the others merge.
+SUMS = ("error_count", "total_errors")
+
+
+def merged_rows(spark: SparkSession, path: str, schema: StructType, keys: Sequence[str]) -> DataFrame:
+    """Of a table of :func:`partials_to_table` the whole row of each key."""
     stored = spark.read.schema(StructType([*schema, StructField("batch", LongType())])).parquet(path)
-    others = [f.name for f in schema if f.name not in keys]
-    newest = stored.groupBy(*keys).agg(F.max_by(F.struct(*others), "batch").alias("row"))
-    return newest.select(*(F.col(f"row.{f}").alias(f) if f in others else f for f in schema.names))
+    others = [name for name in schema.names if name not in keys]
+    merged = [(F.sum if name in SUMS else F.max)(name).alias(name) for name in others]
+    return stored.groupBy(*keys).agg(*merged).select(*schema.names)
 
 
 def _timed(sig: DataFrame, delay: str) -> DataFrame:

@@ -115,3 +115,30 @@ def test_streams_need_utc(spark, sig):
 def test_state_is_one_row_per_key_and_open_window(stream, sig):
     grouped = live.kpi_rollup(sig([log(ago(minutes=m)) for m in range(3)] * 50))
     assert grouped.select(F.count("*")).first()[0] == 2
+
+
+def test_future_and_late_rows_lose_nothing(spark, telemetry, sig, tmp_path):
+    """A row of the far future in the first batch; what follows is older, and all of it counts."""
+    def some(minutes, runtime):
+        at = ago(minutes=minutes)
+        return [
+            *[log(at, runtime)] * 2,
+            row(at, runtime, metric=QUEUED_DURATION, value=str(60000 * minutes)),
+            row(at, runtime, metric=RUN_STATUS, value=str(minutes % 2)),
+        ]
+    future = [(r[0] + timedelta(days=30000), *r[1:]) for r in some(5, "runtime-future")]
+    batches = [some(14, "runtime-a") + future, some(15, "runtime-a") + some(300, "runtime-b"), some(13, "runtime-a")]
+    reports = {
+        "alerts": (lambda s: live.error_alerts(s, min_errors=0), ["window_start", "window_end", "runtime"]),
+        "trend": (live.kpi_rollup, ["time_bucket", "runtime"]),
+        "status": (live.run_status_rollup, ["window_start", "window_end", "runtime", "component"]),
+    }
+    source = f"{tmp_path}/source"
+    for batch in batches:
+        telemetry(batch).coalesce(1).write.mode("append").parquet(source)
+        stream = sw.signals(spark.readStream.schema(telemetry([]).schema).parquet(source))
+        for name, (report, _) in reports.items():
+            live.partials_to_table(stream, report, f"{tmp_path}/{name}", f"{tmp_path}/{name}-checkpoint").awaitTermination()
+    for name, (report, keys) in reports.items():
+        found = live.merged_rows(spark, f"{tmp_path}/{name}", report(stream).schema, keys)
+        assert bag(found) == bag(report(sig(sum(batches, []))))

@@ -300,6 +300,55 @@ def test_classifiers_score_awkward_rows(spark, docs, module, label):
     assert all(r.predicted == (label == "quality") for r in rows)
 
 
+def test_toxicity_by_plain_counts():
+    """Ratios and scores against n-grams counted as strings."""
+    order = np.random.default_rng(11)
+    common = ["the", "tree", "stands", "near", "our", "old", "house", "étoile"]
+    texts = [[common[k] for k in order.integers(0, 8, 30)] for _ in range(60)]
+    labels = np.array([i % 2 for i in range(60)], dtype=float)
+    for i in range(1, 60, 2):
+        texts[i][:2] = ["Badword", "vileness"]
+    lines = [" ".join(t) for t in texts]
+
+    def counts(line):
+        padded = f" {' '.join(line.lower().split())} "
+        return Counter(padded[k : k + n] for n in toxicity.ORDERS for k in range(len(padded) - n + 1))
+
+    def place(gram):
+        h = ord(gram[0])
+        for c in gram[1:]:
+            h = (h * 0x01000193 ^ ord(c)) % 2**32
+        h = h * 0x85EBCA6B % 2**32
+        return (h ^ h >> 13) * 0xC2B2AE35 % 2**32 >> 32 - toxicity.BITS
+
+    plain = [counts(x) for x in lines]
+    grams = set().union(*plain)
+    assert len({place(g) for g in grams}) == len(grams)
+    ratios = toxicity.log_count_ratios([toxicity.features(x.encode()) for x in lines], labels)
+    for g in grams:
+        sums = [1 + sum(np.log1p(c[g]) for c, y in zip(plain, labels) if y == k) for k in (0, 1)]
+        seen = [sum(g in c for c, y in zip(plain, labels) if y == k) for k in (0, 1)]
+        want = np.log(sums[1] / 32 / (sums[0] / 32))
+        if sum(seen) < 3 or abs(want) < 3 * (1 / (seen[0] + 1) + 1 / (seen[1] + 1)) ** 0.5:
+            want = 0
+        assert np.isclose(ratios[place(g)], want, atol=1e-5), g
+    weights, bias = toxicity.fit([x.encode() for x in lines], labels, 0.5)
+    used = weights != 0
+    for line, c, y in zip(lines, plain, labels):
+        z = bias + sum(weights[place(g)] * np.log1p(n) for g, n in c.items())
+        distinct, values = toxicity.features(line.encode(), used)
+        assert np.isclose(bias + weights[distinct] @ values, z, atol=1e-4) and (z > 0) == (y == 1)
+
+
+def test_a_few_words_in_a_very_long_text_are_found():
+    calm = " ".join(f"calm{k % 50} water" for k in range(60))
+    texts = [calm.encode()] * 40 + [(calm + " badword vileness badword").encode()] * 40
+    weights, bias = toxicity.fit(texts, np.repeat([0.0, 1.0], 40), 0.5)
+    for words, toxic in (("", False), (" badword vileness badword", True)):
+        distinct, values = toxicity.features(((calm + " ") * 300 + words).encode(), weights != 0)
+        assert (bias + weights[distinct] @ values >= 0) == toxic
+
+
 def test_marginals_are_those_of_all_labellings():
     chains = line_crf.Chains([b"one\ntwo three\nfour", b"x"])
     order = np.random.default_rng(3)

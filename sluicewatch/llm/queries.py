@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from sluicewatch.llm import (
     adaptive_rules,
     chat_bytes,
+    lexical_dag,
     line_crf,
     ngram_join,
     sp_wfst,
@@ -107,6 +108,10 @@ def pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_pieces", "ids_crc32", "decoded_sha256", trip)
 
 
+def lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_dag.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_decontamination": decontamination,
@@ -119,6 +124,7 @@ def queries() -> dict[str, Query]:
         "op8_chat_bytes": chats,
         "op9_line_crf": quality_scores,
         "op10_sentencepiece": pieces,
+        "op13_lexical_search": lexical_search,
     }
 
 
@@ -199,9 +205,31 @@ def oracle_sql() -> dict[str, str]:
         AS formatted_chars
     FROM c GROUP BY conv_id"""
 
+    ranked = f"""
+    WITH docs AS (SELECT row_number() OVER () AS r, doc_id, {words(_WORD)} AS w FROM documents),
+    held AS (SELECT r, doc_id, w, CAST(len(w) AS BIGINT) AS n FROM docs WHERE len(w) > 0),
+    totals AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS terms FROM held),
+    found AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(w) AS term FROM held) AS x GROUP BY r, term),
+    items AS (
+      SELECT k, item_id, unnest(list_distinct(w)) AS term
+      FROM (SELECT row_number() OVER () AS k, item_id, {words(_WORD)} AS w FROM benchmark) AS x),
+    weights AS (
+      SELECT term, CAST(floor(1000 * ln((2 * any_value(docs) + 2) / (2 * count(*) + 1))) AS BIGINT) AS weight
+      FROM found CROSS JOIN totals WHERE term IN (SELECT term FROM items) GROUP BY term),
+    scored AS (
+      SELECT k, item_id, doc_id, r,
+        CAST(sum(weight * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * docs) // terms)))) AS BIGINT) AS score
+      FROM items JOIN weights USING (term) JOIN found USING (term) JOIN held USING (r) CROSS JOIN totals
+      GROUP BY k, item_id, doc_id, r),
+    placed AS (
+      SELECT *, row_number() OVER (PARTITION BY k ORDER BY score DESC, doc_id ASC NULLS LAST) AS place
+      FROM scored WHERE score > 0)
+    SELECT item_id, CAST(place AS INTEGER) AS rank, doc_id, score FROM placed WHERE place <= 50"""
+
     return {
         "op1_decontamination": decontaminated,
         "op2_warc": archived,
         "op7_ngram_join": linked,
         "op8_chat_bytes": formatted,
+        "op13_lexical_search": ranked,
     }

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import html
+import math
 import re
 import zlib
 from collections import Counter
@@ -11,9 +12,10 @@ from collections import Counter
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 from sluicewatch.llm import (
-    adaptive_rules, chat_bytes, line_crf, ngram_join, sp_wfst, suffix_arrays, token_orc, toxicity, warc_zstd, wrappers,
+    adaptive_rules, chat_bytes, lexical_dag, line_crf, ngram_join, sp_wfst, suffix_arrays, token_orc, toxicity, warc_zstd, wrappers,
 )
 from sluicewatch.llm.scratch import new_folder
 from tests.llm import data
@@ -394,6 +396,52 @@ def test_scored_path_is_the_least():
         assert np.isclose(sum(model.scores[i] for i in ids), best(text))
 
 
+def plain_search(rows, items, k):
+    """Every document against every item, one term at a time."""
+    held = [(i, Counter(w)) for i, text in rows if (w := suffix_arrays.words((text or "").encode()))]
+    n_docs, n_terms = len(held), sum(sum(c.values()) for _, c in held)
+    df = Counter(t for _, c in held for t in c)
+    out = []
+    for name, text in items:
+        scores = []
+        for i, c in held:
+            m, score = 50 + 50 * sum(c.values()) * n_docs // n_terms, 0
+            for t in set(suffix_arrays.words((text or "").encode())) & set(c):
+                w = math.floor(1000 * math.log((2 * n_docs + 2) / (2 * df[t] + 1)))
+                score += w * (10**9 * c[t] // (1000 * c[t] + 20 * m))
+            if score > 0:
+                scores.append((-score, i is None, i or 0))
+        out += [(name, r, None if no else i, -s) for r, (s, no, i) in enumerate(sorted(scores)[:k], 1)]
+    return Counter(out)
+
+
+@pytest.mark.parametrize("k, block", [(50, lexical_dag.BLOCK_TERMS), (2, 5)])
+def test_lexical_search(spark, docs, k, block, monkeypatch):
+    monkeypatch.setattr(lexical_dag, "HELD_ROWS", 1)
+    monkeypatch.setattr(lexical_dag, "BATCH_SUMS", 100)
+    items = [(1, data.SENTENCE), (2, "one two"), (30, "a b w5 x7 w9"), (4, ""), (5, None), (None, "birds sing"), (1, data.SENTENCE), (6, "nowhere")]
+    bench = spark.createDataFrame(items, "item_id bigint, text string").withColumn("rank", F.lit("x"))
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    many = [(100 + i, f"birds w{i % 7} x{i % 5} two " * (1 + i % 4)) for i in range(200)]
+    both = docs.withColumn("rank", F.lit(0)).unionByName(
+        spark.createDataFrame(many, "doc_id bigint, text string"), allowMissingColumns=True
+    )
+    got = lexical_dag.search(both, bench, k, block_terms=block).collect()
+    assert Counter(map(tuple, got)) == plain_search(rows + many, items, k)
+    assert lexical_dag.search(docs.limit(0), bench).collect() == lexical_dag.search(docs, bench.limit(0)).collect() == []
+
+
+def test_shared_sums_are_the_items_own_sums():
+    dice = np.random.default_rng(2)
+    items = [sorted({int(t) for t in dice.zipf(1.4, 30) if t <= 60} | {int(dice.integers(0, 60))}) for _ in range(80)]
+    sums = lexical_dag.SharedSums(items, 61)
+    assert sums.levels and sums.operands.size < sum(map(len, items)) / 2
+    values = dice.integers(0, 10**12, (61, 5))
+    term, document = (a.ravel() for a in np.indices(values.shape))
+    got = sums.scores(document, term, values.ravel(), 5)
+    assert (got == np.array([values[i].sum(axis=0) for i in items])).all()
+
+
 def test_empty_tables(spark, docs):
     none = docs.limit(0)
     bench = spark.createDataFrame([], "item_id bigint, text string")

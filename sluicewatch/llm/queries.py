@@ -13,6 +13,7 @@ from sluicewatch.llm import (
     chat_bytes,
     lexical_dag,
     line_crf,
+    metric_cells,
     ngram_join,
     sp_wfst,
     suffix_arrays,
@@ -108,6 +109,10 @@ def pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_pieces", "ids_crc32", "decoded_sha256", trip)
 
 
+def embedding_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metric_cells.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical_dag.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -124,6 +129,7 @@ def queries() -> dict[str, Query]:
         "op8_chat_bytes": chats,
         "op9_line_crf": quality_scores,
         "op10_sentencepiece": pieces,
+        "op11_metric_cells": embedding_duplicates,
         "op13_lexical_search": lexical_search,
     }
 
@@ -205,6 +211,24 @@ def oracle_sql() -> dict[str, str]:
         AS formatted_chars
     FROM c GROUP BY conv_id"""
 
+    near = """
+    WITH RECURSIVE rows AS (
+      SELECT row_number() OVER () AS r, vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+    parts AS (SELECT r, unnest(v) AS x FROM rows),
+    usable AS (
+      SELECT r, label, v FROM rows
+      WHERE label IS NOT NULL AND r IN (SELECT r FROM parts WHERE x <> 0)
+        AND r NOT IN (SELECT r FROM parts WHERE x IS NULL OR NOT isfinite(x))),
+    links AS (
+      SELECT x.r AS a, y.r AS b FROM usable AS x JOIN usable AS y ON x.label = y.label AND len(x.v) = len(y.v) AND x.r <> y.r
+      WHERE list_cosine_similarity(x.v, y.v) >= 0.93),
+    counts AS (SELECT a AS r, count(*) AS n FROM links GROUP BY a),
+    reach AS (SELECT r AS a, r AS b FROM rows UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
+    least AS (SELECT reach.a AS r, min(rows.vec_id) AS component_id FROM reach JOIN rows ON rows.r = reach.b GROUP BY reach.a)
+    SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, component_id,
+           vec_id IS NOT DISTINCT FROM component_id AS kept
+    FROM rows JOIN least USING (r) LEFT JOIN counts USING (r)"""
+
     ranked = f"""
     WITH docs AS (SELECT row_number() OVER () AS r, doc_id, {words(_WORD)} AS w FROM documents),
     held AS (SELECT r, doc_id, w, CAST(len(w) AS BIGINT) AS n FROM docs WHERE len(w) > 0),
@@ -231,5 +255,6 @@ def oracle_sql() -> dict[str, str]:
         "op2_warc": archived,
         "op7_ngram_join": linked,
         "op8_chat_bytes": formatted,
+        "op11_metric_cells": near,
         "op13_lexical_search": ranked,
     }

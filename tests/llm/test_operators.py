@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import html
+import itertools
 import math
 import re
 import zlib
@@ -15,7 +16,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sluicewatch.llm import (
-    adaptive_rules, chat_bytes, lexical_dag, line_crf, ngram_join, sp_wfst, suffix_arrays, token_orc, toxicity, warc_zstd, wrappers,
+    adaptive_rules, chat_bytes, lexical_dag, line_crf, metric_cells, ngram_join, sp_wfst, suffix_arrays, token_orc, toxicity, warc_zstd, wrappers,
 )
 from sluicewatch.llm.scratch import new_folder
 from tests.llm import data
@@ -396,6 +397,71 @@ def test_scored_path_is_the_least():
         assert np.isclose(sum(model.scores[i] for i in ids), best(text))
 
 
+def plain_vector_links(rows, cosine=0.93):
+    """(id, links, least linked id, kept) of every row, by comparing all pairs."""
+    def unit(v):
+        a = np.array([np.nan if x is None else x for x in v or []], dtype=float)
+        return a / np.abs(a).max() / np.linalg.norm(a / np.abs(a).max()) if a.size and np.isfinite(a).all() and a.any() else None
+    units = [unit(v) for _, v, _ in rows]
+    links, root = [set() for _ in rows], list(range(len(rows)))
+    for i, j in itertools.combinations(range(len(rows)), 2):
+        x, y = units[i], units[j]
+        if rows[i][2] is not None and rows[i][2] == rows[j][2] and x is not None and y is not None and x.size == y.size and x @ y >= cosine:
+            links[i].add(j)
+            links[j].add(i)
+            root = [root[i] if r == root[j] else r for r in root]
+    least = {r: min((rows[k][0] for k in range(len(rows)) if root[k] == r and rows[k][0] is not None), default=None) for r in set(root)}
+    return Counter((rows[k][0], len(links[k]), least[root[k]], rows[k][0] == least[root[k]]) for k in range(len(rows)))
+
+
+def vectors(size, n, seed):
+    """Evenly spread vectors, a tight and a loose group, a chain, and copies."""
+    dice = np.random.default_rng(seed)
+    spread = dice.normal(size=(n, size))
+    tight = dice.normal(size=size) + 0.05 * dice.normal(size=(n, size))
+    loose = dice.normal(size=size) + dice.uniform(0.1, 0.6, (n, 1)) * dice.normal(size=(n, size))
+    turn = 0.35 * np.arange(n // 4)[:, None]
+    chain = np.cos(turn) * np.eye(size)[0] + np.sin(turn) * np.eye(size)[1]
+    return np.concatenate([spread, tight, loose, chain, np.repeat(spread[:3], 5, axis=0) * 2]).astype(np.float32)
+
+
+@pytest.mark.parametrize("cell_bytes, pivot_bytes", [(1 << 20, 8 << 20), (1, 8 << 20), (1, 5 * 8 * 6), (1, 1)])
+def test_vector_links(spark, cell_bytes, pivot_bytes):
+    """Whole labels, many cells, several blocks in a cell, and blocks without pivots."""
+    found = vectors(6, 150, 3)
+    rows = [(k * 7 % 1000, v.tolist(), k % 2 if k % 11 else 2) for k, v in enumerate(found)]
+    odd = [None, [], [0.0] * 6, [1.0, None, 0.0, 0.0, 0.0, 0.0], [float("nan")] * 6, [float("inf"), 1.0, 1.0, 1.0, 1.0, 1.0], [1.0] * 5, [1e-30] * 6, [3e38] * 6]
+    rows += [(2000 + k, v, 0) for k, v in enumerate(odd)]
+    rows += [(3000, found[0].tolist(), None), (3001, found[0].tolist(), None), (None, found[0].tolist(), 0), (None, [1.0] * 5, 7), (None, [1.0] * 5, 7), (4, found[5].tolist(), 0), (4, found[5].tolist(), 0)]
+    schema = "vec_id bigint, embedding array<float>, label int"
+    frame = spark.createDataFrame(rows, schema).withColumn("node", F.lit(1)).withColumn("n_links", F.lit("x"))
+    got = metric_cells.near_duplicates(frame.repartition(5), cell_bytes=cell_bytes, pivot_bytes=pivot_bytes).collect()
+    want = plain_vector_links(rows)
+    assert Counter((r.vec_id, r.n_links, r.component_id, bool(r.kept)) for r in got) == want
+    assert metric_cells.near_duplicates(frame.limit(0)).collect() == []
+
+
+def test_cells_miss_no_partner():
+    """Every two vectors that link meet in the home cell of each, and few others do."""
+    bounds, points = metric_cells.Bounds(0.93), vectors(6, 400, 9).astype(float)
+    points /= np.linalg.norm(points, axis=1)[:, None]
+    pivots = metric_cells.choose_pivots(points[::3], 20, bounds)
+    assert len(pivots) > 5 and (pivots @ pivots.T - np.eye(len(pivots))).max() < np.cos(1.5 * bounds.reach)
+    cosines, angles, home, shell = bounds.homes(points, pivots)
+    angle = angles[np.arange(home.size), home]
+    low, high = np.full((len(pivots), 3), np.inf), np.full((len(pivots), 3), -np.inf)
+    np.minimum.at(low, (home, shell), angle)
+    np.maximum.at(high, (home, shell), angle)
+    may = bounds.candidates(cosines, angles, home, pivots, low, high)
+    linked = points @ points.T >= 0.93
+    for y, x in zip(*np.nonzero(linked)):
+        assert may[y, home[x], shell[x]]
+        assert not (home[x] == home[y] and shell[x] == shell[y] == metric_cells.CORE) or linked[x, y]
+    cores = [np.flatnonzero((home == p) & (shell == metric_cells.CORE)) for p in range(len(pivots))]
+    assert max(map(len, cores)) > 100 and all(linked[np.ix_(c, c)].all() for c in cores)
+    assert may.sum() < 0.4 * may.size
+
+
 def plain_search(rows, items, k):
     """Every document against every item, one term at a time."""
     held = [(i, Counter(w)) for i, text in rows if (w := suffix_arrays.words((text or "").encode()))]

@@ -9,7 +9,7 @@ import pytest
 
 from sluicewatch.llm import queries
 
-TABLES = ("documents", "pages", "benchmark", "labels", "conversations")
+TABLES = ("documents", "pages", "benchmark", "labels", "conversations", "embeddings")
 QUERIES, ORACLES = queries.queries(), queries.oracle_sql()
 
 

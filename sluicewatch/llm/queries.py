@@ -15,6 +15,7 @@ from sluicewatch.llm import (
     line_crf,
     metric_cells,
     ngram_join,
+    prefix_trie,
     sp_wfst,
     suffix_arrays,
     token_orc,
@@ -113,6 +114,11 @@ def embedding_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metric_cells.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = prefix_trie.sequences(table(spark, sf_dir, "conversations"))
+    return prefix_trie.trie(prefix_trie.rebuilt(own))
+
+
 def lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical_dag.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -130,6 +136,7 @@ def queries() -> dict[str, Query]:
         "op9_line_crf": quality_scores,
         "op10_sentencepiece": pieces,
         "op11_metric_cells": embedding_duplicates,
+        "op12_prefix_trie": conversation_trie,
         "op13_lexical_search": lexical_search,
     }
 
@@ -229,6 +236,42 @@ def oracle_sql() -> dict[str, str]:
            vec_id IS NOT DISTINCT FROM component_id AS kept
     FROM rows JOIN least USING (r) LEFT JOIN counts USING (r)"""
 
+    beginnings = """
+    WITH RECURSIVE said AS (
+      SELECT conv_id AS c, turn, coalesce(role, '') AS role, coalesce(text, '') AS text
+      FROM conversations WHERE conv_id IS NOT NULL),
+    known AS (SELECT role, text, row_number() OVER () AS u, length(text) AS chars FROM (SELECT DISTINCT role, text FROM said) AS x),
+    own AS (
+      SELECT c, list(u ORDER BY turn NULLS FIRST, role, md5(length(role) || ':' || role || text)) AS s
+      FROM said JOIN known USING (role, text) GROUP BY c),
+    crc AS (
+      SELECT c, CAST(c AS VARCHAR) AS digits, 0 AS step, CAST(4294967295 AS BIGINT) AS v FROM own
+      UNION ALL
+      SELECT c, digits, step + 1, CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END
+      FROM (SELECT c, digits, step,
+              CASE WHEN step % 8 = 0 THEN xor(v, CAST(ascii(digits[step // 8 + 1]) AS BIGINT)) ELSE v END AS x
+            FROM crc WHERE step < 8 * length(digits)) AS y),
+    heads AS (SELECT c, xor(v, 4294967295) % 6 AS h FROM crc WHERE step = 8 * length(digits)),
+    rebuilt AS (
+      SELECT own.c, list_concat(coalesce(list_slice(base.s, 1, h), []), list_slice(own.s, h + 1, len(own.s))) AS s
+      FROM own JOIN heads ON heads.c = own.c LEFT JOIN own AS base ON base.c = own.c - own.c % 100),
+    nodes AS (
+      SELECT list_slice(s, 1, d) AS p, d, min(c) AS conv_id, count(*) AS n
+      FROM (SELECT c, s, unnest(generate_series(0, len(s))) AS d FROM rebuilt) AS x GROUP BY 1, 2),
+    children AS (SELECT list_slice(p, 1, d - 1) AS p, count(*) AS n FROM nodes WHERE d > 0 GROUP BY 1),
+    each AS (
+      SELECT p, d, conv_id, nodes.n, coalesce(children.n, 0) AS n_children, (nodes.n - 1) * coalesce(chars, 0) AS saved
+      FROM nodes LEFT JOIN children USING (p) LEFT JOIN known ON u = p[d]),
+    subtrees AS (
+      SELECT list_slice(p, 1, a) AS p, sum(saved) AS saved, count(*) FILTER (WHERE n_children = 0) AS leaves
+      FROM (SELECT *, unnest(generate_series(0, d)) AS a FROM each) AS x GROUP BY 1),
+    ends AS (SELECT s AS p, sha256(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c)) AS digest FROM rebuilt GROUP BY s)
+    SELECT each.conv_id, CAST(each.d AS BIGINT) AS depth, parents.conv_id AS parent_conv_id, CAST(each.n AS BIGINT) AS n_convs,
+           CAST(each.n_children AS BIGINT) AS n_children, CAST(leaves AS BIGINT) AS n_leaves,
+           CAST(subtrees.saved AS BIGINT) AS saved_tokens, coalesce(digest, sha256('')) AS ends_sha256
+    FROM each JOIN subtrees USING (p) LEFT JOIN ends USING (p)
+    LEFT JOIN nodes AS parents ON each.d > 0 AND parents.p = list_slice(each.p, 1, each.d - 1)"""
+
     ranked = f"""
     WITH docs AS (SELECT row_number() OVER () AS r, doc_id, {words(_WORD)} AS w FROM documents),
     held AS (SELECT r, doc_id, w, CAST(len(w) AS BIGINT) AS n FROM docs WHERE len(w) > 0),
@@ -256,5 +299,6 @@ def oracle_sql() -> dict[str, str]:
         "op7_ngram_join": linked,
         "op8_chat_bytes": formatted,
         "op11_metric_cells": near,
+        "op12_prefix_trie": beginnings,
         "op13_lexical_search": ranked,
     }

@@ -16,7 +16,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sluicewatch.llm import (
-    adaptive_rules, chat_bytes, lexical_dag, line_crf, metric_cells, ngram_join, sp_wfst, suffix_arrays, token_orc, toxicity, warc_zstd, wrappers,
+    adaptive_rules, chat_bytes, lexical_dag, line_crf, metric_cells, ngram_join, prefix_trie, sp_wfst, suffix_arrays, token_orc, toxicity, warc_zstd, wrappers,
 )
 from sluicewatch.llm.scratch import new_folder
 from tests.llm import data
@@ -462,6 +462,63 @@ def test_cells_miss_no_partner():
     assert may.sum() < 0.4 * may.size
 
 
+def plain_trie(rows):
+    """Every prefix of every rebuilt conversation, in a dictionary."""
+    own = {}
+    for c, turn, role, text in rows:
+        if c is not None:
+            digest = hashlib.md5(f"{len(role or '')}:{role or ''}{text or ''}".encode()).hexdigest()
+            own.setdefault(c, []).append(((turn is not None, turn or 0, role or "", digest), (role or "", text or "")))
+    own = {c: [x for _, x in sorted(v)] for c, v in own.items()}
+    whole = {}
+    for c in own:
+        h = zlib.crc32(str(c).encode()) % 6
+        whole[c] = tuple(own.get(c - int(math.fmod(c, 100)), [])[:h] + own[c][h:])
+    nodes = {}
+    for c, s in whole.items():
+        for d in range(len(s) + 1):
+            nodes.setdefault(s[:d], []).append(c)
+    children = Counter(s[:-1] for s in nodes if s)
+    leaves, saved = Counter(), Counter()
+    for s, members in nodes.items():
+        for d in range(len(s) + 1):
+            leaves[s[:d]] += not children[s]
+            saved[s[:d]] += (len(members) - 1) * len(s[-1][1]) if s else 0
+    ends = {s: ",".join(str(c) for c in sorted(whole) if whole[c] == s) for s in nodes}
+    return Counter(
+        (min(m), len(s), min(nodes[s[:-1]]) if s else None, len(m), children[s], leaves[s], saved[s], hashlib.sha256(ends[s].encode()).hexdigest())
+        for s, m in nodes.items()
+    )
+
+
+def found_trie(frame, **more):
+    return Counter(map(tuple, prefix_trie.trie(prefix_trie.rebuilt(prefix_trie.sequences(frame)), **more).collect()))
+
+
+TALK = "conv_id bigint, turn bigint, role string, text string"
+
+
+@pytest.mark.parametrize("shard_turns, width", [(1 << 20, 64), (1 << 20, 3), (40, 2), (7, 64)])
+def test_prefix_trie(spark, shard_turns, width, monkeypatch):
+    """Awkward rows, deep chains, copies and shared beginnings, over few and many shards."""
+    monkeypatch.setattr(prefix_trie, "WIDTH", width)
+    dice = np.random.default_rng(4)
+    rows = [(None, 1, "user", "lost"), (-7, 0, "user", "a"), (-7, 1, None, None), (-7, None, "user", "first"), (-107, 3, "x", "y")]
+    rows += [(-100, 0, "user", "b"), (0, 5, "user", ""), (0, 5, "user", ""), (0, 5, "assistant", "é𝄞"), (0, 4, "system", "s" * 3000)]
+    for c in range(1, 160):
+        rows += [(c, t, "user" if t % 2 else "assistant", f"t{dice.integers(0, 2)}") for t in range(int(dice.integers(1, 9)))]
+    rows += [(c, t, "u", "same") for c in range(200, 240) for t in range(40)] + [(300, t, "u", "same") for t in range(300)]
+    frame = spark.createDataFrame(rows, TALK).withColumn("key", F.lit("x")).withColumn("c", F.lit(1)).withColumn("least", F.lit(1))
+    assert found_trie(frame.repartition(3), shard_turns=shard_turns) == plain_trie(rows)
+
+
+def test_tries_of_little(spark):
+    frame = spark.createDataFrame([(None, 1, "u", "x")], TALK)
+    assert not found_trie(frame) and not found_trie(frame.limit(0))
+    for rows in ([(1, 0, "u", "x")], [(c, 0, "u", "x") for c in range(1, 20)]):
+        assert found_trie(spark.createDataFrame(rows, TALK)) == plain_trie(rows)
+
+
 def plain_search(rows, items, k):
     """Every document against every item, one term at a time."""
     held = [(i, Counter(w)) for i, text in rows if (w := suffix_arrays.words((text or "").encode()))]

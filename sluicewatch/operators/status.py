@@ -19,9 +19,11 @@ from sluicewatch.functions.vocabulary import (
 )
 
 
-def run_status_marks(samples: DataFrame, *keys: Column) -> DataFrame:
+def run_status_marks(samples: DataFrame, *keys: Column, more: Sequence[Column] = ()) -> DataFrame:
     """Three marks per processor (and per further ``keys``) that tell its latest run status.
 
+    ``more`` aggregates come along. Rows without a timestamp leave no mark.
+
     The latest sample decides; among samples of the same instant the largest
     value does, NULL being the smallest. So a processor is stopped exactly when
     its newest instant holds a zero and no positive value. Maxima of timestamps
@@ -33,6 +35,7 @@ def run_status_marks(samples: DataFrame, *keys: Column) -> DataFrame:
         F.max(seen).alias("last_seen"),
         F.max(F.when(value == 0, seen)).alias("last_zero"),
         F.max(F.when(value > 0, seen)).alias("last_positive"),
+        *more,
     )
 
 

@@ -69,7 +69,8 @@ def test_stored_signals_prune(tables, name):
     """Date partitions are pruned, and the scan reads no column the report does not use."""
     text = plan(REPORTS[name](tables[1]))
     scans = re.findall(r"ReadSchema: struct<(.*)>", text)
-    assert scans and all(scan.count(":") <= 6 for scan in scans)
+    most = 7 if name == "findings" else 6  # findings has both kinds of records in one scan
+    assert scans and all(scan.count(":") <= most for scan in scans)
     assert "value_num" not in "".join(scans) or name not in (
         "top_error_runtimes",
         "error_heatmap",
@@ -141,6 +142,13 @@ def test_short_windows_read_few_hours(spark, tables):
     assert 1 <= scan.metrics().apply("numPartitions").value() <= 2
 
 
+@pytest.mark.parametrize("source", [0, 1])
+def test_findings_scan_once(tables, source):
+    sig = sw.signals(tables[0], error_level_only=True) if source == 0 else tables[1]
+    text = plan(REPORTS["findings"](sig), "simple")
+    assert text.count("FileScan") == 1 and "Union" not in text
+
+
 def test_error_predicates_reach_the_scan(tables):
     text = plan(REPORTS["search_error_logs"](tables[1]))
     pushed = re.search(r"PushedFilters: \[(.*)\]", text).group(1)

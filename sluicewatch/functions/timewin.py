@@ -67,6 +67,17 @@ def _to_hour_of(moment: datetime) -> Column:
     return (day < date) | ((day == date) & (hour <= moment.hour))
 
 
+def the_hour_of(moment: datetime) -> Column:
+    """Rows of the hour that holds ``moment``."""
+    return (F.col("event_date") == F.lit(moment.date())) & (F.col("event_hour") == moment.hour)
+
+
+def hours_after(moment: datetime) -> Column:
+    """Rows of all hours that begin after ``moment``'s hour."""
+    day, hour, date = F.col("event_date"), F.col("event_hour"), F.lit(moment.date())
+    return (day > date) | ((day == date) & (hour > moment.hour))
+
+
 def bucket_for(window_hours: float) -> str:
     """Width of a trend bucket: hours up to two days, whole days beyond."""
     return "hour" if window_hours <= 48 else "day"

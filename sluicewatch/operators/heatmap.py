@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sluicewatch.functions.timewin import AsOf, iso_weekday, weekday_name
@@ -27,15 +27,16 @@ def error_heatmap(
     Monday) sorts the days.
     """
     chosen = runtimes if runtime is None else [runtime]
-    counts = (
-        error_logs(sig, as_of, window_hours, chosen)
-        .groupBy(
-            iso_weekday(F.col("event_date")).alias("day_index"),
-            F.col("event_hour").alias("hour_of_day"),
-        )
-        .agg(F.count("*").alias("counted"))
-    )
-    spark = sig.sparkSession
+    return heatmap_of(error_logs(sig, as_of, window_hours, chosen), F.count("*"))
+
+
+def heatmap_of(rows: DataFrame, errors: Column) -> DataFrame:
+    """The 168 cells of rows dated by ``event_date`` and ``event_hour``."""
+    counts = rows.groupBy(
+        iso_weekday(F.col("event_date")).alias("day_index"),
+        F.col("event_hour").alias("hour_of_day"),
+    ).agg(errors.alias("counted"))
+    spark = rows.sparkSession
     cell = F.col("id").cast("int")
     grid = spark.range(0, CELLS, 1, 1).select(
         (F.floor(cell / HOURS) + 1).cast("int").alias("day_index"),

@@ -69,12 +69,13 @@ def stopped_processors(
 
     A processor that reported nothing in the last hours is not counted.
     """
-    return (
-        processor_status(sig, as_of, hours, runtimes)
-        .where("is_stopped")
-        .groupBy("runtime")
-        .agg(F.count("*").alias("stopped_count"))
-    )
+    return stopped_per_runtime(processor_status(sig, as_of, hours, runtimes))
+
+
+def stopped_per_runtime(processors: DataFrame) -> DataFrame:
+    """How many of each runtime's processors are stopped, where any is."""
+    stopped = processors.where("is_stopped").groupBy("runtime")
+    return stopped.agg(F.count("*").alias("stopped_count"))
 
 
 def known_runtimes(sig: DataFrame) -> DataFrame:
@@ -114,25 +115,31 @@ def runtime_status(
     One pass gives all of it: having an event later than the cutoff is the same
     as having the last event later than the cutoff.
     """
-    cutoff = ntz(resolve_as_of(as_of) - timedelta(hours=inactivity_hours))
-    known = sig.where(F.col("runtime").isNotNull())
-    if user_only:
-        known = known.where(is_user_runtime())
-    active = F.col("last_event_time") > cutoff
-    return (
-        known.groupBy(F.col("runtime").alias("name"))
+    known = (
+        sig.where(F.col("runtime").isNotNull())
+        .groupBy(F.col("runtime").alias("name"))
         .agg(
             F.min("timestamp").alias("created_on"),
             F.max("timestamp").alias("last_event_time"),
         )
-        .select(
-            "name",
-            F.when(is_user_runtime("name"), USER_CREATED).otherwise(INTERNAL).alias("type"),
-            F.when(active, ACTIVE).otherwise(INACTIVE).alias("status"),
-            F.coalesce(active, F.lit(False)).alias("is_active"),
-            "created_on",
-            "last_event_time",
-        )
+    )
+    return described_runtimes(known, as_of, inactivity_hours, user_only)
+
+
+def described_runtimes(
+    known: DataFrame, as_of: AsOf, inactivity_hours: float, user_only: bool
+) -> DataFrame:
+    """The inventory of runtimes (``name``, ``created_on``, ``last_event_time``)."""
+    cutoff = ntz(resolve_as_of(as_of) - timedelta(hours=inactivity_hours))
+    active = F.col("last_event_time") > cutoff
+    user_created = is_user_runtime("name")
+    return (known.where(user_created) if user_only else known).select(
+        "name",
+        F.when(user_created, USER_CREATED).otherwise(INTERNAL).alias("type"),
+        F.when(active, ACTIVE).otherwise(INACTIVE).alias("status"),
+        F.coalesce(active, F.lit(False)).alias("is_active"),
+        "created_on",
+        "last_event_time",
     )
 
 

@@ -4,12 +4,14 @@ Each takes a streaming (or batch) signals frame and returns windowed aggregates
 under a watermark: state is one row per key and open window, whatever the number
 of events. In append mode a window is emitted once, when the watermark passes its
 end, and rows behind the watermark are left out, which a row dated in the future moves
-for all; in update mode it is emitted as it changes. :func:`partials_to_table` stores a
-report without a watermark, and leaves out nothing.
+for all; in update mode, which the alerts can't have, it is emitted as it changes. :func:`partials_to_table` stores a
+report without a watermark, and leaves out nothing; what runs for long belongs into a
+:class:`sluicewatch.rollups.table.RollupTable`, which also merges what it has stored.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -30,12 +32,21 @@ def error_alerts(
     min_errors: int = 5,
     delay: str = "10 minutes",
 ) -> DataFrame:
-    """Windows in which a runtime logged more than ``min_errors`` errors."""
-    window = F.window("event_time", f"{minutes} minutes", f"{slide_minutes} minutes")
-    return (
+    """Windows in which a runtime logged more than ``min_errors`` errors.
+
+    Errors are counted in panes first, the longest that windows and their starts are
+    multiples of; what is copied to all the windows that slide over a pane is its count.
+    """
+    pane = F.window("event_time", f"{math.gcd(minutes, slide_minutes)} minutes")
+    panes = (
         _timed(sig.where(is_error()), delay)
-        .groupBy(window.alias("window"), "runtime")
-        .agg(F.count("*").alias("error_count"))
+        .groupBy(pane.alias("pane"), "runtime")
+        .agg(F.count("*").alias("errors"))
+    )
+    within = F.window(F.window_time("pane"), f"{minutes} minutes", f"{slide_minutes} minutes")
+    return (
+        panes.groupBy(within.alias("window"), "runtime")
+        .agg(F.sum("errors").alias("error_count"))
         .where(F.col("error_count") > min_errors)
         .select(*_bounds(), "runtime", "error_count")
     )

@@ -117,6 +117,18 @@ def test_state_is_one_row_per_key_and_open_window(stream, sig):
     assert grouped.select(F.count("*")).first()[0] == 2
 
 
+def test_streams_keep_one_row_of_state_per_key_and_open_window(spark, telemetry, tmp_path):
+    source = f"{tmp_path}/source"
+    rows = [log(ago(minutes=m), f"runtime-{m % 2}") for m in range(3)] * 50
+    telemetry(rows).coalesce(1).write.parquet(source)
+    events = spark.readStream.schema(telemetry([]).schema).parquet(source)
+    query = live.append_to_table(live.kpi_rollup(sw.signals(events)), f"{tmp_path}/out", f"{tmp_path}/checkpoint")
+    query.awaitTermination()
+    state = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress]
+    # Rows of 11:58, 11:59 and 12:00 of two runtimes: three runtime hours.
+    assert max(state) == 3
+
+
 def test_future_and_late_rows_lose_nothing(spark, telemetry, sig, tmp_path):
     """A row of the far future in the first batch; what follows is older, and all of it counts."""
     def some(minutes, runtime):

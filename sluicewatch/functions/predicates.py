@@ -35,10 +35,15 @@ def in_runtimes(runtimes: Sequence[str] | None) -> Column:
     return F.col("runtime").isin(chosen) if chosen else F.lit(True)
 
 
+def search_pattern(term: str) -> str:
+    """``LIKE`` pattern of texts that contain ``term``."""
+    return "%" + term.replace("\\", "\\\\") + "%"
+
+
 def message_matches(term: str) -> Column:
     """Case-insensitive search inside the message.
 
     ``%`` and ``_`` in the term are wildcards; a backslash is an ordinary
     character. Rows without a message never match, not even the empty term.
     """
-    return F.col("message").ilike("%" + term.replace("\\", "\\\\") + "%")
+    return F.col("message").ilike(search_pattern(term))

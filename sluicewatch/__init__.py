@@ -36,6 +36,7 @@ from sluicewatch.sources.telemetry import (
     read_events,
     read_telemetry,
     telemetry_from_events,
+    telemetry_since,
     telemetry_table,
 )
 
@@ -71,6 +72,7 @@ __all__ = [
     "signals",
     "stopped_processors",
     "telemetry_from_events",
+    "telemetry_since",
     "telemetry_table",
     "top_error_runtimes",
     "write_signals",

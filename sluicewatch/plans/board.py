@@ -62,6 +62,20 @@ class HealthBoard:
     def findings(self) -> DataFrame:
         return finding_reports.findings(self.signals, self.as_of, self.runtimes)
 
+    def findings_total(self) -> DataFrame:
+        return finding_reports.findings_total(self.findings())
+
+    def high_error_runtimes(self, minutes: float = 30, min_errors: int = 5) -> DataFrame:
+        return errors.high_error_runtimes(
+            self.signals, self.as_of, minutes, min_errors, self.runtimes
+        )
+
+    def processor_status(self, hours: float = 1) -> DataFrame:
+        return status.processor_status(self.signals, self.as_of, hours, self.runtimes)
+
+    def stopped_processors(self, hours: float = 1) -> DataFrame:
+        return status.stopped_processors(self.signals, self.as_of, hours, self.runtimes)
+
     def kpi_trend(self) -> DataFrame:
         return metrics.kpi_trend(self.signals, self.as_of, self.window_hours, self.runtimes)
 
@@ -133,6 +147,15 @@ class HealthBoard:
             self._error_source(), self.as_of, self.window_hours, runtime, self.runtimes
         )
 
+    def known_runtimes(self) -> DataFrame:
+        return status.known_runtimes(self.signals)
+
+    def last_events(self) -> DataFrame:
+        return status.last_events(self.signals)
+
+    def active_runtimes(self, inactivity_hours: float = 24) -> DataFrame:
+        return status.active_runtimes(self.signals, self.as_of, inactivity_hours)
+
     def runtime_status(self, inactivity_hours: float = 24, user_only: bool = True) -> DataFrame:
         return status.runtime_status(self.signals, self.as_of, inactivity_hours, user_only)
 

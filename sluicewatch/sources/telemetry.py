@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from datetime import datetime, timedelta, timezone
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sluicewatch.functions.timewin import AsOf, ntz, resolve_as_of
 from sluicewatch.functions.vocabulary import (
     COMPONENT_KEY,
     LOG,
@@ -57,6 +61,29 @@ def read_telemetry(spark: SparkSession, *paths: str) -> DataFrame:
     return spark.read.parquet(*paths)
 
 
+def telemetry_since(
+    telemetry: DataFrame, as_of: AsOf = None, hours: float = 24, until: AsOf = None
+) -> DataFrame:
+    """Telemetry later than ``as_of - hours`` (strictly), for reports on windows up to that.
+
+    Signals count time as UTC wall clock, computed from the instants of a ``TIMESTAMP``
+    column, which hides the reports' windows from the scan. This bound is on the instants
+    themselves, the same in any session time zone, and reaches the scan: row groups, and
+    partitions of a table that knows how, are skipped by it. ``until`` is an inclusive
+    upper bound, for a past moment as it looked then; by default there is none.
+    """
+    start = resolve_as_of(as_of) - timedelta(hours=hours)
+    kind = telemetry.schema["timestamp"].dataType
+    found = telemetry.where(F.col("timestamp") > _moment(start, kind))
+    return found if until is None else found.where(F.col("timestamp") <= _moment(resolve_as_of(until), kind))
+
+
+def _moment(moment: datetime, kind: T.DataType) -> Column:
+    if isinstance(kind, T.TimestampType):
+        return F.lit(moment.replace(tzinfo=timezone.utc))
+    return ntz(moment)
+
+
 def read_events(spark: SparkSession, path: str) -> DataFrame:
     """The ``events`` test table; its schema is given, so nothing is inferred."""
     return spark.read.schema(EVENTS_SCHEMA).parquet(path)

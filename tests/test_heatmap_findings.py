@@ -4,6 +4,7 @@ from datetime import datetime
 
 from pyspark.sql import functions as F
 
+import sluicewatch as sw
 from sluicewatch import HealthBoard, error_heatmap, findings, findings_total
 from sluicewatch.functions.vocabulary import RUN_STATUS, WEEKDAYS
 from tests.conftest import AS_OF, ago, bag, log, row, values
@@ -122,6 +123,29 @@ def test_board_reports_share_filters(sig):
     assert values(board.backpressure()) == values(board.queue_times()) == []
 
 
+def test_board_serves_every_report(sig):
+    """Each public report over signals has a method, which passes the board's filters on."""
+    flat = sig(TROUBLE + [log(SUNDAY, "runtime-a"), row(ago(hours=2), "system")])
+    board = HealthBoard(flat, AS_OF, 168, ["runtime-b", "system"])
+    chosen = ["runtime-b", "system"]
+    for found, expected in (
+        (board.findings_total(), sw.findings_total(findings(flat, AS_OF, chosen))),
+        (board.high_error_runtimes(60, 0), sw.high_error_runtimes(flat, AS_OF, 60, 0, chosen)),
+        (board.processor_status(2), sw.processor_status(flat, AS_OF, 2, chosen)),
+        (board.stopped_processors(2), sw.stopped_processors(flat, AS_OF, 2, chosen)),
+        (board.known_runtimes(), sw.known_runtimes(flat)),
+        (board.last_events(), sw.last_events(flat)),
+        (board.active_runtimes(1), sw.active_runtimes(flat, AS_OF, 1)),
+    ):
+        assert bag(found) == bag(expected)
+    assert values(board.findings_total()) == [(1,)]
+    reports = {n for n in sw.__all__ if n[0].islower()} - {
+        "bucket_for", "resolve_as_of", "error_logs", "seen_by", "signals", "read_signals", "write_signals",
+        "read_events", "read_telemetry", "telemetry_from_events", "telemetry_since", "telemetry_table",
+    }
+    assert reports <= set(dir(board))
+
+
 def test_board_fixes_its_moment(sig):
     board = HealthBoard(sig([log()]))
     assert isinstance(board.as_of, datetime) and board.as_of.tzinfo is None

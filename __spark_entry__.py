@@ -12,14 +12,19 @@ from collections.abc import Callable
 from datetime import timedelta
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 import sluicewatch as sw
-from sluicewatch.functions.timewin import within
+from sluicewatch.functions.predicates import is_user_runtime
+from sluicewatch.functions.timewin import bucket_start, within
 from sluicewatch.plans.shared import shared_folder
+from sluicewatch.rollups import alerts, hourly, inventory
+from sluicewatch.rollups.table import Rollup, RollupTable
+from sluicewatch.sources import text_index
 from sluicewatch.sources.telemetry import EVENTS_SCHEMA
-from sluicewatch.streaming import live
 
 AS_OF = "2024-01-31 00:00:00"
+EARLIER = "2024-01-29 17:23:45"  # inside an hour
 WEEK = 168
 ZONE = "spark.sql.session.timeZone"
 PARTS = "spark.sql.shuffle.partitions"
@@ -78,6 +83,7 @@ def report_queries() -> dict[str, Query]:
         "recent_runtimes_user": lambda s: sw.recent_runtimes(s, AS_OF),
         "high_error_runtimes": lambda s: sw.high_error_runtimes(s, AS_OF, WEEK * 60),
         "high_error_runtimes_30min": lambda s: sw.high_error_runtimes(s, AS_OF),
+        "high_error_runtimes_any": lambda s: sw.high_error_runtimes(s, EARLIER, 30, min_errors=0),
         "stopped_processors": lambda s: sw.stopped_processors(s, AS_OF, WEEK),
         "stopped_processors_1h": lambda s: sw.stopped_processors(s, AS_OF),
         "processor_status": lambda s: sw.processor_status(s, AS_OF, WEEK),
@@ -144,16 +150,59 @@ def report_queries() -> dict[str, Query]:
     return {name: over_signals(report) for name, report in reports.items()} | {
         **{f"stored_{name}": over_stored(reports[name]) for name in stored},
         "signals": all_signals,
+        "seen_by_kpi_trend": lambda spark, sf_dir: sw.kpi_trend(
+            sw.seen_by(load_signals(spark, sf_dir), EARLIER), EARLIER, 24
+        ),
+        "instants_kpi_trend": over_telemetry(
+            instants,
+            lambda t: sw.kpi_trend(
+                sw.signals(sw.telemetry_since(t, EARLIER, 24), error_level_only=True), EARLIER, 24
+            ),
+        ),
+        "variant_findings": over_telemetry(
+            variants,
+            lambda t: sw.findings(sw.signals(t), AS_OF, minutes=WEEK * 60, stopped_hours=WEEK),
+        ),
+        "search_error_logs_indexed": indexed_search,
+        **{
+            f"{name}_rollup": over_rollup(inventory.INVENTORY, lambda t, _, r=report: r(t))
+            for name, report in {
+                "known_runtimes": inventory.known_runtimes,
+                "last_events": inventory.last_events,
+                "active_runtimes": lambda t: inventory.active_runtimes(t, AS_OF),
+                "runtime_status": lambda t: inventory.runtime_status(t, AS_OF, 24, user_only=False),
+                "runtime_status_totals": lambda t: sw.runtime_status_totals(
+                    inventory.runtime_status(t, AS_OF)
+                ),
+            }.items()
+        },
+        "processor_status_rollup": over_rollup(
+            inventory.CURRENT, lambda t, _: inventory.processor_status(t, AS_OF, WEEK)
+        ),
+        "stopped_processors_rollup": over_rollup(
+            inventory.CURRENT, lambda t, _: inventory.stopped_processors(t, AS_OF, WEEK)
+        ),
+        "kpi_trend_hour_rollup": over_rollup(
+            hourly.HOURLY, lambda t, s: hourly.kpi_trend(t, s, EARLIER, 24)
+        ),
+        "kpi_trend_day_rollup": over_rollup(
+            hourly.HOURLY, lambda t, s: hourly.kpi_trend(t, s, EARLIER, WEEK, SELECTED)
+        ),
+        "error_heatmap_rollup": over_rollup(
+            hourly.HOURLY, lambda t, s: hourly.error_heatmap(t, s, EARLIER, WEEK)
+        ),
+        "top_error_runtimes_rollup": over_rollup(
+            hourly.HOURLY, lambda t, s: hourly.top_error_runtimes(t, s, EARLIER, WEEK)
+        ),
         "stream_error_alerts": over_stream(
-            lambda s: live.error_alerts(s, min_errors=0),
-            ["window_start", "window_end", "runtime"],
-            lambda stored: stored.where("error_count > 1"),
+            alerts.PANES, lambda t: alerts.error_alerts(t, min_errors=1)
         ),
-        "stream_kpi_rollup": over_stream(live.kpi_rollup, ["time_bucket", "runtime"]),
+        "stream_kpi_rollup": over_stream(hourly.HOURLY, hours_of_user_runtimes),
         "stream_processor_status": over_stream(
-            live.run_status_rollup,
-            ["window_start", "window_end", "runtime", "component"],
-            live.latest_processor_status,
+            inventory.CURRENT, lambda t: inventory.processor_status(t, AS_OF, WEEK * 60)
+        ),
+        "stream_runtime_status": over_stream(
+            inventory.INVENTORY, lambda t: inventory.runtime_status(t, AS_OF, 24, user_only=False)
         ),
     }
 
@@ -165,42 +214,122 @@ def all_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_FOLDERS: dict[tuple[str, str, str], str] = {}
+
+
+def written(spark: SparkSession, sf_dir: str, name: str, write: Callable[[str], None]) -> str:
+    """A folder of the shared one that ``write`` has filled: once a session for each input.
+
+    What a query stores is thereby apart from its report: only the first query over an
+    input writes, and a report that is built again runs nothing.
+    """
+    key = spark.sparkContext.applicationId, sf_dir, name
+    if key not in _FOLDERS:
+        folder = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+        write(folder)
+        _FOLDERS[key] = folder
+    return _FOLDERS[key]
+
+
+def stored_signals(spark: SparkSession, sf_dir: str) -> str:
+    return written(
+        spark, sf_dir, "signals", lambda path: sw.write_signals(all_signals(spark, sf_dir), path)
+    )
+
+
 def over_stored(report: Callable[[DataFrame], DataFrame]) -> Query:
     """Store all signals in the shared folder, and report on what is read back."""
+    return lambda spark, sf_dir: report(sw.read_signals(spark, stored_signals(spark, sf_dir)))
+
+
+def over_telemetry(
+    change: Callable[[DataFrame], DataFrame], report: Callable[[DataFrame], DataFrame]
+) -> Query:
+    """Store telemetry of other types in the shared folder, and report on what is read back."""
 
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        path = f"{shared_folder(spark)}/signals-{uuid.uuid4().hex}"
-        sw.write_signals(all_signals(spark, sf_dir), path, compact=True)
-        return report(sw.read_signals(spark, path))
+        events = sw.read_events(spark, f"{sf_dir}/events.parquet")
+        telemetry = change(sw.telemetry_from_events(events))
+        path = written(spark, sf_dir, change.__name__, lambda path: telemetry.write.parquet(path))
+        return report(sw.read_telemetry(spark, path))
 
     return query
 
 
-def over_stream(
-    live_report: Callable[[DataFrame], DataFrame],
-    keys: list[str],
-    read: Callable[[DataFrame], DataFrame] = lambda stored: stored,
-) -> Query:
-    """Stream ``events`` through a report into a table of the shared folder; read that.
+def instants(telemetry: DataFrame) -> DataFrame:
+    """Telemetry that dates rows by instants, in UTC whatever the session's time zone."""
+    seconds = "hour(timestamp) * 3600 + minute(timestamp) * 60 + extract(SECOND FROM timestamp)"
+    micros = f"unix_date(date(timestamp)) * 86400000000 + bigint(({seconds}) * 1000000)"
+    return telemetry.withColumn("timestamp", F.timestamp_micros(F.expr(micros)))
+
+
+def variants(telemetry: DataFrame) -> DataFrame:
+    """Telemetry with VARIANT values: objects, numbers, and text that is no JSON."""
+    text = F.to_variant_object(F.struct("value"))
+    return telemetry.withColumn(
+        "value", F.coalesce(F.try_parse_json("value"), F.try_variant_get(text, "$.value", "variant"))
+    )
+
 
-    Open windows are in it too. The stream has a session of its own, in UTC.
+def indexed_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The search for "code 1" over stored signals, in the files that an index leaves."""
+    signals = stored_signals(spark, sf_dir)
+    index = written(
+        spark, sf_dir, "index", lambda path: text_index.index_messages(spark, signals, path)
+    )
+    return text_index.search_error_logs(spark, signals, index, runtime="runtime-2", term="code 1")
+
+
+def over_rollup(rollup: Rollup, report: Callable[[DataFrame, DataFrame], DataFrame]) -> Query:
+    """Keep a roll-up of the stored signals in batches, one of them put twice, and report on it."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        sig = sw.read_signals(spark, stored_signals(spark, sf_dir))
+
+        def write(path: str) -> None:
+            table, logs = RollupTable(spark, path, rollup), F.col("record_type").eqNullSafe("LOG")
+            table.put(sig.where(logs), 0)
+            table.put(sig.where(~logs), 1)
+            table.compact()
+            table.put(sig.where(~logs), 1)
+
+        name = "-".join(["rollup", *rollup.merges])
+        path = written(spark, sf_dir, name, write)
+        return report(RollupTable(spark, path, rollup).partials(), sig)
+
+    return query
+
+
+def over_stream(rollup: Rollup, report: Callable[[DataFrame], DataFrame]) -> Query:
+    """Stream ``events`` into a roll-up in the shared folder, and report on it.
+
+    The stream has a session of its own, in UTC.
     """
 
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        session = spark.newSession()
-        session.conf.set(ZONE, "UTC")
-        session.conf.set(PARTS, spark.conf.get(PARTS))
-        events = session.readStream.schema(EVENTS_SCHEMA).parquet(f"{sf_dir}/event[s].parquet")
-        telemetry = sw.telemetry_from_events(events)
-        sig = sw.signals(telemetry, error_level_only=True)
-        folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
-        table = f"{folder}/table"
-        live.partials_to_table(sig, live_report, table, f"{folder}/checkpoint").awaitTermination()
-        return read(live.merged_rows(spark, table, live_report(sig).schema, keys))
+        def write(folder: str) -> None:
+            session = spark.newSession()
+            session.conf.set(ZONE, "UTC")
+            session.conf.set(PARTS, spark.conf.get(PARTS))
+            events = session.readStream.schema(EVENTS_SCHEMA).parquet(f"{sf_dir}/event[s].parquet")
+            sig = sw.signals(sw.telemetry_from_events(events), error_level_only=True)
+            table = RollupTable(session, f"{folder}/table", rollup)
+            table.stream(sig, f"{folder}/checkpoint").awaitTermination()
+
+        folder = written(spark, sf_dir, "-".join(["stream", *rollup.merges]), write)
+        return report(RollupTable(spark, f"{folder}/table", rollup).partials())
 
     return query
 
 
+def hours_of_user_runtimes(rows: DataFrame) -> DataFrame:
+    """The hourly trend over all time."""
+    dated = rows.where(is_user_runtime() & F.col("event_date").isNotNull())
+    merged = hourly.HOURLY.merged(dated)
+    bucket = bucket_start("event_date", "event_hour").alias("time_bucket")
+    return merged.select(bucket, "runtime", "total_errors", "max_queue_minutes")
+
+
 TELEMETRY = """
 telemetry AS (
   SELECT ts,
@@ -247,17 +376,19 @@ DAY_NAME = (
 )
 
 
-def since(hours: float) -> str:
-    return f"ts > TIMESTAMP '{AS_OF}' - INTERVAL {int(hours * 60)} MINUTE"
+def since(hours: float, as_of: str = AS_OF) -> str:
+    return f"ts > TIMESTAMP '{as_of}' - INTERVAL {int(hours * 60)} MINUTE"
 
 
 def report_oracles() -> dict[str, str]:
     week = since(WEEK)
 
-    def high_error(hours: float, where: str = "TRUE") -> str:
+    def high_error(
+        hours: float, where: str = "TRUE", least: int = 5, as_of: str = AS_OF
+    ) -> str:
         return f"""SELECT runtime, count(*) AS error_count FROM sig
-            WHERE {IS_ERROR} AND {since(hours)} AND {where}
-            GROUP BY runtime HAVING count(*) > 5"""
+            WHERE {IS_ERROR} AND {since(hours, as_of)} AND {where}
+            GROUP BY runtime HAVING count(*) > {least}"""
 
     def processors(hours: float, where: str = "TRUE") -> str:
         return f"""SELECT runtime, component AS processor, ts AS last_seen,
@@ -273,18 +404,18 @@ def report_oracles() -> dict[str, str]:
         return f"""SELECT runtime, count(*) AS stopped_count
             FROM ({processors(hours, where)}) AS latest WHERE is_stopped GROUP BY runtime"""
 
-    def trend(bucket: str, hours: float, where: str = "TRUE") -> str:
+    def trend(bucket: str, hours: float, where: str = "TRUE", as_of: str = AS_OF) -> str:
         return f"""SELECT CAST(date_trunc('{bucket}', ts) AS TIMESTAMP) AS time_bucket, runtime,
               count(*) FILTER (WHERE level = 'ERROR') AS total_errors,
               max(CASE WHEN metric_name = 'connection.queued.duration.max'
                        THEN value_num / 60000 ELSE 0 END) AS max_queue_minutes
             FROM sig WHERE record_type IN ('LOG', 'METRIC') AND runtime LIKE 'runtime-%'
-              AND {since(hours)} AND {where}
+              AND {since(hours, as_of)} AND {where}
             GROUP BY 1, 2"""
 
-    def top_errors(where: str = "TRUE") -> str:
+    def top_errors(where: str = "TRUE", as_of: str = AS_OF) -> str:
         return f"""SELECT runtime, count(*) AS error_count FROM sig
-            WHERE {IS_ERROR} AND {week} AND {where}
+            WHERE {IS_ERROR} AND {since(WEEK, as_of)} AND {where}
             GROUP BY runtime ORDER BY error_count DESC, runtime ASC NULLS LAST LIMIT 10"""
 
     def time_range(where: str = "TRUE") -> str:
@@ -313,13 +444,13 @@ def report_oracles() -> dict[str, str]:
         peak, metric = "max(value_num / 60000)", "connection.queued.duration.max"
         return worst(metric, peak, "max_queue_minutes", hours, over, where)
 
-    def heat(where: str = "TRUE") -> str:
+    def heat(where: str = "TRUE", as_of: str = AS_OF) -> str:
         return f"""SELECT {DAY_NAME.format("d.day")} AS day_of_week,
               CAST(d.day AS INTEGER) AS day_index, CAST(h.hour AS INTEGER) AS hour_of_day,
               coalesce(n, 0) AS error_count
             FROM generate_series(1, 7) AS d(day) CROSS JOIN generate_series(0, 23) AS h(hour)
             LEFT JOIN (SELECT isodow(ts) AS day, hour(ts) AS hour, count(*) AS n FROM sig
-                       WHERE {IS_ERROR} AND {week} AND {where} GROUP BY 1, 2) AS counts
+                       WHERE {IS_ERROR} AND {since(WEEK, as_of)} AND {where} GROUP BY 1, 2) AS counts
               ON counts.day = d.day AND counts.hour = h.hour"""
 
     known = """SELECT runtime AS name, min(ts) AS created_on FROM sig
@@ -362,7 +493,8 @@ def report_oracles() -> dict[str, str]:
           runtime, count(*) AS error_count
         FROM (SELECT runtime, time_bucket(INTERVAL 5 MINUTE, ts)
                 - to_minutes(CAST(5 * steps.back AS INTEGER)) AS start_ts
-              FROM sig CROSS JOIN generate_series(0, 5) AS steps(back) WHERE {IS_ERROR}) AS hits
+              FROM sig CROSS JOIN generate_series(0, 5) AS steps(back)
+              WHERE {IS_ERROR} AND ts IS NOT NULL) AS hits
         GROUP BY 1, 2, 3 HAVING count(*) > 1"""
     rollup = trend("hour", 24 * 400)
     live_status = processors(24 * 400)
@@ -375,6 +507,13 @@ def report_oracles() -> dict[str, str]:
             WHERE runtime LIKE 'runtime-%' AND {since(24)}""",
         "high_error_runtimes": high_error(WEEK),
         "high_error_runtimes_30min": high_error(0.5),
+        "high_error_runtimes_any": high_error(0.5, least=0, as_of=EARLIER),
+        "seen_by_kpi_trend": trend("hour", 24, f"ts <= TIMESTAMP '{EARLIER}'", EARLIER),
+        "instants_kpi_trend": trend("hour", 24, as_of=EARLIER),
+        "kpi_trend_hour_rollup": trend("hour", 24, as_of=EARLIER),
+        "kpi_trend_day_rollup": trend("day", WEEK, IN_SELECTED, EARLIER),
+        "error_heatmap_rollup": heat(as_of=EARLIER),
+        "top_error_runtimes_rollup": top_errors(as_of=EARLIER),
         "stopped_processors": stopped(WEEK),
         "stopped_processors_1h": stopped(1),
         "processor_status": processors(WEEK),
@@ -425,4 +564,11 @@ def report_oracles() -> dict[str, str]:
     }
     for name in ("kpi_trend_day", "high_error_runtimes", "findings", "search_error_logs"):
         bodies[f"stored_{name}"] = bodies[name]
+    for name in ("known_runtimes", "last_events", "active_runtimes", "runtime_status", "runtime_status_totals"):
+        bodies[f"{name}_rollup"] = bodies[name]
+    for name in ("processor_status", "stopped_processors"):
+        bodies[f"{name}_rollup"] = bodies[name]
+    bodies["stream_runtime_status"] = bodies["runtime_status"]
+    bodies["variant_findings"] = bodies["findings"]
+    bodies["search_error_logs_indexed"] = search("runtime-2", "code 1")
     return {name: f"WITH {SIGNALS}\n{body}" for name, body in bodies.items()}

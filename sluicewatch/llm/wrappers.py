@@ -5,15 +5,19 @@ per host collects for every node how often it occurs and which texts stand there
 Texts that stay the same over most pages are template, slots whose texts vary are
 content; menus, notices and the like go by their tags and names. Trees have block
 elements as nodes, and equal siblings in a row as one node, so that a list or an
-article of any length is one slot.
+article of any length is one slot. Trees may be of any depth: what walks them keeps
+its own stack. A host with few pages has a wrapper of its own all the same; its tags,
+names and varying text tell the region, but no text is known to be constant there.
 """
 
 from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Generator, Iterator
 from html import unescape
+from typing import Any
 
 import pyarrow as pa
 import xxhash
@@ -25,10 +29,6 @@ from sluicewatch.llm.scratch import stored
 
 #: A text is template if it stands in its slot on this share of the host's pages, of so many.
 CONSTANT_SHARE, CONSTANT_PAGES = 0.8, 5
-#: A host with fewer different pages is read with the template of all hosts.
-LEAST_PAGES = 3
-#: Blocks nested deeper belong to the node at this depth.
-MOST_DEPTH = 120
 #: Wrappers of so many hosts a task holds before it reads them anew.
 HELD_HOSTS = 500
 #: Wrappers of all hosts are broadcast up to this size, and joined by shuffle beyond.
@@ -59,6 +59,41 @@ _CLOSES = {"li": "li", "dt": "dt dd", "dd": "dt dd", "tr": "tr td th", "td": "td
 _LISTS = frozenset("ul ol dl table".split())
 
 
+#: A walk of a tree that yields the walks it needs, and gets their results.
+Walk = Generator["Walk", Any, Any]
+
+
+def walked(walk: Walk) -> Any:
+    """The result of a walk, with a stack on the heap: trees may be deeper than Python's."""
+    stack, value = [walk], None
+    while stack:
+        try:
+            stack.append(stack[-1].send(value))
+            value = None
+        except StopIteration as end:
+            stack.pop()
+            value = end.value
+    return value
+
+
+def spelled(root) -> tuple[str, list]:
+    """A tree's labels in brackets, and its nodes in the order of their numbers."""
+    nodes, parts, stack = [], [], [root]
+    while stack:
+        node = stack.pop()
+        if isinstance(node, str):
+            parts.append(node)
+            continue
+        nodes.append(node)
+        parts.append(node.label)
+        if node.kids:
+            parts.append("(")
+            stack.append(")")
+            for k, kid in enumerate(reversed(node.kids)):
+                stack += ([","] if k else []) + [kid]
+    return "".join(parts), nodes
+
+
 class Node:
     """A block, or a row of equal sibling blocks."""
 
@@ -92,11 +127,13 @@ class Page:
         self.root = Node("")
         self.runs: list[tuple[Node, str, int]] = []
         self._stack = [(self.root, "")]
+        self._open_tags: Counter[str] = Counter()
         self._text: list[str] = []
         self._linked, self._links = 0, 0
         self._read(html)
-        self.nodes: list[Node] = []
-        self.shape = self._number(self.root)
+        self.shape, self.nodes = spelled(self.root)
+        for i, node in enumerate(self.nodes):
+            node.index = i
 
     def _read(self, html: str) -> None:
         at, skip = 0, ""
@@ -144,29 +181,25 @@ class Page:
     def _open(self, tag: str, attributes: str) -> None:
         stack = self._stack
         if stack[-1][1] == "p":
-            stack.pop()
-        ends = _CLOSES.get(tag)
-        if ends and tag != "p":
+            self._cut(len(stack) - 1)
+        ends = _CLOSES.get(tag, "").split()
+        if tag != "p" and any(self._open_tags[t] for t in ends):
             for depth in range(len(stack) - 1, 0, -1):
                 if stack[depth][1] in _LISTS:
                     break
-                if stack[depth][1] in ends.split():
-                    del stack[depth:]
+                if stack[depth][1] in ends:
+                    self._cut(depth)
                     break
-        parent = stack[-1][0]
-        node = parent if len(stack) > MOST_DEPTH else parent.child(_label(tag, attributes))
-        stack.append((node, tag))
+        stack.append((stack[-1][0].child(_label(tag, attributes)), tag))
+        self._open_tags[tag] += 1
 
     def _close(self, tag: str) -> None:
-        for depth in range(len(self._stack) - 1, 0, -1):
-            if self._stack[depth][1] == tag:
-                del self._stack[depth:]
-                return
+        if self._open_tags[tag]:
+            self._cut(next(d for d in range(len(self._stack) - 1, 0, -1) if self._stack[d][1] == tag))
 
-    def _number(self, node: Node) -> str:
-        node.index = len(self.nodes)
-        self.nodes.append(node)
-        return f"{node.label}({','.join(self._number(k) for k in node.kids)})" if node.kids else node.label
+    def _cut(self, depth: int) -> None:
+        self._open_tags.subtract(tag for _, tag in self._stack[depth:])
+        del self._stack[depth:]
 
 
 def match(a, b, pairs: list) -> int:
@@ -175,20 +208,27 @@ def match(a, b, pairs: list) -> int:
     Both have ``label`` and ``kids``. Matched nodes have equal labels and matched
     parents, and keep the order of siblings.
     """
+    return walked(_match(a, b, pairs))
+
+
+def _match(a, b, pairs: list) -> Walk:
     if a.label != b.label:
         return 0
     rows, columns = len(a.kids), len(b.kids)
     if rows == columns and all(x.label == y.label for x, y in zip(a.kids, b.kids)):
         pairs.append((a, b))
-        return 1 + sum(match(x, y, pairs) for x, y in zip(a.kids, b.kids))
+        total = 1
+        for x, y in zip(a.kids, b.kids):
+            total += yield _match(x, y, pairs)
+        return total
     best = [[0] * (columns + 1) for _ in range(rows + 1)]
     found: dict[tuple[int, int], tuple[int, list]] = {}
     for i in range(1, rows + 1):
         for j in range(1, columns + 1):
-            own: list = []
-            same = a.kids[i - 1].label == b.kids[j - 1].label
-            size = match(a.kids[i - 1], b.kids[j - 1], own) if same else 0
-            if size:
+            size = 0
+            if a.kids[i - 1].label == b.kids[j - 1].label:
+                own: list = []
+                size = yield _match(a.kids[i - 1], b.kids[j - 1], own)
                 found[i, j] = size, own
             best[i][j] = max(best[i - 1][j], best[i][j - 1], best[i - 1][j - 1] + size)
     pairs.append((a, b))
@@ -216,9 +256,6 @@ class Slot:
         self.pages = self.texts = self.chars = self.linked = 0
         self.constant: list[int] = []
 
-    def shape(self) -> str:
-        return f"{self.label}({','.join(k.shape() for k in self.kids)})" if self.kids else self.label
-
 
 def text_key(text: str) -> int:
     return xxhash.xxh64_intdigest(text.encode("utf-8", "replace")) - (1 << 63)
@@ -270,12 +307,23 @@ class Rule:
 
     __slots__ = ("label", "keep", "constant", "kids")
 
-    def __init__(self, label: str, keep: bool, constant: list, kids: list):
-        self.label, self.keep, self.constant, self.kids = label, keep, frozenset(constant), kids
+    def __init__(self, label: str, keep: bool, constant: list):
+        self.label, self.keep, self.constant = label, keep, frozenset(constant)
+        self.kids: list[Rule] = []
 
     @staticmethod
-    def unpacked(x: list) -> Rule:
-        return Rule(x[0], bool(x[1]), x[2], [Rule.unpacked(k) for k in x[3]])
+    def unpacked(packed: list) -> Rule:
+        """From (label, keep, constant texts, number of children) of all nodes in order."""
+        top = Rule("", False, [])
+        stack = [[top, 1]]
+        for label, keep, constant, kids in packed:
+            rule = Rule(label, bool(keep), constant)
+            stack[-1][0].kids.append(rule)
+            stack[-1][1] -= 1
+            stack.append([rule, kids])
+            while stack and not stack[-1][1]:
+                stack.pop()
+        return top.kids[0]
 
 
 def _is_chrome(label: str, inside: bool) -> bool:
@@ -290,61 +338,70 @@ def _is_region(label: str) -> bool:
     return tag in ("article", "main") or name == "main"
 
 
-def _varying(slot: Slot) -> float:
-    """Characters of varying text outside links below a node."""
-    if _is_chrome(slot.label, False):
-        return 0.0
-    own = 0 if slot.texts and len(slot.constant) == slot.texts else slot.chars - slot.linked
-    return own + sum(map(_varying, slot.kids))
+def _varying(template: Slot) -> dict[int, float]:
+    """Characters of varying text outside links below each node, by its identity."""
+    below: dict[int, float] = {}
+    for slot in reversed(spelled(template)[1]):  # children first
+        own = 0 if slot.texts and len(slot.constant) == slot.texts else slot.chars - slot.linked
+        chrome = _is_chrome(slot.label, False)
+        below[id(slot)] = 0.0 if chrome else own + sum(below[id(k)] for k in slot.kids)
+    return below
 
 
-def _has_region(slot: Slot, pages: int) -> bool:
-    if _is_chrome(slot.label, False):
-        return False
-    return (_is_region(slot.label) and 2 * slot.pages >= pages) or any(_has_region(k, pages) for k in slot.kids)
+def _has_region(template: Slot) -> bool:
+    """Whether a region element outside chrome is on half of the pages."""
+    stack = [template]
+    while stack:
+        slot = stack.pop()
+        if _is_chrome(slot.label, False):
+            continue
+        if _is_region(slot.label) and 2 * slot.pages >= template.pages:
+            return True
+        stack += slot.kids
+    return False
 
 
-def _main_region(slot: Slot) -> Slot:
+def _main_region(template: Slot) -> Slot:
     """The lowest node that holds most of the varying text."""
-    total = _varying(slot)
+    varying, slot = _varying(template), template
+    total = varying[id(slot)]
     while total:
-        best = max(slot.kids, key=_varying, default=None)
-        if best is None or _varying(best) < 0.8 * total:
+        best = max(slot.kids, key=lambda k: varying[id(k)], default=None)
+        if best is None or varying[id(best)] < 0.8 * total:
             break
         slot = best
     return slot
 
 
 def wrapper(template: Slot) -> list:
-    """Rules for every node of a template, packed.
+    """Rules for every node of a template in order: label, whether its text is content,
+    constant texts to leave out, number of children.
 
     The region is an article or main element where most pages have one, and otherwise
     the lowest node with most of the varying text. Inside it all text is content but
     that of chrome and constant texts; if more texts of the region are constant than
     vary (copies of one page), nothing in it counts as constant.
     """
-    tagged = _has_region(template, template.pages)
+    tagged = _has_region(template)
     region = None if tagged else _main_region(template)
-
-    def shares(slot: Slot, inside: bool) -> tuple[int, int]:
-        inside = inside or slot is region or (tagged and _is_region(slot.label))
-        if _is_chrome(slot.label, inside):
-            return 0, 0
-        constant = len(slot.constant) if inside else 0
-        others = slot.texts - constant if inside else 0
-        parts = [shares(k, inside) for k in slot.kids]
-        return constant + sum(x for x, _ in parts), others + sum(y for _, y in parts)
-
-    constant, others = shares(template, False)
-    trust = constant <= others
-
-    def rules(slot: Slot, inside: bool) -> list:
-        inside = inside or slot is region or (tagged and _is_region(slot.label))
-        if _is_chrome(slot.label, inside):
-            return [slot.label, 0, [], []]
-        return [slot.label, int(inside), slot.constant if inside and trust else [], [rules(k, inside) for k in slot.kids]]
-
-    return rules(template, False)
+    inside = {}  # by identity: None below chrome, else whether in the region
+    stack = [(template, False)]
+    while stack:
+        slot, within = stack.pop()
+        if within is not None:
+            within = within or slot is region or (tagged and _is_region(slot.label))
+            within = None if _is_chrome(slot.label, within) else within
+        inside[id(slot)] = within
+        stack += [(k, within) for k in slot.kids]
+
+    slots = spelled(template)[1]
+    content = [slot for slot in slots if inside[id(slot)]]
+    constant = sum(len(slot.constant) for slot in content)
+    trust = constant <= sum(slot.texts for slot in content) - constant
+    return [
+        [slot.label, int(bool(inside[id(slot)])), slot.constant if inside[id(slot)] and trust else [], len(slot.kids)]
+        for slot in slots
+    ]
 
 
 class Reader:
@@ -361,16 +418,16 @@ class Reader:
         of = {a.index: r for a, r in pairs}
         out: list = [None] * len(page.nodes)
 
-        def walk(node: Node, inside: bool, dead: bool) -> None:
+        stack = [(page.root, False, False)]
+        while stack:
+            node, inside, dead = stack.pop()
             rule = of.get(node.index)
             inside = inside or _is_region(node.label)
             dead = dead or _is_chrome(node.label, inside)
             keep = rule.keep if rule else inside
             out[node.index] = (bool(keep or inside) and not dead, rule.constant if rule else frozenset())
-            for kid in node.kids:
-                walk(kid, inside or bool(rule and rule.keep), dead)
-
-        walk(page.root, False, False)
+            below = inside or bool(rule and rule.keep)
+            stack += [(kid, below, dead) for kid in node.kids]
         return out
 
     def text(self, html: str) -> str:
@@ -398,7 +455,7 @@ def _merged(shapes: DataFrame, by: list[str]) -> DataFrame:
         host, template, total = None, None, 0
 
         def done() -> pa.RecordBatch:
-            columns = [pa.array([host], pa.string()), pa.array([template.shape()]), pa.array([total], pa.int64())]
+            columns = [pa.array([host], pa.string()), pa.array([spelled(template)[0]]), pa.array([total], pa.int64())]
             return pa.RecordBatch.from_arrays(columns, names=["host", "shape", "pages"])
 
         for batch in batches:
@@ -467,7 +524,7 @@ def _small(side: DataFrame, *texts: str) -> DataFrame:
 
 
 def induce(pages: DataFrame) -> DataFrame:
-    """(``host``, ``pages``, ``rules``) of every host, from :func:`different_pages`.
+    """(``host``, ``rules``) of every host, from :func:`different_pages`.
 
     The shapes of a host merge to its template, a hot host's in portions first. Every
     shape is then aligned with the whole template, and pages and texts of its nodes are
@@ -523,20 +580,19 @@ def induce(pages: DataFrame) -> DataFrame:
 
     def rules(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            seen, packed = [], []
+            packed = []
             for shape, counts in zip(*(batch.column(c).to_pylist() for c in ("shape", "counts"))):
                 template, nodes = grown(shape)
                 for x in counts:
                     slot = nodes[x["slot"]]
                     slot.pages, slot.texts, slot.constant = x["pages"], x["texts"] or 0, x["constant"] or []
                     slot.chars, slot.linked = x["chars"] or 0, x["linked"] or 0
-                seen.append(template.pages)
                 packed.append(json.dumps(wrapper(template), separators=(",", ":")))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("host"), pa.array(seen, pa.int64()), pa.array(packed, pa.string())], names=["host", "pages", "rules"]
+                [batch.column("host"), pa.array(packed, pa.string())], names=["host", "rules"]
             )
 
-    return templates.select("host", "shape").join(counted, "host").mapInArrow(rules, "host string, pages bigint, rules string")
+    return templates.select("host", "shape").join(counted, "host").mapInArrow(rules, "host string, rules string")
 
 
 def extract(pages: DataFrame, id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
@@ -544,7 +600,9 @@ def extract(pages: DataFrame, id: str = "page_id", url: str = "url", html: str =
 
     Blocks in page order, white space within and between them one blank; character
     references decoded. Null and empty pages have empty text; null urls and urls
-    without a host are one host. Repeated pages are read each on its own.
+    without a host are one host. Repeated pages are read each on its own, and counted
+    once; pages may be of any length and depth. An empty table gives an empty result,
+    and other columns are ignored, whatever their names.
     """
     rows = pages.select(
         F.col(id).alias("page_id"),
@@ -552,16 +610,11 @@ def extract(pages: DataFrame, id: str = "page_id", url: str = "url", html: str =
         F.coalesce(F.lower(F.regexp_extract(F.col(url), _HOST, 1)), F.lit("")).alias("host"),
         F.coalesce(F.col(html).cast("string"), F.lit("")).alias("html"),
     )
-    pages = different_pages(rows.select("host", "html"))
-    induced = stored(induce(pages), "wrappers")
-    wrappers = induced.where(F.col("pages") >= LEAST_PAGES).select("host", "rules")
-    common = None
-    if induced.where(F.col("pages") < LEAST_PAGES).head(1):
-        common = induce(pages.dropDuplicates(["digest"]).withColumn("host", F.lit(""))).first().rules
-    joined = rows.join(_small(wrappers, "host", "rules"), "host", "left")
+    induced = stored(induce(different_pages(rows.select("host", "html"))), "wrappers")
+    joined = rows.join(_small(induced, "host", "rules"), "host")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        readers: dict[str | None, Reader] = {}
+        readers: dict[str, Reader] = {}
         for batch in batches:
             for part in slices(batch, 2):
                 texts = []
@@ -569,7 +622,7 @@ def extract(pages: DataFrame, id: str = "page_id", url: str = "url", html: str =
                     if packed not in readers:
                         if len(readers) > HELD_HOSTS:
                             readers.clear()
-                        readers[packed] = Reader(json.loads(packed or common))
+                        readers[packed] = Reader(json.loads(packed))
                     texts.append(readers[packed].text(page))
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), part.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"]

@@ -204,6 +204,37 @@ def test_main_text_without_tags_to_go_by(spark):
     assert got[50] == got[51] == "" and len(got) == len(rows)
 
 
+@pytest.mark.parametrize("pages_of_host", [1, 2, 8])
+def test_depth_changes_nothing(spark, pages_of_host):
+    """Under 10, 500 or 5,000 blocks the text of a page is the same, tagged or not."""
+    def page(i, depth, tag):
+        story = f"<{tag}><h1>Title {i}</h1><p>Story {i} goes on for quite a while.</p><nav>skip</nav></{tag}>"
+        rest = "<div class=comments><p>a reader writes</p></div><div><a href=x>All rights</a></div><footer>end</footer>"
+        return "<html><body>" + "<div>" * depth + "<div class=menu>menu</div>" + story + rest + "</div></i></span></li>" * depth
+    rows = [
+        (1000 * k + i, f"http://{tag}{depth}.example/{i}", page(i, depth, tag))
+        for k, (tag, depth) in enumerate((t, d) for t in ("article", "section") for d in (10, 500, 5000))
+        for i in range(pages_of_host)
+    ]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(3)
+    got = {r.page_id: r.text for r in wrappers.extract(pages).collect()}
+    for i in range(pages_of_host):
+        for k in range(3):
+            assert got[1000 * k + i] == f"Title {i} Story {i} goes on for quite a while."
+            assert got[1000 * (3 + k) + i] == got[3000 + i]
+        assert f"Story {i} goes on for quite a while." in got[3000 + i] and "reader" not in got[3000 + i]
+
+
+def test_pages_with_clashing_columns_and_a_very_long_one(spark):
+    long = " ".join(f"word{k}" for k in range(200_000))
+    rows = [(i, f"http://h.example/{i}", f"<nav>menu</nav><article><p>{i} {long if i == 3 else 'short'}</p>" + "<p>x" * (20_000 * (i == 4)) + "</article>") for i in range(6)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    for name in ("text", "host", "rules", "digest", "shape", "runs"):
+        pages = pages.withColumn(name, F.lit("clash"))
+    got = {r.page_id: r.text for r in wrappers.extract(pages).collect()}
+    assert got[0] == "0 short" and got[3] == f"3 {long}" and got[4] == "4 short" + " x" * 20_000
+
+
 def test_copies_of_one_page_keep_their_text(spark):
     page = "<html><body><nav>menu</nav><article><h1>T</h1><p>Body text.</p></article></body></html>"
     pages = spark.createDataFrame([(i, "http://h.example/", page) for i in range(20)], "page_id bigint, url string, html string")

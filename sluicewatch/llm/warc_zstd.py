@@ -4,6 +4,9 @@ The dictionary is trained on archived records. Each archive starts with a skippa
 frame that holds it, and every record is a frame of its own, so a reader can start at
 any record. Spark's own text writer commits the files: a row is a frame, and the
 "line end" is an empty skippable frame, which every reader of Zstandard passes over.
+The writer begins a new file after a fixed number of rows; an archive that has its
+bytes before that is filled up with empty rows, so that archives are of bounded size
+and each has its dictionary, however many pages a task has.
 """
 
 from __future__ import annotations
@@ -20,16 +23,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluicewatch.llm.arrow_rows import slices, texts_of
+from sluicewatch.llm.scratch import counted, stored
 
 #: Skippable frames: magic number, then size. The first is that of dictionaries in WARC files.
 DICTIONARY_MAGIC = b"\x5d\x2a\x4d\x18"
 BETWEEN = "P*M\x18\0\0\0\0"
 FRAME_MAGIC = b"\x28\xb5\x2f\xfd"
 
-#: Dictionary: its size, about how many records it is trained on, and bytes of each.
+#: Dictionary: its size, about how many different payloads it is trained on, and bytes of
+#: each, in so many pieces spread over it.
 DICTIONARY_BYTES = 110 << 10
 TRAINING_RECORDS = 1000
-TRAINING_BYTES = 16 << 10
+TRAINING_BYTES, TRAINING_PIECES = 16 << 10, 4
+#: Frames and bytes of an archive: it ends with the record that reaches either.
+ARCHIVE_FRAMES, ARCHIVE_BYTES = 10_000, 64 << 20
+#: Bytes of a repeated payload's row, for the choice to broadcast them.
+FIRST_BYTES = 256
 LEVEL = 6
 LEAST_REVISITED = 100
 DATE = "2024-01-01T00:00:00Z"
@@ -83,8 +92,11 @@ def parse_record(data: bytes) -> tuple[dict[str, str], bytes]:
 def prepared(pages: DataFrame, id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """Pages with payload, digest, and of revisits the page they refer to.
 
-    Only narrow (digest, least page) rows of payloads that occur twice or more are
-    joined to the pages. Pages of a null id never are the one referred to.
+    Payloads stay where they are read: only narrow (digest, least page) rows of those that
+    occur twice or more are joined to them, and broadcast up to a counted size. Pages of a
+    null id are never the one referred to, and null pages are empty payloads. Of a page id
+    that occurs twice with one payload, both rows are responses. Payloads of any length are
+    one record; an empty table makes no records. Other columns are ignored.
     """
     payload = F.coalesce(F.col(html).cast("string"), F.lit("")).cast("binary")
     rows = pages.select(
@@ -93,10 +105,17 @@ def prepared(pages: DataFrame, id: str = "page_id", url: str = "url", html: str
     long_ = rows.where((F.octet_length("payload") >= LEAST_REVISITED) & F.col("page_id").isNotNull())
     firsts = (
         long_.groupBy("digest")
-        .agg(F.min(F.struct("page_id", "url")).alias("first"))
-        .select("digest", F.col("first.page_id").alias("first"), F.col("first.url").alias("first_url"))
+        .agg(F.min(F.struct("page_id", "url")).alias("first"), F.count("*").alias("n"))
     )
-    joined = rows.join(firsts, "digest", "left")
+    # Rows of no id refer to the first one too, though they are not counted.
+    met_twice = (F.col("n") > 1) | F.col("by_others")
+    nameless = rows.where(F.col("page_id").isNull()).select("digest").distinct()
+    firsts = firsts.join(nameless.withColumn("by_others", F.lit(True)), "digest", "left")
+    firsts = stored(
+        firsts.where(met_twice).select("digest", F.col("first.page_id").alias("first"), F.col("first.url").alias("first_url")),
+        "firsts",
+    )
+    joined = rows.join(counted(firsts, FIRST_BYTES), "digest", "left")
     own = F.col("page_id").eqNullSafe(F.col("first"))
     return joined.select(
         "page_id", "url", "payload", "digest",
@@ -108,16 +127,21 @@ def prepared(pages: DataFrame, id: str = "page_id", url: str = "url", html: str
 def train_dictionary(pages: DataFrame, html: str = "html") -> bytes:
     """A dictionary of records drawn by hash, trained in one task.
 
-    About ``TRAINING_RECORDS`` records of ``TRAINING_BYTES`` at most; too few or too
-    uniform ones become a dictionary of plain content.
+    Of about ``TRAINING_RECORDS`` different payloads, copies counting once, pieces of
+    ``TRAINING_BYTES`` in all at most: the whole payload, or parts of it from beginning to
+    end. Too few or too uniform ones become a dictionary of plain content.
     """
-    total = pages.count()
+    total = pages.agg(F.approx_count_distinct(html)).first()[0]
     share = min(1.0, TRAINING_RECORDS / total) if total else 1.0
     drawn = pages.where(F.col(html).isNotNull()).where(
         F.pmod(F.xxhash64(html), F.lit(1 << 30)) < int(share * (1 << 30))
     )
-    sample = drawn.select(F.col(html).cast("binary").alias("payload")).distinct()
-    sample = sample.select(F.substring("payload", 1, TRAINING_BYTES).alias("payload"))
+    payload, piece = F.col("payload"), TRAINING_BYTES // TRAINING_PIECES
+    apart = (F.octet_length(payload) - piece) / (TRAINING_PIECES - 1)
+    pieces = (F.substring(payload, F.floor(apart * k).cast("int") + 1, F.lit(piece)) for k in range(TRAINING_PIECES))
+    cut = F.when(F.octet_length(payload) <= TRAINING_BYTES, payload).otherwise(F.concat(*pieces))
+    # Cut first: what is shuffled to drop copies is bounded by row.
+    sample = drawn.select(F.col(html).cast("binary").alias("payload")).select(cut.alias("payload")).distinct()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         records = [
@@ -136,21 +160,31 @@ def train_dictionary(pages: DataFrame, html: str = "html") -> bytes:
 
 
 def write_archives(prepared_pages: DataFrame, dictionary: bytes, folder: str) -> None:
-    """One archive per task, a record per page, to any file system Spark writes to."""
+    """Archives of bounded size, a record per page, to any file system Spark writes to."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shared = zstandard.ZstdCompressionDict(dictionary)
         packer = zstandard.ZstdCompressor(level=LEVEL, dict_data=shared)
-        frames = [DICTIONARY_MAGIC + struct.pack("<I", len(dictionary)) + dictionary, packer.compress(_info())]
+        head = [DICTIONARY_MAGIC + struct.pack("<I", len(dictionary)) + dictionary, packer.compress(_info())]
+        frames, rows, size = [], 0, 0  # rows and bytes of the archive at hand
         for batch in batches:
             for part in slices(batch, 2):
-                columns = [c.to_pylist() for c in part.columns]
-                frames.extend(packer.compress(record(*row)) for row in zip(*columns))
+                for row in zip(*(c.to_pylist() for c in part.columns)):
+                    if not rows:
+                        frames += head
+                        rows, size = len(head), len(head[0])
+                    frames.append(packer.compress(record(*row)))
+                    rows, size = rows + 1, size + len(frames[-1])
+                    if size >= ARCHIVE_BYTES:
+                        frames += [b""] * (ARCHIVE_FRAMES - rows)
+                        rows = ARCHIVE_FRAMES
+                    if rows == ARCHIVE_FRAMES:
+                        rows = 0
                 yield pa.RecordBatch.from_arrays([pa.array(frames, pa.binary())], names=["value"])
                 frames = []
 
-    frames = prepared_pages.mapInArrow(run, "value binary")
-    frames.select(F.col("value").cast("string").alias("value")).write.option("lineSep", BETWEEN).text(folder)
+    frames = prepared_pages.mapInArrow(run, "value binary").select(F.col("value").cast("string").alias("value"))
+    frames.write.option("lineSep", BETWEEN).option("maxRecordsPerFile", ARCHIVE_FRAMES).text(folder)
 
 
 def frames_of(archive: bytes) -> Iterator[bytes]:
@@ -179,7 +213,8 @@ def frames_of(archive: bytes) -> Iterator[bytes]:
 def read_archives(spark: SparkSession, folder: str) -> DataFrame:
     """(``page_id``, ``url``, ``payload_bytes``, ``payload_digest``, ``record_type``,
     ``refers_to``, ``payload``) of every record; a payload that doesn't match its digest
-    stops the read. A revisit has no payload of its own.
+    stops the read. A revisit has no payload of its own. An archive is read as one value,
+    and written within ``ARCHIVE_BYTES`` and one record.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(folder)
 

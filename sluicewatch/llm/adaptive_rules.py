@@ -8,6 +8,10 @@ fails where a measure lies beyond its group's fence: the quantile ``TAIL`` (for
 values ``1 - TAIL``) plus ``REACH`` times its distance from the median, and at least a
 small floor, so that a group without any spread does not fail its ordinary texts. A
 group may hold bad texts up to ``1 - TAIL`` of it without moving its fence to them.
+
+Every group uses its own sketch, as far as its rows bear it out: its quantiles count by
+their number, those of its language as ``PRIOR_ROWS`` rows more, and the language's
+likewise beside those of all. No number of rows switches from one to the other.
 """
 
 from __future__ import annotations
@@ -17,7 +21,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sluicewatch.llm.scratch import stored
+from sluicewatch.llm.arrow_rows import apart
+from sluicewatch.llm.scratch import counted, stored
 
 #: White space, symbols and the base rule as the rules define them.
 BLANKS = "\\x20\\x09-\\x0D"
@@ -29,8 +34,10 @@ MOST_REPEATED = 50
 ERROR = 0.02
 TAIL = 0.85
 REACH = 2.0
-#: Rows from which a group has thresholds of its own; smaller ones use their language's, then all.
-LEAST_GROUP = 200
+#: Rows that the quantiles of a language count for in those of a group, and all in a language's.
+PRIOR_ROWS = 20
+#: Bytes of a group's fences, for the choice to broadcast them.
+FENCE_BYTES = 256
 #: (measure, least margin of its fence, whether low values fail too)
 MEASURES = [
     ("symbols_per_word", 0.05, False),
@@ -54,7 +61,7 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
     neighbours are compared word by word, and a text where hashes of different windows
     meet, or one too long for the position, is sorted by the windows themselves.
     """
-    others = [c for c in docs.columns if c not in (text, "n_lines", *COUNTS)]
+    others = apart(docs.columns, [text, "n_lines", *COUNTS])
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     lines = F.filter(F.split(body, "\n"), lambda x: x.rlike(f"[^{BLANKS}]"))
     step = docs.select(
@@ -223,7 +230,7 @@ def _tails(sketch: DataFrame, keys: list[str]) -> DataFrame:
 def thresholds(sketch: DataFrame) -> DataFrame:
     """(``lang``, ``source``, ``fences``): per measure the least and the greatest value kept.
 
-    From the group's own sketch, its language's where the group is small, or all.
+    From the group's own sketch, drawn towards its language's, and that towards all.
     """
     own = _tails(sketch, ["lang", "source"]).alias("own")
     by_lang = _tails(sketch, ["lang"]).alias("by_lang")
@@ -234,11 +241,11 @@ def thresholds(sketch: DataFrame) -> DataFrame:
     )
 
     def chosen(name: str) -> Column:
-        return (
-            F.when(F.col("own.rows") >= LEAST_GROUP, F.col(f"own.{name}"))
-            .when(F.col("by_lang.rows") >= LEAST_GROUP, F.col(f"by_lang.{name}"))
-            .otherwise(F.col(f"overall.{name}"))
-        )
+        def drawn(part: str, towards: Column) -> Column:
+            rows = F.col(f"{part}.rows")
+            return (rows * F.col(f"{part}.{name}") + PRIOR_ROWS * towards) / (rows + PRIOR_ROWS)
+
+        return drawn("own", drawn("by_lang", F.col(f"overall.{name}")))
 
     low_tail, median, high_tail, measure = chosen("low"), chosen("median"), chosen("high"), F.col("own.measure")
     floor, low = F.lit(None), F.lit(None)
@@ -258,9 +265,11 @@ def apply_rules(docs: DataFrame, text: str = "text", lang: str = "lang", source:
     ``failed`` names the measures beyond their fences. A text that fails a base rule is
     not kept, and is not counted in the sketches. A group that has no text left there
     has no thresholds and keeps what passes the base rules. Null text is an empty text.
-    Repeated rows are judged each on its own and all count.
+    Repeated rows are judged each on its own and all count, texts whole, however long; a
+    value equal to a fence is kept. An empty table gives an empty result. Columns named
+    like results give way to them.
     """
-    names = [c for c in docs.columns if c not in (*COUNTS, "base_failed", "failed", "kept")]
+    names = apart(docs.columns, [*COUNTS, "base_failed", "failed", "kept"])
     inner = docs.select(
         F.struct(*(F.col(f"`{c}`") for c in names if c != text)).alias("row"),
         F.col(f"`{lang}`").alias("lang"),
@@ -268,7 +277,7 @@ def apply_rules(docs: DataFrame, text: str = "text", lang: str = "lang", source:
         F.col(f"`{text}`").cast("string").alias("text"),
     )
     measures = stored(measured(inner), "measures")
-    fences = thresholds(sketches(measures))
+    fences = stored(thresholds(sketches(measures)), "fences")
     values = F.array(*(_measures()[m] for m, _, _ in MEASURES))
     labels = F.array(*(F.lit(m) for m, _, _ in MEASURES))
     low, high = F.col("fences.low"), F.col("fences.high")
@@ -280,7 +289,7 @@ def apply_rules(docs: DataFrame, text: str = "text", lang: str = "lang", source:
         ),
     )
     failed = F.when(F.col("fences").isNull(), F.array().cast("array<string>")).otherwise(F.array_compact(marked))
-    m, t = measures.alias("m"), fences.alias("t")
+    m, t = measures.alias("m"), counted(fences, FENCE_BYTES).alias("t")
     same = F.col("m.lang").eqNullSafe(F.col("t.lang")) & F.col("m.source").eqNullSafe(F.col("t.source"))
     judged = m.join(t, same, "left").select("m.*", failed.alias("failed"))
     judged = judged.withColumn("base_failed", base_failed())

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 import public_tokenizers
@@ -218,6 +219,87 @@ def oracle_sql() -> dict[str, str]:
         AS formatted_chars
     FROM c GROUP BY conv_id"""
 
+    ratio = (1 + adaptive_rules.ERROR) / (1 - adaptive_rules.ERROR)
+
+    def num(x: float) -> str:
+        return f"CAST('{x!r}' AS DOUBLE)"
+
+    def quantile(q: float) -> str:
+        return f"min(CASE WHEN below >= total * {num(q)} THEN bucket END)"
+
+    def edge(bucket: str, upper: bool) -> str:
+        power = f"1e-4 * pow({num(ratio)}, {bucket} - {1 if upper else 2})"
+        return f"CASE WHEN {bucket} = 0 THEN {'1e-4' if upper else '0'} ELSE {power} END"
+
+    def tails(name: str, keys: str) -> str:
+        by = f"{keys}, measure" if keys else "measure"
+        return f"""
+    {name} AS (
+      SELECT {by}, CAST(any_value(total) AS DOUBLE) AS n, {edge(quantile(1 - adaptive_rules.TAIL), False)} AS low,
+        {edge(quantile(0.5), True)} AS median, {edge(quantile(adaptive_rules.TAIL), True)} AS high
+      FROM (SELECT *, sum(n) OVER (PARTITION BY {by} ORDER BY bucket) AS below, sum(n) OVER (PARTITION BY {by}) AS total
+            FROM (SELECT {by}, bucket, count(*) AS n FROM told GROUP BY {by}, bucket) AS x) AS y
+      GROUP BY {by})"""
+
+    prior, margin = float(adaptive_rules.PRIOR_ROWS), adaptive_rules.REACH
+
+    def drawn(name: str) -> str:
+        by_lang = f"(l.n * l.{name} + {prior} * a.{name}) / (l.n + {prior})"
+        return f"(o.n * o.{name} + {prior} * ({by_lang})) / (o.n + {prior}) AS {name}"
+
+    measures = "[n_symbols / words, n_repeat_words / words, n_dup_lines / greatest(n_lines, 1), word_chars / words]"
+    floors = "CASE measure " + " ".join(f"WHEN {i + 1} THEN {num(m[1])}" for i, m in enumerate(adaptive_rules.MEASURES)) + " END"
+    two_sided = ", ".join(str(i + 1) for i, m in enumerate(adaptive_rules.MEASURES) if m[2])
+    symbols = "[^#*$%&|<>]"
+    ruled = f"""
+    WITH docs AS (
+      SELECT row_number() OVER () AS r, doc_id, lang, source, coalesce(text, '') AS text,
+        regexp_extract_all(coalesce(text, ''), '{_BLANK_WORD}') AS w
+      FROM documents),
+    grams AS (
+      SELECT r, s, array_to_string(list_slice(w, s, s + 2), ' ') AS gram
+      FROM (SELECT r, w, unnest(generate_series(1, len(w) - 2)) AS s FROM docs WHERE len(w) > 2) AS x),
+    often AS (SELECT r, gram FROM grams GROUP BY r, gram HAVING count(*) > 1),
+    repeated AS (
+      SELECT r, count(DISTINCT p) AS n FROM (
+        SELECT r, unnest([s, s + 1, s + 2]) AS p FROM grams JOIN often USING (r, gram)) AS x GROUP BY r),
+    lines AS (
+      SELECT r, count(*) AS n, count(DISTINCT line) AS different
+      FROM (SELECT r, unnest(string_split(text, chr(10))) AS line FROM docs) AS x
+      WHERE regexp_matches(line, '{_BLANK_WORD}') GROUP BY r),
+    counts AS (
+      SELECT docs.r, doc_id, lang, source, CAST(len(w) AS BIGINT) AS n_words,
+        CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+        CAST(length(regexp_replace(text, '{symbols}', '', 'g')) AS BIGINT) AS n_symbols,
+        CAST(coalesce(lines.n - different, 0) AS BIGINT) AS n_dup_lines, coalesce(lines.n, 0) AS n_lines,
+        CAST(coalesce(repeated.n, 0) AS BIGINT) AS n_repeat_words
+      FROM docs LEFT JOIN lines USING (r) LEFT JOIN repeated USING (r)),
+    judged AS (
+      SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, {measures} AS m
+      FROM (SELECT *, CAST(greatest(n_words, 1) AS DOUBLE) AS words FROM counts) AS x),
+    measured AS (
+      SELECT r, lang, source, base_failed, unnest([1, 2, 3, 4]) AS measure, unnest(m) AS v FROM judged),
+    told AS (
+      SELECT lang, source, measure,
+        CASE WHEN v < 1e-4 THEN 0 ELSE CAST(ceil(ln(v / 1e-4) / {num(math.log(ratio))}) AS INTEGER) + 1 END AS bucket
+      FROM measured WHERE NOT base_failed),
+    {tails("own", "lang, source")}, {tails("by_lang", "lang")}, {tails("overall", "")},
+    quantiles AS (
+      SELECT o.lang, o.source, o.measure, {drawn("low")}, {drawn("median")}, {drawn("high")}
+      FROM own AS o JOIN by_lang AS l ON l.lang IS NOT DISTINCT FROM o.lang AND l.measure = o.measure
+      JOIN overall AS a ON a.measure = o.measure),
+    fences AS (
+      SELECT lang, source, measure, high + greatest({floors}, (high - median) * {margin}) AS most,
+        CASE WHEN measure IN ({two_sided}) THEN low - greatest({floors}, (median - low) * {margin}) END AS least
+      FROM quantiles),
+    failed AS (
+      SELECT DISTINCT r FROM measured JOIN fences ON fences.measure = measured.measure
+        AND fences.lang IS NOT DISTINCT FROM measured.lang AND fences.source IS NOT DISTINCT FROM measured.source
+      WHERE v > most OR coalesce(v < least, FALSE))
+    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+      NOT base_failed AND failed.r IS NULL AS kept
+    FROM judged LEFT JOIN failed USING (r)"""
+
     near = """
     WITH RECURSIVE rows AS (
       SELECT row_number() OVER () AS r, vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
@@ -296,6 +378,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_decontamination": decontaminated,
         "op2_warc": archived,
+        "op4_quality_rules": ruled,
         "op7_ngram_join": linked,
         "op8_chat_bytes": formatted,
         "op11_metric_cells": near,

@@ -1,9 +1,9 @@
 """Benchmark decontamination with suffix arrays over the training text.
 
 Each task builds suffix arrays over the words of its documents, shard by shard,
-and binary-searches every suffix of every benchmark text in them: this gives the
-longest verbatim match of each benchmark suffix with its location, and all
-occurrences of each window of ``window`` words. Documents stay where they are: no
+and binary-searches every suffix of every benchmark text in them: this gives all
+occurrences of each window of ``window`` words, and the longest verbatim match at
+every word of a document, with the suffix it is of. Documents stay where they are: no
 shuffle, and nothing grows but the scan.
 
 Words: A-Z lower-cased, then runs of digits, a-z and non-ASCII characters. Only
@@ -16,6 +16,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,9 +29,10 @@ from pyspark.sql.types import (
     StructType,
 )
 
-from sluicewatch.llm.arrow_rows import with_results
+from sluicewatch.llm.arrow_rows import apart, with_results
 
 WINDOW = 13
+_EARLIER = "__earlier"
 #: Benchmark text that one pass searches for; a larger benchmark takes more passes.
 BLOCK_BYTES = 16 << 20
 
@@ -144,14 +146,14 @@ class Benchmark:
             high[open_] = np.where(right, high[open_], middle)
 
     def search(self, text: np.ndarray):
-        """Of a shard: window occurrences, and the longest match of each suffix.
+        """Of a shard: window occurrences, and the longest match at every position.
 
-        Returns (window numbers, positions) and (length, position) per suffix.
+        Returns (window numbers, positions) and (position, length, benchmark suffix).
         """
         order = suffix_array(text, self.depth)
         if not order.size or not self.suffixes.size:
             none = np.zeros(0, dtype=np.int64)
-            return (none, none), (np.zeros(self.suffixes.size, dtype=np.int64),) * 2
+            return (none, none), (none, none, none)
         low = self.bound(text, order, self.window_at, self.window_size, False)
         high = self.bound(text, order, self.window_at, self.window_size, True)
         counts = high - low
@@ -159,15 +161,41 @@ class Benchmark:
         slots = np.arange(numbers.size) - np.repeat(np.cumsum(counts) - counts, counts)
         positions = order[slots + np.repeat(low, counts)]
 
+        # Each benchmark suffix seeds its neighbours in the suffix array with what it has
+        # in common with them; further on, neighbours have that in common as far as they
+        # have it with each other.
         place = self.bound(text, order, self.suffixes, self.lengths, False)
-        best, where = np.zeros(place.size, dtype=np.int64), np.zeros(place.size, dtype=np.int64)
+        seed, of = np.zeros(order.size, dtype=np.int64), np.zeros(order.size, dtype=np.int64)
         for neighbour in (place - 1, place):
             inside = np.flatnonzero((neighbour >= 0) & (neighbour < order.size))
-            found = order[neighbour[inside]]
-            same = common_words(self.text, self.suffixes[inside], text, found, self.lengths[inside])
-            better = same > best[inside]
-            best[inside[better]], where[inside[better]] = same[better], found[better]
-        return (numbers, positions), (best, where)
+            rank = neighbour[inside]
+            same = common_words(self.text, self.suffixes[inside], text, order[rank], self.lengths[inside])
+            best = np.lexsort((-inside, same))  # of the longest the first stays
+            rank, same, inside = rank[best], same[best], inside[best]
+            longer = same > seed[rank]
+            seed[rank[longer]], of[rank[longer]] = same[longer], inside[longer]
+        left = np.minimum(runs_left(text)[order], self.depth)
+        shared = common_words(text, order[:-1], text, order[1:], np.minimum(left[:-1], left[1:]))
+        length, suffix = spread(seed, of, shared)
+        return (numbers, positions), (order, length, suffix)
+
+
+def spread(seed: np.ndarray, of: np.ndarray, shared: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The longest seed that reaches each place from either side, and whose it is.
+
+    A seed shrinks to ``shared`` of two neighbours on its way from one to the other.
+    """
+    best, whose = seed.tolist(), of.tolist()
+    steps = shared.tolist()
+    for places, back in ((range(1, len(best)), 1), (range(len(best) - 2, -1, -1), -1)):
+        for r in places:
+            step = steps[r - 1] if back == 1 else steps[r]
+            if step > best[r]:
+                before = best[r - back]
+                carried = before if before < step else step
+                if carried > best[r]:
+                    best[r], whose[r] = carried, whose[r - back]
+    return np.array(best, dtype=np.int64), np.array(whose, dtype=np.int64)
 
 
 FIELDS = StructType(
@@ -193,7 +221,7 @@ def _search_chunk(index: Benchmark, texts: list) -> list[pa.Array]:
         parts.append(np.zeros(1, dtype=np.int32))
     shard = np.concatenate(parts)
     starts = np.cumsum([0, *(n + 1 for n in sizes)])
-    (numbers, positions), (best, where) = index.search(shard)
+    (numbers, positions), (at, length, suffix) = index.search(shard)
 
     change = np.zeros(shard.size + 1, dtype=np.int64)
     np.add.at(change, positions, 1)
@@ -205,11 +233,14 @@ def _search_chunk(index: Benchmark, texts: list) -> list[pa.Array]:
         items[doc] |= index.window_items[number]
 
     longest = [(0, None, None)] * len(texts)
-    matched = np.flatnonzero(best)
-    doc_of = np.searchsorted(starts, where[matched], side="right") - 1
-    for k, doc in zip(matched.tolist(), doc_of.tolist()):
-        if best[k] > longest[doc][0]:
-            longest[doc] = int(best[k]), int(where[k] - starts[doc]), index.item_of_suffix[k]
+    matched = np.flatnonzero(length)
+    where = at[matched]
+    doc_of = np.searchsorted(starts, where, side="right") - 1
+    best = np.lexsort((where, -length[matched], doc_of))  # the first of the longest of each text
+    docs, firsts = np.unique(doc_of[best], return_index=True)
+    for doc, k in zip(docs.tolist(), best[firsts].tolist()):
+        own = matched[k]
+        longest[doc] = int(length[own]), int(at[own] - starts[doc]), index.item_of_suffix[suffix[own]]
     masks = [hit[s : s + n] for s, n in zip(starts.tolist(), sizes)]
     return [
         pa.array(sizes, pa.int64()),
@@ -243,15 +274,17 @@ def find_matches(
     """``docs`` with what the benchmark has in common with each text.
 
     ``n_words``; ``n_hit``, words inside occurrences of benchmark windows;
-    ``item_ids``, the items with such windows, as sorted strings; and of the longest
-    match that any benchmark suffix has in its shard: ``longest_match`` (words),
-    ``longest_start`` (word) and ``longest_item``, null where no suffix has its
-    longest match in this text.
+    ``item_ids``, the items with such windows, as sorted strings; and the longest verbatim
+    match of the text with any item, whatever other texts hold: ``longest_match`` (words),
+    ``longest_start`` (word, the first of equally long ones) and ``longest_item`` (one of
+    those that have it), null where the text has no word of the benchmark.
 
     A window is ``window`` words of an item, or all words of a shorter one. Items
     without words have none; a null item id is listed as the empty string. Null
-    text has no words. Repeated rows are searched each on its own. The benchmark is
-    held in blocks of ``block_bytes`` (one broadcast and one pass each).
+    text has no words. Repeated rows are searched each on its own, and texts whole,
+    however long. An empty table gives an empty result, an empty benchmark no hits. Columns
+    named like results give way to them. The benchmark is held in blocks of
+    ``block_bytes`` (one broadcast and one pass each).
     """
     out = docs
     for number, block in enumerate(_blocks(benchmark, item, item_text, block_bytes)):
@@ -271,23 +304,26 @@ def find_matches(
 
 def _set_aside(out: DataFrame) -> DataFrame:
     return out.select(
-        *(F.col(f"`{c}`") for c in out.columns if c not in FIELDS.names),
-        F.struct(*FIELDS.names).alias("__earlier"),
+        *(F.col(f"`{c}`") for c in apart(out.columns, FIELDS.names)),
+        F.struct(*FIELDS.names).alias(_EARLIER),
     )
 
 
 def _merged(_: DataFrame, out: DataFrame) -> DataFrame:
     """Results of one more block joined to those set aside on the same row."""
-    bits = F.udf(_merge_hits, "struct<hit_words: binary, n_hit: bigint>")
-    was = "__earlier."
-    longer = F.col("longest_match") > F.col(was + "longest_match")
+    bits = F.pandas_udf(_merge_hits, "hit_words binary, n_hit bigint")
+    was = f"{_EARLIER}."
+    before = F.col(was + "longest_match"), F.col(was + "longest_start")
+    longer = (F.col("longest_match") > before[0]) | (
+        (F.col("longest_match") == before[0]) & F.coalesce(F.col("longest_start") < before[1], F.lit(False))
+    )
     merged = out.withColumn("__hits", bits(F.col("hit_words"), F.col(was + "hit_words")))
     choose = {
         name: F.when(longer, F.col(name)).otherwise(F.col(was + name))
         for name in ("longest_match", "longest_start", "longest_item")
     }
     return merged.select(
-        *(F.col(f"`{c}`") for c in out.columns if c not in (*FIELDS.names, "__earlier")),
+        *(F.col(f"`{c}`") for c in apart(out.columns, [*FIELDS.names, _EARLIER])),
         F.col("n_words"),
         F.col("__hits.n_hit").alias("n_hit"),
         F.array_sort(F.array_union("item_ids", was + "item_ids")).alias("item_ids"),
@@ -296,9 +332,9 @@ def _merged(_: DataFrame, out: DataFrame) -> DataFrame:
     )
 
 
-def _merge_hits(a: bytes, b: bytes) -> tuple[bytes, int]:
-    both = np.frombuffer(a, np.uint8) | np.frombuffer(b, np.uint8)
-    return both.tobytes(), int(np.unpackbits(both).sum())
+def _merge_hits(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+    both = [np.frombuffer(x, np.uint8) | np.frombuffer(y, np.uint8) for x, y in zip(a, b)]
+    return pd.DataFrame({"hit_words": [x.tobytes() for x in both], "n_hit": [int(np.unpackbits(x).sum()) for x in both]})
 
 
 def contaminated(matches: DataFrame, share: int = 20) -> DataFrame:

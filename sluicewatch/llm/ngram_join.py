@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from sluicewatch.llm.arrow_rows import slices, texts_of
 from sluicewatch.llm.components import components
-from sluicewatch.llm.scratch import counted, stored
+from sluicewatch.llm.scratch import beside_keys, counted, stored
 
 NGRAM = 5
 #: Jaccard similarity from which two texts link, in hundredths.
@@ -414,11 +414,12 @@ def deduplicated(
     owners, root_of = _classified(docs, id, text, ngram, percent)
     worded = owners.where(F.col("key").isNotNull()).join(root_of.select("key", "root"), "key")
     order = F.struct(F.col("id").isNull(), F.col("id"), F.col("uid"))
-    chosen = worded.groupBy("root").agg(F.min(order).getField("uid").alias("__uid")).select("__uid")
-    wordless = owners.where(F.col("key").isNull()).select(F.col("uid").alias("__uid"))
-    marked = docs.withColumn("__uid", F.xxhash64(id, text))
-    kept = marked.join(chosen.unionByName(wordless).distinct(), "__uid", "left_semi")
-    return kept.dropDuplicates(["__uid"]).select(*(F.col(f"`{c}`") for c in docs.columns))
+    chosen = worded.groupBy("root").agg(F.min(order).getField("uid").alias("uid")).select("uid")
+    wordless = owners.where(F.col("key").isNull()).select("uid")
+    # A struct keeps the columns of docs apart from ours, whatever they are called.
+    marked = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.xxhash64(id, text).alias("uid"))
+    kept = marked.join(chosen.unionByName(wordless).distinct(), "uid", "left_semi")
+    return kept.dropDuplicates(["uid"]).select("row.*")
 
 
 def _linked(met: DataFrame, texts: DataFrame, ngram: int, percent: int) -> DataFrame:
@@ -446,9 +447,9 @@ def _apart(met: DataFrame, roots: DataFrame) -> DataFrame:
     """(``h``, ``key``, ``pos``, ``root``, ``n``) of groups with more than one component."""
     named = roots.select(F.col("a").alias("key"), F.col("b").alias("root"))
     known = met.select("h", "key", "pos").join(counted(named, KEYS_BYTES), "key", "left")
-    known = known.select("h", "key", "pos", F.coalesce("root", "key").alias("root")).repartition("h")
+    known = known.select("h", "key", "pos", F.coalesce("root", "key").alias("root"))
     groups = known.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n"))
-    return known.join(groups.where("low <> high").select("h", "n"), "h")
+    return beside_keys(known, stored(groups.where("low <> high").select("h", "n"), "groups"), "h")
 
 
 def _ordered(frame: DataFrame, x: str, x_pos: str, y: str, y_pos: str, percent: int) -> DataFrame:

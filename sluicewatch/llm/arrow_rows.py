@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +26,12 @@ def slices(batch: pa.RecordBatch, column: int, limit: int = CHUNK_BYTES) -> Iter
             yield batch.slice(start, end - start)
 
 
+def apart(columns: Iterable[str], taken: Iterable[str]) -> list[str]:
+    """The columns that are not named like one of those taken, as Spark compares names."""
+    lower = {name.lower() for name in taken}
+    return [c for c in columns if c.lower() not in lower]
+
+
 def texts_of(column: pa.Array) -> list:
     return column.cast(pa.binary()).to_pylist()
 
@@ -42,7 +48,8 @@ def with_results(
     ``make`` runs once per task, on the executor. Memory is bounded by a batch and
     by ``chunk_bytes`` of text, or the longest text.
     """
-    kept = [c for c in df.columns if c not in fields.names or c == text]
+    others = {*apart(df.columns, [*fields.names, text]), text}
+    kept = [c for c in df.columns if c in others]
     source = df.select(*(f"`{c}`" for c in kept))
     names = [f"c{i}" for i in range(len(kept))]
     made = [f"r{i}" for i in range(len(fields))]
@@ -62,5 +69,5 @@ def with_results(
                 )
 
     out = renamed.mapInArrow(run, schema)
-    back = [out[n].alias(c) for n, c in zip(names, kept) if c not in fields.names]
+    back = [out[n].alias(c) for n, c in zip(names, kept) if apart([c], fields.names)]
     return out.select(*back, *(out[n].alias(f.name) for n, f in zip(made, fields)))

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
-from sluicewatch.llm.arrow_rows import Compute, with_results
+from sluicewatch.llm.arrow_rows import Compute, apart, with_results
 
 MARK = "▁"
 UNIGRAM, BPE = 1, 2
@@ -391,7 +391,7 @@ def decode(encoded: DataFrame, model_path: str, ids: str = "piece_ids") -> DataF
 
     A mark that stood in a text itself comes back as a blank.
     """
-    kept = [c for c in encoded.columns if c != "decoded"]
+    kept = apart(encoded.columns, ["decoded"])
     rows = encoded.select(*(f"`{c}`" for c in kept)).toDF(*(f"c{i}" for i in range(len(kept))))
     at, names = kept.index(ids), [*rows.columns, "decoded"]
 
@@ -412,7 +412,7 @@ def digests(encoded: DataFrame, model_path: str, ids: str = "piece_ids") -> Data
     """``encoded`` with, in place of its ids, ``n_pieces``, ``ids_crc32`` (of the ids as
     little-endian 32-bit integers), and ``decoded_sha256`` of the decoded text.
     """
-    kept = [c for c in encoded.columns if c != ids]
+    kept = apart(encoded.columns, [ids, "n_pieces", "ids_crc32", "decoded_sha256"])
     rows = encoded.select(F.col(ids), *(F.col(f"`{c}`") for c in kept))
     rows = rows.toDF("ids", *(f"c{i}" for i in range(len(kept))))
     others = rows.columns[1:]

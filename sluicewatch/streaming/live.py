@@ -105,7 +105,8 @@ def append_to_table(
     checkpoint goes on where the last run stopped. Signals themselves can be
     stored like this, partitioned by ``PARTITIONS``, to keep their table up to
     date. A table should be written either by streams or by batches, not both,
-    since readers trust the stream's log of files.
+    since readers trust the stream's log of files. :func:`rows_left_out` tells how many
+    rows were too late for their windows.
     """
     return (
         result.writeStream.outputMode("append")
@@ -118,6 +119,16 @@ def append_to_table(
     )
 
 
+def rows_left_out(query: StreamingQuery) -> int:
+    """Rows that the batches a query still remembers left out behind its watermark.
+
+    Counted are rows as they reach the state: a batch is aggregated before, by key and
+    window. A query remembers ``spark.sql.streaming.numRecentProgressUpdates`` batches.
+    """
+    states = (state for batch in query.recentProgress for state in batch["stateOperators"])
+    return sum(state["numRowsDroppedByWatermark"] for state in states)
+
+
 def partials_to_table(
     sig: DataFrame,
     report: Callable[[DataFrame], DataFrame],

@@ -57,6 +57,18 @@ def test_rows_behind_the_watermark_are_left_out(stream):
     assert {r.runtime for r in found.collect()} == {"runtime-a"}
 
 
+def test_rows_left_out_are_counted(spark, telemetry, tmp_path):
+    source, counts = f"{tmp_path}/source", []
+    events = spark.readStream.schema(telemetry([]).schema)
+    for batch in ([log(ago(minutes=14))] * 6, PUSH, [log(ago(minutes=14), "runtime-late")] * 9):
+        telemetry(batch).coalesce(1).write.mode("append").parquet(source)
+        rollup = live.kpi_rollup(sw.signals(events.parquet(source)))
+        query = live.append_to_table(rollup, f"{tmp_path}/out", f"{tmp_path}/checkpoint")
+        query.awaitTermination()
+        counts.append(live.rows_left_out(query))
+    assert counts[:2] == [0, 0] and counts[2] > 0
+
+
 def test_rollup_equals_hourly_trend(stream, sig):
     rows = [
         row(ago(hours=h), metric=QUEUED_DURATION, value=str(60000 * h)) for h in range(1, 9)

@@ -5,26 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sluicewatch.llm.scratch import beside_keys, stored
-
-
-def _least(edges: DataFrame) -> DataFrame:
-    """Of every ``a`` its least ``b`` and how many it has."""
-    return edges.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+from sluicewatch.llm.scratch import stored
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
     """Links every larger neighbour of a node to the least node around it."""
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    named = beside_keys(both.where("b > a"), _least(both), "a")
-    return named.select(F.col("b").alias("a"), F.least("a", "m").alias("b"))
+    least = both.groupBy("a").agg(F.min("b").alias("m"))
+    return (
+        both.where("b > a")
+        .join(least, "a")
+        .select(F.col("b").alias("a"), F.least("a", "m").alias("b"))
+    )
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Links every smaller neighbour of a node, and the node, to the least of them."""
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = _least(down)
-    others = beside_keys(down, least, "a").where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    least = down.groupBy("a").agg(F.min("b").alias("m"))
+    others = down.join(least, "a").where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return others.unionByName(least.select("a", F.col("m").alias("b")))
 
 
@@ -36,8 +35,8 @@ def _state(edges: DataFrame) -> tuple:
 def components(edges: DataFrame) -> DataFrame:
     """(``a``, ``b``) for every node but the least of each component, ``b`` that least.
 
-    Every step is a partial aggregate and an equi-join, in which the edges of a hub stay
-    where they are. Rounds grow with the logarithm of the longest chain.
+    Every step is a partial aggregate and an equi-join, in which the edges of a hub meet
+    in one task, narrow and streamed. Rounds grow with the logarithm of the longest chain.
     """
     current = stored(edges.where("a <> b").distinct(), "edges")
     state = _state(current)

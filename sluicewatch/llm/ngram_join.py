@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from sluicewatch.llm.arrow_rows import slices, texts_of
 from sluicewatch.llm.components import components
-from sluicewatch.llm.scratch import beside_keys, counted, stored
+from sluicewatch.llm.scratch import counted, stored
 
 NGRAM = 5
 #: Jaccard similarity from which two texts link, in hundredths.
@@ -409,7 +409,8 @@ def deduplicated(
 ) -> DataFrame:
     """``docs`` with one row of each component: that of its least id, rows without one last.
 
-    Rows of equal id and text are one document. Texts without n-grams all stay.
+    Rows of equal id and text are one document. Texts without n-grams all stay, null and
+    empty ones too. Texts of any length are compared whole; an empty table stays empty.
     """
     owners, root_of = _classified(docs, id, text, ngram, percent)
     worded = owners.where(F.col("key").isNotNull()).join(root_of.select("key", "root"), "key")
@@ -447,9 +448,9 @@ def _apart(met: DataFrame, roots: DataFrame) -> DataFrame:
     """(``h``, ``key``, ``pos``, ``root``, ``n``) of groups with more than one component."""
     named = roots.select(F.col("a").alias("key"), F.col("b").alias("root"))
     known = met.select("h", "key", "pos").join(counted(named, KEYS_BYTES), "key", "left")
-    known = known.select("h", "key", "pos", F.coalesce("root", "key").alias("root"))
+    known = known.select("h", "key", "pos", F.coalesce("root", "key").alias("root")).repartition("h")
     groups = known.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n"))
-    return beside_keys(known, stored(groups.where("low <> high").select("h", "n"), "groups"), "h")
+    return known.join(groups.where("low <> high").select("h", "n"), "h")
 
 
 def _ordered(frame: DataFrame, x: str, x_pos: str, y: str, y_pos: str, percent: int) -> DataFrame:

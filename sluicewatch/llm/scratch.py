@@ -28,25 +28,6 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 #: Size up to which a counted side of a join is broadcast.
 BROADCAST_BYTES = 16 << 20
-#: Bytes of a key's row, about.
-KEY_BYTES = 128
-
-
-#: Rows of a key from which it counts as hot, at least.
-HOT_ROWS = 4096
-
-
-def beside_keys(rows: DataFrame, keys: DataFrame, key: str, n: str = "n") -> DataFrame:
-    """``rows`` joined to ``keys``, which has one row for each key and in ``n`` its rows at most.
-
-    Hot keys are broadcast, so that their rows stay where they are; of these there are few,
-    since together they cannot have more rows than there are. The rest is shuffled.
-    """
-    total = keys.agg(F.sum(n)).first()[0] or 0
-    least = max(HOT_ROWS, total * KEY_BYTES // BROADCAST_BYTES)
-    hot = F.broadcast(keys.where(F.col(n) > least))
-    cold = rows.join(hot.select(key), key, "left_anti").join(keys.where(F.col(n) <= least), key)
-    return cold.unionByName(rows.join(hot, key))
 
 
 def counted(side: DataFrame, row_bytes: int) -> DataFrame:

@@ -5,7 +5,8 @@ texts and ends are copied into one preallocated buffer that becomes the Arrow co
 no string is built per turn. Turns look like ``### role: text</turn>`` and a line end.
 Inside roles and texts a backslash goes before every backslash, ``#``, ``<`` and (in
 roles) ``:``, so no text can look like a mark, and reading takes the first backslash
-of each pair away again.
+of each pair away again. Long conversations are several rows, cut between turns, so that
+neither a task nor a value has to hold one.
 """
 
 from __future__ import annotations
@@ -20,10 +21,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sluicewatch.llm.arrow_rows import slices
+from sluicewatch.llm.arrow_rows import CHUNK_BYTES, slices
 
 HEAD, AFTER_ROLE, END = b"### ", b": ", b"</turn>\n"
 LOSS_ROLE = "assistant"
+#: Bytes of turns from which a conversation goes on in another row.
+BLOCK_BYTES = 16 << 20
 
 _TURN = re.compile(rb"### ((?:\\.|[^\\:#<])*): ((?:\\.|[^\\#<])*)</turn>\n", re.S)
 _ESCAPED = re.compile(rb"\\(.)", re.S)
@@ -76,13 +79,18 @@ def assemble(roles: pa.Array, texts: pa.Array) -> tuple[np.ndarray, np.ndarray,
 def format_conversations(
     rows: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text"
 ) -> DataFrame:
-    """(``conv_id``, ``n_turns``, ``formatted``, ``loss_starts``, ``loss_ends``).
+    """(``conv_id``, ``block``, ``last``, ``at``, ``n_turns``, ``formatted``, ``loss_starts``,
+    ``loss_ends``) of every block of every conversation.
 
     Turns by ``turn``, nulls first; ties by role, then text, and repeated rows stay.
     Null roles and texts are empty; null ids are one conversation. ``formatted`` holds
     UTF-8 bytes, and the loss spans are byte offsets of the assistant's texts in it.
-    Conversations stream through sorted partitions, so a task holds one at a time, and
-    an Arrow batch.
+
+    A conversation is block 0, or blocks of about ``BLOCK_BYTES`` each (or one longer turn)
+    that follow one another: ``at`` is a block's place in bytes, and ``last`` whether it is
+    the last. Conversations stream through sorted partitions; a task holds a block and an
+    Arrow batch, whatever the length of a conversation. An empty table gives an empty
+    result, and other columns are ignored, whatever their names.
     """
     source = rows.select(
         F.col(conv).cast("bigint").alias("conv_id"),
@@ -92,7 +100,8 @@ def format_conversations(
     )
     ordered = source.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
 
-    def whole(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+    def formed(held: list[pa.RecordBatch], block: int, at: int, last: bool) -> pa.RecordBatch:
+        """Rows of the turns held, of which the first conversation goes on from a block before."""
         table = pa.Table.from_batches(held).combine_chunks()
         ids, roles, texts = (pa.concat_arrays(table.column(i).chunks) for i in (0, 2, 3))
         new = _starts(ids)
@@ -109,27 +118,41 @@ def format_conversations(
             pa.large_binary(), new.size, [None, pa.py_buffer(conv_at.astype(np.int64)), pa.py_buffer(data)]
         ).cast(pa.binary())
         turns = pa.array(np.diff(np.append(new, len(ids))).astype(np.int64))
+        first = np.arange(new.size) == 0
+        places = [
+            pa.array(np.where(first, block, 0).astype(np.int32)),
+            pa.array(np.full(new.size, last)),
+            pa.array(np.where(first, at, 0).astype(np.int64)),
+        ]
         return pa.RecordBatch.from_arrays(
-            [ids.take(pa.array(new)), turns, formatted, *spans],
-            names=["conv_id", "n_turns", "formatted", "loss_starts", "loss_ends"],
+            [ids.take(pa.array(new)), *places, turns, formatted, *spans],
+            names=["conv_id", "block", "last", "at", "n_turns", "formatted", "loss_starts", "loss_ends"],
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
+        held: list[pa.RecordBatch] = []  # turns of one conversation, not the first of it after block 0
+        block = at = size = 0
         for batch in batches:
-            for part in slices(batch, 3):
-                last = int(_starts(part.column(0))[-1])
-                ended = last > 0 or (held and held[-1].column(0)[-1] != part.column(0)[0])
-                if ended:
-                    yield whole([*held, part.slice(0, last)])
-                    held = []
-                held.append(part.slice(last) if ended else part)
+            for part in slices(batch, 3, min(BLOCK_BYTES, CHUNK_BYTES)):
+                start = int(_starts(part.column(0))[-1])
+                other = bool(held) and held[-1].column(0)[-1] != part.column(0)[0]
+                if held and not other and size >= BLOCK_BYTES:
+                    rows = formed(held, block, at, False)
+                    yield rows
+                    held, block, at, size = [], block + 1, at + len(rows.column(5)[0].as_buffer()), 0
+                if start or other:
+                    yield formed([*held, part.slice(0, start)] if start else held, block, at, True)
+                    held, block, at, size = [], 0, 0, 0
+                    part = part.slice(start)
+                held.append(part)
+                size += pc.sum(pc.binary_length(part.column(3))).as_py() or 0
         if held:
-            yield whole(held)
+            yield formed(held, block, at, True)
 
     return ordered.mapInArrow(
         run,
-        "conv_id bigint, n_turns bigint, formatted binary, loss_starts array<bigint>, loss_ends array<bigint>",
+        "conv_id bigint, block int, last boolean, at bigint, n_turns bigint, formatted binary, "
+        "loss_starts array<bigint>, loss_ends array<bigint>",
     )
 
 
@@ -154,34 +177,57 @@ def read_turns(formatted: bytes) -> list[tuple[bytes, bytes]]:
     return found
 
 
+class _Digest:
+    """Counts and digests of the blocks of one conversation, read back one after the other."""
+
+    def __init__(self) -> None:
+        self.turns, self.loss = hashlib.sha256(), hashlib.sha256()
+        self.n_turns = self.loss_chars = self.chars = self.at = 0
+
+    def add(self, at: int, data: bytes, starts: list, ends: list) -> None:
+        if at != self.at:
+            raise ValueError(f"a block at byte {at} follows {self.at} bytes")
+        self.at += len(data)
+        for role, text in read_turns(data):
+            self.n_turns += 1
+            self.turns.update(b"%s\n%s\n" % (role, text))
+        for start, end in zip(starts, ends):
+            text = _unescaped(data[start:end])
+            self.loss.update(text)
+            self.loss_chars += len(text.decode("utf-8", "replace"))
+        self.chars += len(data.decode("utf-8", "replace"))
+
+    def row(self) -> tuple:
+        return self.n_turns, self.turns.hexdigest(), self.loss_chars, self.loss.hexdigest(), self.chars
+
+
 def digests(formatted: DataFrame) -> DataFrame:
     """What reading the formatted conversations back gives, as counts and digests.
 
     ``turns_sha256`` of role, \\n, text, \\n of every turn; ``loss_chars`` and
-    ``loss_sha256`` of all text under the loss spans; ``formatted_chars``.
+    ``loss_sha256`` of all text under the loss spans; ``formatted_chars``. Conversations of
+    one block are read where they are; only blocks of longer ones are shuffled, to stream
+    in order. ``formatted`` is read twice, so store it first.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest, out = _Digest(), []
         for batch in batches:
-            out = []
-            for data, starts, ends in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3))):
-                turns, loss, loss_chars = hashlib.sha256(), hashlib.sha256(), 0
-                read = read_turns(data)
-                for role, text in read:
-                    turns.update(b"%s\n%s\n" % (role, text))
-                for start, end in zip(starts, ends):
-                    text = _unescaped(data[start:end])
-                    loss.update(text)
-                    loss_chars += len(text.decode("utf-8", "replace"))
-                out.append((len(read), turns.hexdigest(), loss_chars, loss.hexdigest(), len(data.decode("utf-8", "replace"))))
-            kinds = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64())
-            columns = [pa.array([x[i] for x in out], kind) for i, kind in enumerate(kinds)]
+            for conv, last, at, *block in zip(*(column.to_pylist() for column in batch.columns)):
+                digest.add(at, *block)
+                if last:
+                    out.append((conv, *digest.row()))
+                    digest = _Digest()
+            kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *columns],
+                [pa.array([x[i] for x in out], kind) for i, kind in enumerate(kinds)],
                 names=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"],
             )
+            out = []
 
-    return formatted.select("conv_id", "formatted", "loss_starts", "loss_ends").mapInArrow(
-        run,
-        "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint",
-    )
+    columns = ["conv_id", "last", "at", "formatted", "loss_starts", "loss_ends"]
+    schema = "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint"
+    alone = F.col("last") & (F.col("block") == 0)
+    longer = formatted.where(~alone).repartition("conv_id").sortWithinPartitions("conv_id", "block")
+    parts = (df.select(*columns).mapInArrow(run, schema) for df in (formatted.where(alone), longer))
+    return next(parts).unionByName(next(parts))

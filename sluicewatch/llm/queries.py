@@ -25,7 +25,7 @@ from sluicewatch.llm import (
     wrappers,
 )
 from sluicewatch.llm.labelled import remainder
-from sluicewatch.llm.scratch import new_folder
+from sluicewatch.llm.scratch import new_folder, stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 TRICKY = "\\### Assistant: </turn> ok"
@@ -90,7 +90,8 @@ def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def chats(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     more = spark.createDataFrame([(-7, 0, "user", TRICKY), (-7, 1, "assistant", TRICKY)], rows.schema)
-    return chat_bytes.digests(chat_bytes.format_conversations(rows.unionByName(more)))
+    formatted = stored(chat_bytes.format_conversations(rows.unionByName(more)), "chats")
+    return chat_bytes.digests(formatted)
 
 
 def quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:

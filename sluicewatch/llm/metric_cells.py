@@ -19,8 +19,10 @@ goes to the driver are counts of at most ``PIVOT_BYTES`` worth of pivots and cel
 sample of ``SAMPLE`` times as many vectors.
 
 Where vectors are spread evenly over many dimensions, nearly all lie at nearly the same
-angle to every pivot, and no metric bound can tell them apart: then a vector goes to
-every cell of its label, and the join compares all of a label in blocks.
+angle to every pivot, and no metric bound can tell them apart: more pivots then make more
+copies and spare no comparison. The sample shows how often its vectors would be copied
+and with how many they would be compared, and a label gets the number of pivots at which
+both cost least: that changes the work, never the result.
 """
 
 from __future__ import annotations
@@ -40,16 +42,23 @@ from sluicewatch.llm.components import components
 from sluicewatch.llm.scratch import counted, stored
 
 COSINE = 0.93
-#: Vectors of a cell, as doubles, that one task compares with the others of the cell.
+#: Vectors of a cell, as doubles, below which no more pivots are looked for.
 CELL_BYTES = 1 << 20
+#: Vectors of a cell that one task holds to compare the others of the cell with.
+BLOCK_BYTES = 16 << 20
 #: All pivots together, as doubles, and vectors drawn to choose one pivot from.
-PIVOT_BYTES = 8 << 20
+PIVOT_BYTES = 1 << 20
 SAMPLE = 8
+#: What dealing out a copy of a vector costs, and a comparison by component, in operations.
+COPY_COST, MEET_COST = 100_000.0, 2.0
 #: Rows that are dealt out, or compared with a cell's own vectors, at a time.
 CHUNK = 1024
 #: Radians that angles and bounds may be off by.
 SLACK = 1e-6
 
+#: Vectors of a cell or block at least, however long they are.
+LEAST_ROWS = 64
+
 CORE, NEAR, FAR = 0, 1, 2
 SHELLS = 3
 #: Kinds of cells without a pivot: all of a label, and rows that link with nothing.
@@ -103,7 +112,7 @@ class Bounds:
         ``low`` and ``high`` are the least and greatest angle of each cell's own vectors.
         """
         rows = np.arange(home.size)
-        apart = np.sqrt(np.maximum(2 - 2 * (pivots @ pivots.T), 1e-30))[home]
+        apart = np.sqrt(np.maximum(2 - 2 * (pivots[home] @ pivots.T), 1e-30))
         across = np.clip((cosines[rows, home][:, None] - cosines) / apart, -1, 1)
         near = (angles - angles[rows, home][:, None] <= 2 * self.reach + SLACK) & (
             np.arcsin(across) <= self.reach + SLACK
@@ -115,17 +124,49 @@ class Bounds:
 
 def choose_pivots(units: np.ndarray, wanted: int, bounds: Bounds) -> np.ndarray:
     """Vectors with most others in their core, and farther apart than cores reach."""
-    cosines = units @ units.T
-    inside = (cosines >= math.cos(max(bounds.core, 0))).sum(axis=1)
+    inside = np.concatenate([
+        (units[k : k + CHUNK] @ units.T >= math.cos(max(bounds.core, 0))).sum(axis=1) for k in range(0, len(units), CHUNK)
+    ])
     chosen: list[int] = []
     free = np.ones(len(units), dtype=bool)
     for i in np.argsort(-inside, kind="stable"):
         if free[i] and len(chosen) < wanted:
             chosen.append(int(i))
-            free &= cosines[i] < math.cos(min(1.5 * bounds.reach, math.pi))
+            free &= units @ units[i] < math.cos(min(1.5 * bounds.reach, math.pi))
     return units[chosen]
 
 
+def paying_pivots(units: np.ndarray, pivots: np.ndarray, n: int, bounds: Bounds) -> np.ndarray:
+    """As many of the pivots as make copies and comparisons of ``n`` vectors cost least.
+
+    ``units`` is a sample of these vectors, all of which are counted for the cells.
+    """
+    best = pivots[:0], math.inf
+    size = 1
+    while True:
+        some = pivots[:size]
+        own, (low, high) = np.zeros((len(some), SHELLS)), (np.full((len(some), SHELLS), x) for x in (np.inf, -np.inf))
+        parts = [units[k : k + CHUNK] for k in range(0, len(units), CHUNK)]
+        placed = [bounds.homes(part, some) for part in parts]
+        for _, angles, home, shell in placed:
+            angle = angles[np.arange(home.size), home]
+            for ufunc, table, value in ((np.add, own, 1), (np.minimum, low, angle), (np.maximum, high, angle)):
+                ufunc.at(table, (home, shell), value)
+        copies = met = 0.0
+        for cosines, angles, home, shell in placed:
+            may = bounds.candidates(cosines, angles, home, some, low, high) & (own > 0)
+            core = shell == CORE
+            may[np.arange(home.size)[core], home[core], CORE] = False
+            copies += may.sum() + core.sum()
+            met += float((may * own).sum())
+        cost = COPY_COST * copies + MEET_COST * units.shape[1] * met * (n / len(units))
+        if cost < best[1]:
+            best = some, cost
+        if size >= len(pivots):
+            return best[0]
+        size = min(2 * size, len(pivots))
+
+
 def near_duplicates(
     vectors: DataFrame,
     id: str = "vec_id",
@@ -133,6 +174,7 @@ def near_duplicates(
     label: str = "label",
     cosine: float = COSINE,
     cell_bytes: int = CELL_BYTES,
+    block_bytes: int = BLOCK_BYTES,
     pivot_bytes: int = PIVOT_BYTES,
 ) -> DataFrame:
     """(``vec_id``, ``n_links``, ``component_id``, ``kept``) of every row.
@@ -157,16 +199,20 @@ def near_duplicates(
     ).withColumn("space", F.when(~F.col("unlabelled"), F.col("space"))).drop("unlabelled")
 
     sizes = rows.where(F.col("space").isNotNull()).groupBy("space", F.size("v").alias("size")).agg(F.count("*").alias("n"))
-    cell_rows = F.greatest(F.lit(64), F.floor(F.lit(cell_bytes) / (8 * F.col("size"))))
+    def rows_in(size: int) -> F.Column:
+        return F.greatest(F.lit(LEAST_ROWS), F.floor(F.lit(size) / (8 * F.col("size"))))
+
     large = stored(
-        sizes.where((F.col("size") > 0) & (F.col("n") > cell_rows)).select(
-            "space", "size", "n", F.ceil(F.col("n") / cell_rows).cast("int").alias("cells")
+        sizes.where((F.col("size") > 0) & (F.col("n") > rows_in(min(cell_bytes, block_bytes)))).select(
+            "space", "size", "n",
+            F.ceil(F.col("n") / rows_in(cell_bytes)).cast("int").alias("cells"),
+            F.ceil(F.col("n") / rows_in(block_bytes)).cast("int").alias("blocks"),
         ),
         "spaces",
     )
-    parts = rows.join(counted(large.select("space", "cells"), _ROW_BYTES), "space", "left")
+    parts = rows.join(counted(large.select("space", "blocks"), _ROW_BYTES), "space", "left")
     pivots = _pivots(parts, large, bounds, pivot_bytes)
-    cells = _cells(parts, pivots, bounds, cell_bytes)
+    cells = _cells(parts, pivots, bounds, block_bytes)
     found = stored(_joined(_dealt(parts, pivots, cells, bounds, single), bounds, single), "links")
     return _assembled(found)
 
@@ -180,6 +226,7 @@ def _pivots(parts: DataFrame, large: DataFrame, bounds: Bounds, pivot_bytes: int
     chosen = large.orderBy(F.desc("n"), "space").limit(most).collect()
     share = min(1.0, most / sum(r.cells for r in chosen))
     wanted = {r.space: max(1, int(r.cells * share)) for r in chosen}
+    rows_of = {r.space: r.n for r in chosen}
     rates = [(r.space, min(1.0, SAMPLE * (wanted[r.space] + 1) / r.n)) for r in chosen]
     drawn = F.broadcast(parts.sparkSession.createDataFrame(rates, "space string, rate double"))
     sample = parts.select("space", "v").join(drawn, "space").where(F.rand(7) < F.col("rate")).select("space", "v").toArrow()
@@ -188,7 +235,9 @@ def _pivots(parts: DataFrame, large: DataFrame, bounds: Bounds, pivot_bytes: int
         column = sample.filter(pc.equal(sample["space"], space))["v"]
         units = [u for chunk in column.chunks for _, u in unit_rows(chunk) if len(u)]
         if units:
-            found[space] = choose_pivots(np.concatenate(units), wanted[space], bounds)
+            drawn_units = np.concatenate(units)
+            pivots = choose_pivots(drawn_units, wanted[space], bounds)
+            found[space] = paying_pivots(drawn_units, pivots, rows_of[space], bounds)
     return found
 
 
@@ -203,7 +252,7 @@ def _by_space(space: pa.Array, vector: pa.Array) -> Iterator[tuple[str, np.ndarr
                 yield names.dictionary[int(code)].as_py(), rows[own], units[own]
 
 
-def _cells(parts: DataFrame, pivots: dict, bounds: Bounds, cell_bytes: int) -> dict[str, Cells]:
+def _cells(parts: DataFrame, pivots: dict, bounds: Bounds, block_bytes: int) -> dict[str, Cells]:
     """The cells of each space with pivots."""
     shared = parts.sparkSession.sparkContext.broadcast(pivots)
 
@@ -225,22 +274,18 @@ def _cells(parts: DataFrame, pivots: dict, bounds: Bounds, cell_bytes: int) -> d
 
     if not pivots:
         return {}
-    counts = parts.where(F.col("cells").isNotNull()).select("space", "v").mapInArrow(
+    counts = parts.where(F.col("blocks").isNotNull()).select("space", "v").mapInArrow(
         run, "space string, pivot int, shell int, n bigint, low double, high double"
     )
     summed = counts.groupBy("space", "pivot", "shell").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
     cells = {s: _no_cells(len(p)) for s, p in pivots.items()}
     for r in summed.collect():
-        blocks = -(-r.n // _cell_rows(cell_bytes, pivots[r.space].shape[1]))
+        blocks = -(-r.n // max(LEAST_ROWS, block_bytes // (8 * pivots[r.space].shape[1])))
         for table, value in zip(cells[r.space], (blocks, r.low, r.high)):
             table[r.pivot, r.shell] = value
     return cells
 
 
-def _cell_rows(cell_bytes: int, size: int) -> int:
-    return max(64, cell_bytes // (8 * size))
-
-
 def _no_cells(pivots: int) -> Cells:
     shape = (pivots, SHELLS)
     return np.zeros(shape, dtype=np.int64), np.full(shape, np.inf), np.full(shape, -np.inf)
@@ -316,7 +361,7 @@ def _dealt(parts: DataFrame, pivots: dict, cells: dict, bounds: Bounds, single:
                 names=["cell", "block", "home", "shell", "id", "node", "raw"],
             )
 
-    return parts.select("id", "space", "v", "cells").mapInArrow(
+    return parts.select("id", "space", "v", "blocks").mapInArrow(
         run, "cell string, block bigint, home boolean, shell int, id bigint, node binary, raw binary"
     )
 

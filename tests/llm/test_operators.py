@@ -451,6 +451,37 @@ def test_chat_round_trip(spark):
         assert [chat_bytes._unescaped(s).decode() for s in spans] == [x for _, r, x in own if r == "assistant"]
 
 
+@pytest.mark.parametrize("block", [1, 300, 5000])
+def test_long_conversations_are_several_blocks(spark, monkeypatch, block):
+    """Blocks follow one another, are cut between turns, and read back as the whole."""
+    monkeypatch.setattr(chat_bytes, "BLOCK_BYTES", block)
+    dice = np.random.default_rng(6)
+    rows = [
+        (c, t, ["user", "assistant", None][t % 3], "é#\\<x" * int(dice.integers(0, 12)))
+        for c in (None, 1, 2, 3, 9) for t in range({1: 400, 9: 1}.get(c, 15))
+    ] + [(7, 0, "assistant", "y" * 20_000)]
+    frame = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
+    for name in ("block", "last", "formatted", "Chars"):
+        frame = frame.withColumn(name, F.lit("clash"))
+    formatted = new_folder(spark, "chats")
+    chat_bytes.format_conversations(frame).write.parquet(formatted)
+    formatted = spark.read.parquet(formatted)
+    blocks = formatted.orderBy("conv_id", "block").collect()
+    assert len([b for b in blocks if b.conv_id == 1]) > (20_000 // block if block > 1 else 300) / 8
+    for b in blocks:
+        assert len(chat_bytes.read_turns(bytes(b.formatted))) == b.n_turns
+    got = {r.conv_id: tuple(r)[1:] for r in chat_bytes.digests(formatted).collect()}
+    monkeypatch.undo()
+    whole = chat_bytes.format_conversations(frame)
+    assert whole.where("block > 0 OR NOT last").count() == 0
+    assert got == {r.conv_id: tuple(r)[1:] for r in chat_bytes.digests(whole).collect()}
+    for conv in {r[0] for r in rows}:
+        own = sorted(((t, r or "", x) for c, t, r, x in rows if c == conv))
+        turns = "".join(f"{r}\n{x}\n" for _, r, x in own)
+        loss = "".join(x for _, r, x in own if r == "assistant")
+        assert got[conv][:4] == (len(own), hashlib.sha256(turns.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest())
+
+
 @pytest.mark.parametrize("module, label", [(toxicity, "toxic"), (line_crf, "quality")])
 def test_classifiers_score_awkward_rows(spark, docs, module, label):
     for marks in (data.labels(spark, docs, label), data.labels(spark, docs, label).limit(0)):
@@ -585,9 +616,12 @@ def vectors(size, n, seed):
     return np.concatenate([spread, tight, loose, chain, np.repeat(spread[:3], 5, axis=0) * 2]).astype(np.float32)
 
 
-@pytest.mark.parametrize("cell_bytes, pivot_bytes", [(1 << 20, 8 << 20), (1, 8 << 20), (1, 5 * 8 * 6), (1, 1)])
-def test_vector_links(spark, cell_bytes, pivot_bytes):
-    """Whole labels, many cells, several blocks in a cell, and blocks without pivots."""
+@pytest.mark.parametrize("cell_bytes, block_bytes, pivot_bytes, copy_cost", [
+    (1 << 20, 16 << 20, 1 << 20, 1e5), (1, 1, 1 << 20, 1e5), (1, 16 << 20, 1 << 20, 0), (1, 1, 5 * 8 * 6, 0), (1, 1, 1, 0),
+])
+def test_vector_links(spark, monkeypatch, cell_bytes, block_bytes, pivot_bytes, copy_cost):
+    """Whole labels, few and many cells, several blocks in a cell, and blocks without pivots."""
+    monkeypatch.setattr(metric_cells, "COPY_COST", copy_cost)
     found = vectors(6, 150, 3)
     rows = [(k * 7 % 1000, v.tolist(), k % 2 if k % 11 else 2) for k, v in enumerate(found)]
     odd = [None, [], [0.0] * 6, [1.0, None, 0.0, 0.0, 0.0, 0.0], [float("nan")] * 6, [float("inf"), 1.0, 1.0, 1.0, 1.0, 1.0], [1.0] * 5, [1e-30] * 6, [3e38] * 6]
@@ -595,12 +629,25 @@ def test_vector_links(spark, cell_bytes, pivot_bytes):
     rows += [(3000, found[0].tolist(), None), (3001, found[0].tolist(), None), (None, found[0].tolist(), 0), (None, [1.0] * 5, 7), (None, [1.0] * 5, 7), (4, found[5].tolist(), 0), (4, found[5].tolist(), 0)]
     schema = "vec_id bigint, embedding array<float>, label int"
     frame = spark.createDataFrame(rows, schema).withColumn("node", F.lit(1)).withColumn("n_links", F.lit("x"))
-    got = metric_cells.near_duplicates(frame.repartition(5), cell_bytes=cell_bytes, pivot_bytes=pivot_bytes).collect()
+    sizes = {"cell_bytes": cell_bytes, "block_bytes": block_bytes, "pivot_bytes": pivot_bytes}
+    got = metric_cells.near_duplicates(frame.repartition(5), **sizes).collect()
     want = plain_vector_links(rows)
     assert Counter((r.vec_id, r.n_links, r.component_id, bool(r.kept)) for r in got) == want
     assert metric_cells.near_duplicates(frame.limit(0)).collect() == []
 
 
+def test_as_many_pivots_as_pay():
+    """One where vectors are spread evenly, many where they lie in groups."""
+    dice, bounds = np.random.default_rng(7), metric_cells.Bounds(0.93)
+    def chosen(points):
+        points /= np.linalg.norm(points, axis=1)[:, None]
+        pivots = metric_cells.choose_pivots(points, 30, bounds)
+        return metric_cells.paying_pivots(points, pivots, 20_000, bounds)
+    assert len(chosen(dice.normal(size=(2500, 64)))) == 1
+    centres = dice.normal(size=(30, 64))
+    assert len(chosen(np.repeat(centres, 80, axis=0) + 0.1 * dice.normal(size=(2400, 64)))) == 30
+
+
 def test_cells_miss_no_partner():
     """Every two vectors that link meet in the home cell of each, and few others do."""
     bounds, points = metric_cells.Bounds(0.93), vectors(6, 400, 9).astype(float)

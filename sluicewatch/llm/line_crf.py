@@ -183,8 +183,8 @@ def fit_model(docs: DataFrame, labels: DataFrame, text: str = "text", id: str =
               label: str = "quality", per_class: int = PER_CLASS) -> dict:
     """A field fitted on the labelled rows whose id is not held out.
 
-    One task fits it; it gets about ``2 * per_class`` texts however many there are.
-    Without any label every text is good.
+    One task fits it; it gets about ``2 * per_class`` texts however many there are, an id
+    once however often it occurs. Without any label every text is good.
     """
     sample, known = labelled_sample(
         docs, labels, label, remainder(id, HELD_OUT) != HELD_OUT_REST, per_class, id, text
@@ -223,7 +223,9 @@ def score(docs: DataFrame, model: dict, text: str = "text", threshold: float = T
     """``docs`` with ``score``, ``predicted``, and its numbers of good and bad lines.
 
     Lines are split at \\n; blank lines count for nothing. A null, empty or blank text
-    is scored as one empty line.
+    is scored as one empty line, a long one by all of its lines. Repeated rows get equal
+    scores, and a score equal to the threshold is good. An empty table gives an empty
+    result. Columns named like results give way to them.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

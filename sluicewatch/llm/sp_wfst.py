@@ -371,7 +371,10 @@ ENCODED = StructType([StructField("piece_ids", ArrayType(IntegerType()))])
 def encode(docs: DataFrame, model_path: str, text: str = "text") -> DataFrame:
     """``docs`` with ``piece_ids`` of the whole text. Null and empty texts have none.
 
-    ``model_path`` must lead to the model on every machine.
+    Texts of any length are encoded whole, repeated rows each on its own, and of paths of
+    equal weight the one with the shorter last piece is taken. An empty table gives an
+    empty result. Columns named like results give way to them. ``model_path`` must lead to
+    the model on every machine.
     """
 
     def make() -> Compute:
@@ -389,7 +392,7 @@ def encode(docs: DataFrame, model_path: str, text: str = "text") -> DataFrame:
 def decode(encoded: DataFrame, model_path: str, ids: str = "piece_ids") -> DataFrame:
     """``encoded`` with ``decoded``, the text of its ids; null ids give null.
 
-    A mark that stood in a text itself comes back as a blank.
+    A mark that stood in a text itself comes back as a blank. No ids are an empty text.
     """
     kept = apart(encoded.columns, ["decoded"])
     rows = encoded.select(*(f"`{c}`" for c in kept)).toDF(*(f"c{i}" for i in range(len(kept))))

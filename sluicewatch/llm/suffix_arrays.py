@@ -286,8 +286,14 @@ def find_matches(
     named like results give way to them. The benchmark is held in blocks of
     ``block_bytes`` (one broadcast and one pass each).
     """
+    blocks = _blocks(benchmark, item, item_text, block_bytes)
+    if len(blocks) > 1:  # in a struct the columns of docs are apart from those of the passes
+        others = [F.col(f"`{c}`") for c in docs.columns if c != text]
+        out = docs.select(F.struct(F.lit(0), *others).alias("row"), F.col(f"`{text}`").alias("text"))
+        names, own_text, docs, text = docs.columns, text, out, "text"
+        kept = [F.col("text").alias(c) if c == own_text else F.col(f"row.`{c}`") for c in apart(names, FIELDS.names)]
     out = docs
-    for number, block in enumerate(_blocks(benchmark, item, item_text, block_bytes)):
+    for number, block in enumerate(blocks):
         items = sorted((r.item, bytes(r.text or b"")) for r in block.toLocalIterator())
         shared = docs.sparkSession.sparkContext.broadcast(items)
 
@@ -299,6 +305,8 @@ def find_matches(
             out = with_results(docs, text, FIELDS, make)
         else:
             out = _merged(out, with_results(_set_aside(out), text, FIELDS, make))
+    if len(blocks) > 1:
+        out = out.select(*kept, *FIELDS.names)
     return out.drop("hit_words")
 
 

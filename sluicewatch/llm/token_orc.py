@@ -156,7 +156,8 @@ def write_tokens(
     Files follow each other in ascending id, nulls first; rows of one id are ordered by
     hash of text. Null text is empty and has the end id alone. ``part_start`` counts the
     ids before a row in its part. ``tokenizer_path`` must lead to the tokenizer on
-    every machine.
+    every machine. Texts are encoded whole, repeated rows each on its own; an empty table
+    makes a folder without rows. Other columns are ignored, whatever their names.
     """
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -165,7 +165,8 @@ FIELDS = StructType([StructField("score", DoubleType()), StructField("predicted"
 def score(docs: DataFrame, model: tuple[np.ndarray, float], text: str = "text", threshold: float = 0.5) -> DataFrame:
     """``docs`` with ``score`` (0 to 1) and ``predicted`` of the whole text.
 
-    Null and empty texts have a score too: that of a text without n-grams.
+    Null and empty texts have a score too: that of a text without n-grams. Columns named
+    like results give way to them.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

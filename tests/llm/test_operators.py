@@ -543,6 +543,34 @@ def test_a_few_words_in_a_very_long_text_are_found():
         assert (bias + weights[distinct] @ values >= 0) == toxic
 
 
+def test_columns_named_like_results_or_helpers(spark, tmp_path):
+    """Names are compared as Spark does; columns that clash with no result stay as they are."""
+    rows = [(1, data.SENTENCE), (2, data.NEAR), (3, None), (4, ""), (5, "one two " * 40)]
+    plain = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("lang", F.lit("en")).withColumn("source", F.lit("s"))
+    marks = spark.createDataFrame([(i, i % 2, i % 2) for i in range(1, 6)], "doc_id bigint, toxic int, quality int")
+    bench = spark.createDataFrame([(1, data.SENTENCE)], "item_id bigint, text string")
+    names = "Score Predicted N_Words Kept Failed Base_Failed N_Hit Item_Ids Hit_Words Longest_Match __earlier Piece_Ids Decoded uid __uid row key".split()
+    clash = plain
+    for name in names:
+        clash = clash.withColumn(name, F.lit("clash"))
+    encoded = sp_wfst.encode(clash, PIECES)
+    for results, got in (
+        (("score", "predicted"), toxicity.score(clash, toxicity.fit_model(clash, marks))),
+        (("score", "predicted"), line_crf.score(clash, line_crf.fit_model(clash, marks))),
+        (("kept", "n_words", "failed"), adaptive_rules.apply_rules(clash)),
+        (("n_hit", "longest_match"), suffix_arrays.find_matches(clash, bench, block_bytes=10)),
+        (("piece_ids",), encoded),
+        (("decoded",), sp_wfst.decode(encoded, PIECES)),
+        (("ids_crc32",), sp_wfst.digests(encoded, PIECES)),
+        ((), ngram_join.deduplicated(clash)),
+    ):
+        lower = [c.lower() for c in got.columns]
+        assert len(set(lower)) == len(lower) and set(results) <= set(got.columns)
+        found = got.collect()
+        assert len(found) in (4, 5) and all(r[name] != "clash" for r in found for name in results)
+        assert all(r["key"] == "clash" and r["__uid"] == "clash" for r in found)
+
+
 def test_marginals_are_those_of_all_labellings():
     chains = line_crf.Chains([b"one\ntwo three\nfour", b"x"])
     order = np.random.default_rng(3)

@@ -9,8 +9,11 @@ one document of each component stays, that of the least id; rows of equal id and
 are one document, texts without words stay. decontamination: documents of which a
 benchmark covers a twentieth go. pieces: ids of what is left.
 
-Null texts are empty texts: not toxic, judged by the quality model as one empty line,
-never linked, never contaminated, without ids. Empty tables give empty results.
+Null texts are empty texts: scored for toxicity as texts without n-grams, judged by the
+quality model as one empty line, never linked, never contaminated, without ids. Texts of
+any length are read whole by every stage. Repeated rows are judged alike, and one of them
+stays. Ties: a score of the threshold itself is toxic, or good; of documents with equal
+ids in a component, that of the lesser hash stays. Empty tables give empty results.
 """
 
 from __future__ import annotations

@@ -60,7 +60,7 @@ def index_messages(spark: SparkSession, signals_path: str, index_path: str) -> i
         found = (
             logged.select(name.alias("file"), F.explode(grams(F.lower("message"))).alias("gram"))
             .distinct()
-            .withColumn("part", F.pmod(F.xxhash64("gram"), F.lit(PARTS)).cast("int"))
+            .withColumn("part", _part())
         )
         share = F.pmod(F.xxhash64("file"), F.lit(-(-len(some) // TASK_FILES)))
         placed = found.repartition("part", share).sortWithinPartitions("part", "gram", "file")
@@ -75,19 +75,20 @@ def candidate_files(spark: SparkSession, signals_path: str, index_path: str, ter
 
     Wildcards cut the term into parts, of which those shorter than a trigram tell nothing.
     """
-    lowered = spark.range(1).select(F.lower(F.lit(search_pattern(term))).alias("p"))
-    parts = [p for p in re.split("[%_]", lowered.first().p.replace("\\\\", "\\")) if p]
-    if not parts or not Folder(spark, index_path).has("files", DONE):
+    index = Folder(spark, index_path)
+    if not index.has("files", DONE) or not index.has("grams", DONE):
         return None
-    literals = spark.createDataFrame([(p,) for p in parts], "part string")
-    wanted = [r.gram for r in literals.select(F.explode(grams(F.col("part"))).alias("gram")).distinct().collect()]
+    # Lower-cased as a whole, as the search does it, then cut at wildcards.
+    pattern = F.replace(F.lower(F.lit(search_pattern(term))), F.lit("\\\\"), F.lit("\\"))
+    literal = F.flatten(F.transform(F.split(pattern, "[%_]"), grams))
+    asked = spark.range(0, 1, 1, 1).select(F.explode(F.array_distinct(literal)).alias("gram"))
+    rows = asked.select("gram", _part().alias("part")).collect()
+    wanted, folders = [r.gram for r in rows], sorted({r.part for r in rows})
     if not wanted:
         return None
-    folders = spark.createDataFrame([(g,) for g in wanted], "gram string").select(F.pmod(F.xxhash64("gram"), F.lit(PARTS)))
-    in_part = F.col("part").isin([r[0] for r in folders.distinct().collect()])
     stored = spark.read.schema("file string, gram string, part int").parquet(f"{index_path}/grams")
     holding = (
-        stored.where(in_part & F.col("gram").isin(wanted))
+        stored.where(F.col("part").isin(folders) & F.col("gram").isin(wanted))
         .groupBy("file")
         .agg(F.count_distinct("gram").alias("n"))
         .where(F.col("n") == len(wanted))
@@ -118,6 +119,10 @@ def _signals_of(spark: SparkSession, signals_path: str, files: list[str]) -> Dat
     return spark.read.schema(SIGNALS_SCHEMA).option("basePath", signals_path).parquet(*files)
 
 
+def _part() -> Column:
+    return F.pmod(F.xxhash64("gram"), F.lit(PARTS)).cast("int")
+
+
 def _root(signals_path: str) -> str:
     return f"/{signals_path.rstrip('/').rsplit('/', 1)[-1]}/"
 

@@ -8,6 +8,7 @@ stripe, and look-ups of documents skip stripes and row groups by range and filte
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -24,7 +25,14 @@ from sluicewatch.llm.arrow_rows import slices, texts_of
 END_ID = 2
 STRIPE_BYTES = 16 << 20
 ROW_GROUP = 1000
-REMEMBERED = 1 << 20
+#: Words that a worker remembers; of more, those used most stay.
+REMEMBERED = 3 << 17
+#: Words that the tokenizer gets at a time, since what it returns takes a kilobyte a word.
+ENCODED = 1 << 12
+#: Text encoded at a time.
+CHUNK_BYTES = 2 << 20
+#: Characters among which letters are looked for that the model can take as they are.
+LETTERS = range(0x61, 0x530)
 #: Marks that are encoded apart from the word they end, where the tokenizer does so.
 MARKS = b"!#$&*,.:;?"
 _LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
@@ -47,8 +55,9 @@ class WordEncoder:
 
     Holds for tokenizers that never put ids across ASCII white space and drop it, as
     word tokenizers do. Those that lower-case get lower-case ASCII, and those that
-    always cut between a letter and a run of marks get marks after a letter a to z apart:
-    either leaves fewer distinct words.
+    always cut between a letter and a run of marks get marks after a letter apart:
+    either leaves fewer distinct words. Words of letters that the tokenizer neither
+    changes nor cuts go to its model at once, in the characters that stand for their bytes.
     """
 
     def __init__(self, path: str, end_id: int):
@@ -59,8 +68,11 @@ class WordEncoder:
         self.end_id = end_id
         added = self.tokenizer.get_added_tokens_decoder().values()
         self.added = [t.content.encode().translate(_LOWER) for t in added]
-        self.lowers, self.cuts = self._lowers(), self._cuts()
-        self._forget()
+        self.lowers, self.letters = self._lowers(), self._letters()
+        self.cuts = self._cuts()
+        self.same = all(read == chr(c) for c, read in self.letters.items() if c < 0x80)
+        self.plain = re.compile(f"[{''.join(map(chr, self.letters))}]+" if self.letters else "(?!)")
+        self._keep(np.zeros(0, np.int64))
 
     def _lowers(self) -> bool:
         """Whether the tokenizer lower-cases A-Z, but for its added tokens."""
@@ -74,38 +86,101 @@ class WordEncoder:
         low = text.translate(_LOWER)
         return text if any(a in low for a in self.added) else low
 
+    def _letters(self) -> dict[int, str]:
+        """Letters of which any word is one piece as it is, and what the model reads for them.
+
+        Each is tried in a word, and then all in one. None where a word is more than its
+        pieces: texts cut or filled to a length, added tokens of letters.
+        """
+        whole, pre, normalizer = self.tokenizer, self.tokenizer.pre_tokenizer, self.tokenizer.normalizer
+        if pre is None or whole.truncation or whole.padding:
+            return {}
+
+        def read(word: str) -> str | None:
+            """What the model reads for a word that is left as it is, in one piece."""
+            if normalizer is not None and normalizer.normalize_str(word) != word:
+                return None
+            pieces = pre.pre_tokenize_str(word)
+            return pieces[0][0] if len(pieces) == 1 and pieces[0][1] == (0, len(word)) else None
+
+        found = {}
+        for c in map(chr, LETTERS):
+            one = read(c) if c.isalpha() else None
+            if one and read(f"x{c}{c}x") == f"{read('x')}{one}{one}{read('x')}":
+                found[ord(c)] = one
+        every = "".join(map(chr, found))
+        added = [t.content for t in whole.get_added_tokens_decoder().values()]
+        if read(every) != every.translate(found) or any(t and all(ord(c) in found for c in t) for t in added):
+            return {}
+        for word in (every[:6], every[-3:], every[::40]):
+            if self._modelled(word.translate(found)) != whole.encode(word, add_special_tokens=False).ids:
+                return {}
+        return found
+
+    def _modelled(self, read: str) -> list[int]:
+        return [t.id for t in self.tokenizer.model.tokenize(read)]
+
     def _cuts(self) -> bool:
         """Whether the tokenizer cuts before marks, and only there, in a letter and two marks."""
         pre, marks = self.tokenizer.pre_tokenizer, MARKS.decode()
         added = self.tokenizer.get_added_tokens_decoder().values()
         if pre is None or any(t.content[-1:] in marks or t.lstrip or t.rstrip for t in added):
             return False
-        return all(
-            [span for _, span in pre.pre_tokenize_str(f"x{m}{n}")] == [(0, 1), (1, 3)] for m in marks for n in marks
-        )
-
-    def _forget(self) -> None:
+        letters = {*map(chr, self.letters), "x"}
+        tried = [("x", m, n) for m in marks for n in marks] + [(c, m, m) for c in letters for m in marks]
+        return all([span for _, span in pre.pre_tokenize_str("".join(x))] == [(0, 1), (1, 3)] for x in tried)
+
+    def _keep(self, kept: np.ndarray) -> None:
+        """Forgets all words but those with these ascending numbers."""
+        if kept.size:
+            words = list(self.place)
+            sizes, starts = np.diff(self.offsets)[kept], self.offsets[kept]
+            ends = np.cumsum(sizes)
+            ids = self.ids[np.arange(int(ends[-1])) + np.repeat(starts - (ends - sizes), sizes)]
         self.place = _Places()
         self.ids = np.array([self.end_id], dtype=np.int32)
         self.offsets = np.array([0, 1], dtype=np.int64)
+        if kept.size:
+            self.place.update((words[n - 1], i) for i, n in enumerate(kept.tolist(), 1))
+            self.ids = np.concatenate([self.ids, ids])
+            self.offsets = np.concatenate([self.offsets, 1 + ends])
+        self.uses = np.zeros(self.offsets.size - 1, dtype=np.int64)
+
+    def _forget(self) -> None:
+        """Forgets words used once, and more if these are under half of all."""
+        uses = self.uses.copy()
+        uses[0] = 0
+        least = max(2, int(np.sort(uses)[-(REMEMBERED // 2)]) + 1 if uses.size > REMEMBERED // 2 else 2)
+        self._keep(np.flatnonzero(uses >= least))
+
+    def _ends_in_letter(self, stem: bytes) -> bool:
+        if 0x61 <= stem[-1] <= 0x7A:
+            return True
+        last = stem[-2:].decode("utf-8", "replace")  # of two bytes, as all letters beyond ASCII here
+        return len(last) == 1 and ord(last) in self.letters
 
     def _learn(self) -> None:
         new, known = self.place.new, self.offsets.size
         if not new:
             return
-        whole, ended = [], {}
+        whole, texts, ended, ids = [], [], {}, []
+        plain, letters, modelled = self.plain.fullmatch, self.letters, self._modelled
         for i, word in enumerate(new):  # grows by the parts of its words
+            ids.append(None)
+            text = word.decode("utf-8", "replace")
+            if plain(text):
+                ids[i] = modelled(text if text.isascii() and self.same else text.translate(letters))
+                continue
             stem = word.rstrip(MARKS) if self.cuts else word
-            if 0 < len(stem) < len(word) and 0x61 <= stem[-1] <= 0x7A:
+            if 0 < len(stem) < len(word) and self._ends_in_letter(stem):
                 ended[i] = self.place[stem], self.place[word[len(stem) :]]
             else:
                 whole.append(i)
-        got = self.tokenizer.encode_batch_fast(
-            [new[i].decode("utf-8", "replace") for i in whole], add_special_tokens=False
-        )
-        ids: list = [None] * len(new)
-        for i, e in zip(whole, got):
-            ids[i] = e.ids
+                texts.append(text)
+        for at in range(0, len(whole), ENCODED):
+            got = self.tokenizer.encode_batch_fast(texts[at : at + ENCODED], add_special_tokens=False)
+            for i, e in zip(whole[at : at + ENCODED], got):
+                ids[i] = e.ids
 
         def ids_at(number: int) -> list[int]:
             if number + 1 < known:
@@ -129,6 +204,9 @@ class WordEncoder:
         flat = chain.from_iterable(words)
         places = np.fromiter(map(self.place.__getitem__, flat), np.int64, int(counts.sum()))
         self._learn()
+        self.uses = np.bincount(places, minlength=self.offsets.size - 1) + np.pad(
+            self.uses, (0, self.offsets.size - 1 - self.uses.size)
+        )
         places = np.insert(places, np.cumsum(counts), 0)
         sizes = self.offsets[places + 1] - self.offsets[places]
         ends = np.cumsum(sizes)
@@ -169,7 +247,7 @@ def write_tokens(
         encode = _encoder(tokenizer_path, end_id)
         number, before = TaskContext.get().partitionId(), 0
         for batch in batches:
-            for piece in slices(batch, 1):
+            for piece in slices(batch, 1, CHUNK_BYTES):
                 ids, bounds = encode(texts_of(piece.column(1)))
                 yield pa.RecordBatch.from_arrays(
                     [

@@ -310,6 +310,32 @@ def test_words_encode_as_texts():
         assert got == [[*plain.encode(x, add_special_tokens=False).ids, 2] for x in some]
 
 
+def test_words_are_learned_in_bounds(monkeypatch):
+    """The tokenizer gets few words at a time, words of letters none at all, and words used again stay known."""
+    from tokenizers import Tokenizer
+
+    plain, encode = Tokenizer.from_file(WORDS), token_orc.WordEncoder(WORDS, 2)
+    got = []
+    class Counting:
+        model = plain.model
+        def encode_batch_fast(self, words, **kinds):
+            got.append(words)
+            return plain.encode_batch_fast(words, **kinds)
+    encode.tokenizer = Counting()
+    monkeypatch.setattr(token_orc, "REMEMBERED", 3000)
+    letters = list("abcdeéßœñöжωσςſ")
+    dice = np.random.default_rng(3)
+    words = ["".join(dice.choice(letters, 6)) for _ in range(2000)]
+    odd = [f"{w}{n}" for n, w in enumerate(words * 5)]
+    for words in (words, [f"{w}*!" for w in words], odd, ["again"] * 3 + odd[:4000], ["again", "ÀÉ", "é\u0301", "क़"], words):
+        ids, bounds = encode([" ".join(words).encode()])
+        assert ids.tolist() == [*plain.encode(" ".join(words), add_special_tokens=False).ids, 2]
+        assert bounds.tolist() == [0, ids.size]
+    assert max(map(len, got)) <= 4096
+    assert not [w for ws in got for w in ws if set(w) <= set(letters)]
+    assert b"again" in encode.place and len(encode.place) < 5000
+
+
 def test_main_text(spark):
     pages = spark.read.parquet(f"{SMALL}/pages.parquet")
     def article(page):

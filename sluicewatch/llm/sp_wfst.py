@@ -37,6 +37,11 @@ REMEMBERED = 1 << 18
 REMEMBERED_PARTS = 3 << 17
 #: Text encoded at a time.
 CHUNK_BYTES = 2 << 20
+#: Characters of words composed in one batch; longer words than LONG are composed alone.
+BATCH_CHARS = 1 << 18
+LONG = 1 << 10
+#: The acceptor keeps 2 ** NEIGHBOUR_BITS verdicts in arrays.
+NEIGHBOUR_BITS = 20
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, object]]:
@@ -95,6 +100,41 @@ class Model:
             raise ValueError("only models with identity normalisation and without user-defined pieces")
 
 
+_SPREAD = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _spread(keys: np.ndarray, bits: int) -> np.ndarray:
+    return ((keys.astype(np.uint64) * _SPREAD) >> np.uint64(64 - bits)).astype(np.int64)
+
+
+class _Arcs:
+    """Numbers by key, both not negative; looked up for many keys at once."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        self.bits = max(4, int(4 * keys.size).bit_length())
+        self.keys = np.full(1 << self.bits, -1, dtype=np.int64)
+        self.values = np.zeros(1 << self.bits, dtype=np.int64)
+        at = _spread(keys, self.bits)
+        while keys.size:
+            free = self.keys[at] < 0
+            self.keys[at[free]] = keys[free]  # of several for one place the last one stays
+            here = self.keys[at] == keys
+            self.values[at[here]] = values[here]
+            keys, values, at = keys[~here], values[~here], (at[~here] + 1) & (self.keys.size - 1)
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        """The keys' numbers, -1 for others."""
+        out = np.full(keys.size, -1, dtype=np.int64)
+        left, at = np.arange(keys.size), _spread(keys, self.bits)
+        while left.size:
+            there = self.keys[at]
+            here = there == keys
+            out[left[here]] = self.values[at[here]]
+            on = ~here & (there >= 0)
+            left, keys, at = left[on], keys[on], (at[on] + 1) & (self.keys.size - 1)
+        return out
+
+
 class Transducer:
     """The compiled machines of a model."""
 
@@ -118,6 +158,28 @@ class Transducer:
         self._agree: dict[int, bool] = {}
         self._edges: dict[int, tuple] = {}
         self._paths: dict[str, tuple[int, ...]] = {}
+        self._compile()
+
+    def _compile(self) -> None:
+        """The lexicon and the pairs that stand together as arrays."""
+        letters = sorted({c for p in self.id_of for c in p})
+        self._width = len(letters) + 1
+        number = {c: i for i, c in enumerate(letters, 1)}
+        self._letter = np.zeros(0x110000, dtype=np.int32)  # 0: in no piece
+        self._letter[[ord(c) for c in letters]] = range(1, self._width)
+        states, pieces, keys = [self.lexicon], [], []
+        for at, state in enumerate(states):  # grows by what follows its states
+            pieces.append(state.get("", -1))
+            for c, after in state.items():
+                if c:
+                    keys.append(at * self._width + number[c])
+                    states.append(after)
+        self._piece_at = np.array(pieces, dtype=np.int64)
+        self._follows = _Arcs(np.array(keys, dtype=np.int64), np.arange(1, len(states)))
+        pairs = [number[x[0]] * self._width + number[x[1]] for x in self.joined]
+        self._joins = _Arcs(np.array(pairs, dtype=np.int64), np.zeros(len(pairs), dtype=np.int64))
+        self._pair = np.full(1 << NEIGHBOUR_BITS, -1, dtype=np.int64)
+        self._verdict = np.zeros(1 << NEIGHBOUR_BITS, dtype=bool)
 
     def normalised(self, text: str) -> str:
         if not text:
@@ -201,6 +263,27 @@ class Transducer:
             known = self._agree[key] = self._agreeing(before, piece)
         return known
 
+    def _all_allowed(self, before: np.ndarray, pieces: np.ndarray) -> np.ndarray:
+        """``allowed`` of many neighbours; of verdicts that share a place the latest is kept."""
+        every = len(self.model.pieces)
+        keys = np.where(before < 0, every, before) * every + pieces
+        at = _spread(keys, NEIGHBOUR_BITS)
+        verdicts = self._verdict[at]
+        new = np.flatnonzero(self._pair[at] != keys)
+        if new.size:
+            unknown, where = np.unique(keys[new], return_inverse=True)
+            found = np.fromiter(
+                (self.edges(k % every)[0] if k // every == every else self._agreeing(k // every, k % every) for k in unknown.tolist()),
+                bool,
+                unknown.size,
+            )
+            places = _spread(unknown, NEIGHBOUR_BITS)
+            self._pair[places] = unknown
+            kept = self._pair[places] == unknown
+            self._verdict[places[kept]] = found[kept]
+            verdicts[new] = found[where]
+        return verdicts
+
     def fallback(self, c: str) -> list[int]:
         data = c.encode("utf-8", "surrogatepass")
         return [self.bytes[b] for b in data] if all(b in self.bytes for b in data) else [self.unknown]
@@ -299,6 +382,122 @@ class Transducer:
                 start = end
         return out
 
+    def all_encoded(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words, and how many each has; batches of words are composed at once."""
+        ids, sizes, batch, chars = [], [], [], 0
+
+        def done() -> None:
+            if batch:
+                got, counts = self._batch(batch)
+                ids.append(got)
+                sizes.append(counts)
+                batch.clear()
+
+        for word in words:
+            if not self.bpe or len(word) > LONG:
+                done()
+                own = self.encoded(word)
+                ids.append(np.array(own, dtype=np.int32))
+                sizes.append(np.array([len(own)], dtype=np.int64))
+                chars = 0
+                continue
+            batch.append(word)
+            chars += len(word)
+            if chars >= BATCH_CHARS:
+                done()
+                chars = 0
+        done()
+        none = np.zeros(0, dtype=np.int64)
+        return np.concatenate([none.astype(np.int32), *ids]), np.concatenate([none, *sizes])
+
+    def _batch(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """``encoded`` of many words: ``_shortest_bpe`` of all their parts, step by step at once.
+
+        A part has a place before each of its characters and one behind the last.
+        """
+        text = "".join(words)
+        letters = self._letter[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)].astype(np.int64)
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        cut = np.ones(letters.size, dtype=bool)
+        cut[1:] = self._joins.get(letters[:-1] * self._width + letters[1:]) < 0
+        cut[(np.cumsum(lengths) - lengths)[lengths > 0]] = True
+        part = np.cumsum(cut) - 1
+        place = np.arange(letters.size) + part
+        first = np.flatnonzero(cut)
+        begins = place[first]
+        ends = np.append(first[1:], letters.size) + np.arange(first.size)
+
+        # Ways on from each character: longer pieces first, falling back last.
+        here, state, levels, depth = np.arange(letters.size), np.zeros(letters.size, dtype=np.int64), [], 0
+        single = np.zeros(letters.size, dtype=bool)
+        while here.size:
+            state = self._follows.get(state * self._width + letters[here + depth])
+            here, state = here[state >= 0], state[state >= 0]
+            depth += 1
+            pieces = self._piece_at[state]
+            levels.append((here[pieces >= 0], np.full(int((pieces >= 0).sum()), depth), pieces[pieces >= 0]))
+            if depth == 1:
+                single[levels[0][0]] = True
+            inside = here + depth < letters.size
+            inside[inside] = ~cut[here[inside] + depth]
+            here, state = here[inside], state[inside]
+        alone = np.flatnonzero(~single)
+        levels.insert(0, (alone, np.ones(alone.size, dtype=np.int64), np.full(alone.size, -1)))
+        origin, width, piece = (np.concatenate(x) for x in zip(*reversed(levels)))
+        order = np.argsort(origin, kind="stable")
+        origin, piece, target = origin[order], piece[order], (place[origin] + width)[order]
+        counts = np.zeros(letters.size + first.size, dtype=np.int64)
+        counts[place] = np.bincount(origin, minlength=letters.size)
+        limit = np.cumsum(counts)
+        start = limit - counts
+
+        untried, dead = start.copy(), np.zeros(start.size, dtype=bool)
+        last, before = np.full(start.size, -1, dtype=np.int64), np.full(start.size, -1, dtype=np.int64)
+        at, end = begins, ends
+        while at.size:
+            way = untried[at]
+            stuck = way >= limit[at]
+            if stuck.any():
+                dead[at[stuck]] = True
+                back = before[at[stuck]]
+                if (back < 0).any():
+                    raise ValueError("no path of finite weight")
+                at = at.copy()
+                at[stuck] = back
+            going = np.flatnonzero(~stuck)
+            origin, way = at[going], way[going]
+            untried[origin] += 1
+            to, by = target[way], piece[way]
+            open_ = ~dead[to]
+            asked = np.flatnonzero(open_ & (by >= 0))
+            open_[asked] = self._all_allowed(last[origin[asked]], by[asked])
+            origin, to, by, going = origin[open_], to[open_], by[open_], going[open_]
+            before[to], last[to], untried[to] = origin, by, start[to]
+            at = at.copy()
+            at[going] = to
+            on = at != end
+            at, end = at[on], end[on]
+
+        chosen = np.zeros(start.size, dtype=bool)
+        at = ends
+        while at.size:
+            chosen[at] = True
+            at = before[at]
+            at = at[before[at] >= 0]
+        to = np.flatnonzero(chosen)
+        ids = last[to].astype(np.int32)
+        word = np.repeat(np.arange(len(words)), lengths)
+        origin = before[to] - np.searchsorted(begins, before[to], side="right") + 1
+        of = word[origin]
+        fallen = np.flatnonzero(ids < 0)
+        if fallen.size:
+            got = [self.fallback(text[i]) for i in origin[fallen]]
+            times = np.ones(ids.size, dtype=np.int64)
+            times[fallen] = [len(g) for g in got]
+            ids, of, fell = np.repeat(ids, times), np.repeat(of, times), np.repeat(ids < 0, times)
+            ids[fell] = [x for g in got for x in g]
+        return ids, np.bincount(of, minlength=len(words))
+
     def words(self, text: str) -> list[str]:
         line = self.normalised(text)
         return _WORDS.findall(line) if self.by_word else [line] if line else []
@@ -327,10 +526,10 @@ class Encoder:
         words = [self.machine.words(t.decode("utf-8", "replace")) if t else [] for t in texts]
         flat = [w for ws in words for w in ws]
         new = list({w for w in flat if w not in self.place})
-        got = [self.machine.encoded(w) for w in new]
+        learned, lengths = self.machine.all_encoded(new)
         self.place.update(zip(new, range(len(self.place), len(self.place) + len(new))))
-        self.ids = np.concatenate([self.ids, np.fromiter((x for g in got for x in g), np.int32)])
-        self.offsets = np.concatenate([self.offsets, self.offsets[-1] + np.cumsum([len(g) for g in got], dtype=np.int64)])
+        self.ids = np.concatenate([self.ids, learned])
+        self.offsets = np.concatenate([self.offsets, self.offsets[-1] + np.cumsum(lengths)])
         places = np.fromiter(map(self.place.__getitem__, flat), np.int64, len(flat))
         sizes = self.offsets[places + 1] - self.offsets[places]
         ends = np.concatenate([[0], np.cumsum(sizes)])

@@ -624,6 +624,25 @@ def test_pieces_are_the_library_s(spark, docs):
         assert r.decoded == (r.text or "").replace("▁", " ")
 
 
+def test_words_are_composed_in_batches(monkeypatch):
+    """Any words together as each alone; only long ones take a path of their own."""
+    encoder, dice = sp_wfst.Encoder(PIECES), np.random.default_rng(5)
+    machine, alone = encoder.machine, sp_wfst.Transducer(encoder.machine.model)
+    letters = list("abcdeinrstéßñ▁_-.,!*#$0123 ²中文字𝄞\x00́Ж")
+    words = ["".join(dice.choice(letters, dice.integers(0, 14))) for _ in range(3000)]
+    words += ["".join(dice.choice([*machine.id_of], dice.integers(1, 5))) for _ in range(3000)]
+    words += ["a" * 1500, "", "ab" * 400, "▁" * 900, "中"]
+    monkeypatch.setattr(sp_wfst, "BATCH_CHARS", 5000)
+    monkeypatch.setattr(sp_wfst, "NEIGHBOUR_BITS", 10)
+    machine._pair, machine._verdict = machine._pair[: 1 << 10], machine._verdict[: 1 << 10]
+    ids, sizes = machine.all_encoded(words)
+    ends = np.cumsum(sizes)
+    assert [ids[a:b].tolist() for a, b in zip(ends - sizes, ends)] == [alone.encoded(w) for w in words]
+    monkeypatch.setattr(machine, "shortest", lambda part: 1 / 0)
+    got, bounds = encoder([b"many small birds sing", None, "Größe 中文".encode()])
+    assert got.size == bounds[-1] and bounds[1] == bounds[2]
+
+
 def test_scored_path_is_the_least():
     """A unigram model, against all segmentations."""
     machine = sp_wfst.Transducer.__new__(sp_wfst.Transducer)

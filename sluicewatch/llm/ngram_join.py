@@ -19,6 +19,7 @@ N-grams are compared by 64-bit hashes of their words, sets by 96-bit hashes.
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -35,10 +36,14 @@ NGRAM = 5
 #: Jaccard similarity from which two texts link, in hundredths.
 PERCENT = 75
 #: The rarity sketch has 2 ** SKETCH_BITS counters, whatever the input.
-SKETCH_BITS = 22
-SKETCH_ROW = 1 << 12
+SKETCH_BITS = 24
+SKETCH_ROW = 1 << 16
 #: Counts of one task stop here and take a byte: the sketch orders, it needn't be exact.
 TASK_COUNT = 255
+#: Sets after which a task cuts its counts, which take two bytes until then.
+SETS = 1 << 14
+#: Sums take a byte too, as their roots times this: as fine as chance among n-grams of one counter.
+ROOTS = 4
 REMEMBERED = 1 << 20
 #: Pairs of one leader that one task of a verification gets at most, about.
 PORTION = 512
@@ -124,12 +129,19 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return overlap(a, b) >= need
 
 
+def _packed(counts: np.ndarray) -> bytes:
+    """Counts that are mostly none or few, in a bit or two each."""
+    pack = zlib.compressobj(1, strategy=zlib.Z_RLE)
+    return pack.compress(counts.tobytes()) + pack.flush()
+
+
 def _digests(docs: DataFrame, ngram: int) -> DataFrame:
     """Of each text its set's size and key; and of each task its part of the sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(ngram)
-        counts = np.zeros(1 << SKETCH_BITS, dtype=np.int32)
+        counts = np.zeros(1 << SKETCH_BITS, dtype=np.uint16)
+        sets = 0
         seen: set[bytes] = set()
         for batch in batches:
             for part in slices(batch, 2):
@@ -144,6 +156,9 @@ def _digests(docs: DataFrame, ngram: int) -> DataFrame:
                         seen.add(key)
                         at = (grams >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
                         np.add.at(counts, at, 1)
+                        sets += 1
+                        if sets % SETS == 0:
+                            np.minimum(counts, TASK_COUNT, out=counts)
                 none = (pa.nulls(len(keys), kind) for kind in (pa.int32(), pa.binary()))
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), part.column(1), pa.array(keys, pa.binary()), *none],
@@ -152,7 +167,7 @@ def _digests(docs: DataFrame, ngram: int) -> DataFrame:
         rows = counts.reshape(-1, SKETCH_ROW)
         used = np.flatnonzero(rows.any(axis=1))
         none = (pa.nulls(used.size, kind) for kind in (pa.int64(), pa.int64(), pa.binary()))
-        sums = pa.array([np.minimum(rows[r], TASK_COUNT).astype(np.uint8).tobytes() for r in used], pa.binary())
+        sums = pa.array([_packed(np.minimum(rows[r], TASK_COUNT).astype(np.uint8)) for r in used], pa.binary())
         yield pa.RecordBatch.from_arrays(
             [*none, pa.array(used.astype(np.int32)), sums], names=["id", "uid", "key", "row", "counts"]
         )
@@ -163,23 +178,26 @@ def _digests(docs: DataFrame, ngram: int) -> DataFrame:
 
 
 def _sketch(parts: DataFrame) -> np.ndarray:
-    """The sum of the tasks' sketches; the driver gets its fixed size only."""
+    """The roots of the sums of the tasks' sketches; the driver gets their fixed size only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for row, counts in zip(batch.column(0).to_pylist(), batch.column(1)):
-                value = np.frombuffer(counts.as_buffer(), np.uint8)
+                value = np.frombuffer(zlib.decompress(counts.as_buffer()), np.uint8)
                 sums[row] = sums[row] + value if row in sums else value.astype(np.uint32)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())],
+            [
+                pa.array(list(sums), pa.int32()),
+                pa.array([np.minimum(ROOTS * np.sqrt(x), 255).astype(np.uint8).tobytes() for x in sums.values()], pa.binary()),
+            ],
             names=["row", "counts"],
         )
 
-    sketch = np.zeros(1 << SKETCH_BITS, dtype=np.uint32).reshape(-1, SKETCH_ROW)
+    sketch = np.zeros(1 << SKETCH_BITS, dtype=np.uint8).reshape(-1, SKETCH_ROW)
     summed = parts.select("row", "counts").repartition("row").mapInArrow(run, "row int, counts binary")
     for r in summed.collect():
-        sketch[r.row] = np.frombuffer(r.counts, np.uint32)
+        sketch[r.row] = np.frombuffer(r.counts, np.uint8)
     return sketch.ravel()
 
 

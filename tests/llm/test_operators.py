@@ -336,6 +336,23 @@ def test_words_are_learned_in_bounds(monkeypatch):
     assert b"again" in encode.place and len(encode.place) < 5000
 
 
+def test_rarity_tells_unique_grams_from_shared_ones(spark):
+    """Few prefix n-grams are shared ones while sets have enough of their own, among many others."""
+    dice = np.random.default_rng(9)
+    def words(n):
+        return [f"w{x}" for x in dice.integers(0, 1 << 40, n)]
+    common = words(60)
+    texts = [" ".join([*words(140), *common]) for _ in range(100)] + [" ".join(words(2000)) for _ in range(4000)]
+    docs = spark.createDataFrame([(i, t.encode()) for i, t in enumerate(texts)], "uid bigint, text binary").repartition(4).cache()
+    rows = docs.selectExpr("uid AS id", "uid", "text")
+    sketch = ngram_join._sketch(ngram_join._digests(rows, 5).where("row IS NOT NULL"))
+    assert sketch.nbytes <= 16 << 20
+    shingler = ngram_join.Shingler()
+    shared = {int(g) for g in shingler.set_of(" ".join(common).encode()).view(np.int64)}
+    first = ngram_join._prefixes(rows.where("uid < 100"), sketch, 5, 75).select("h").collect()
+    assert len(first) > 100 * 45 and sum(r.h in shared for r in first) == 0
+
+
 def test_main_text(spark):
     pages = spark.read.parquet(f"{SMALL}/pages.parquet")
     def article(page):
